@@ -26,38 +26,30 @@ def compartment_response(t, lam, beta, p, form: str = "balanced") -> tuple[Colum
     Internalisation at rate ``lam``, recycling at rate ``beta``, a share ``p`` of which
     is lost. ``form="balanced"`` starts at S(0) = beta / (beta + lam) and obeys
     dI/dt = lam S; ``form="reference"`` keeps the published surface formula, which
-    does neither. Near lam = beta (1 - p) both are continued by averaging the two
-    sides of the removable singularity. Rates of 0 or below are allowed (draws can
-    be negative); a vanishing denominator gives null.
+    does neither and has a pole at lam = beta (1 - p), where it gives null.
+
+    With a = lam + beta p, the difference d = a - beta cancels against the
+    exponentials through phi(x) = (1 - exp(-x)) / x, so the balanced forms have no
+    singularity at d = 0. Rates may be negative; a vanishing denominator gives null.
     """
     t, lam, beta, p = (_column(v) for v in (t, lam, beta, p))
-    gap = lam - beta * (1.0 - p)
-    step = 1e-4 * (F.abs(lam) + F.abs(beta))
-    near = F.abs(gap) < step
-
-    def at(l: Column) -> tuple[Column, Column]:
-        s, a, d = l + beta, l + beta * p, l - beta * (1.0 - p)
-        ea, eb = F.exp(-a * t), F.exp(-beta * t)
-        inner = beta * p * s * a * t + l * (1.0 - p) * (s + beta * p)
-        decay = beta * beta * ea - a * a * eb
-        internal = F.try_divide(l * d * inner + l * l * (1.0 - p) * decay, s * a * a * d)
-        if form == "balanced":
-            top = p * s * d + l * (1.0 - p) * (a * eb - beta * ea)
-        elif form == "reference":
-            top = p * s * d + l * beta * (l * p - 1.0) * ea + l * p * eb
-        else:
-            raise ValueError(f"unknown form {form!r}")
-        return F.try_divide(beta * top, s * a * d), internal
-
-    exact = at(lam)
-    if form == "reference":  # its surface formula has a real pole there
-        below, above = at(lam), at(lam)
-    else:
-        centre = beta * (1.0 - p)
-        below, above = at(centre - step), at(centre + step)
-    return tuple(
-        F.when(near, (below[i] + above[i]) / 2.0).otherwise(exact[i]) for i in range(2)
+    s, a = lam + beta, lam + beta * p
+    d = a - beta
+    x = d * t
+    phi = F.when(F.abs(x) < 1e-9, 1.0 - x / 2.0).otherwise(-F.expm1(-x) / x)
+    fading, kept = F.exp(-beta * t), 1.0 - p
+    linear = beta * p * s * a * t + lam * kept * (s + beta * p)
+    internal = F.try_divide(
+        lam * (linear - lam * kept * fading * (beta * beta * t * phi + a + beta)), s * a * a
     )
+    if form == "balanced":
+        surface = F.try_divide(beta * (p * s + lam * kept * fading * (1.0 + beta * t * phi)), s * a)
+    elif form == "reference":
+        top = p * s * d + lam * beta * (lam * p - 1.0) * F.exp(-a * t) + lam * p * fading
+        surface = F.try_divide(beta * top, s * a * d)
+    else:
+        raise ValueError(f"unknown form {form!r}")
+    return surface, internal
 
 
 def association_response(t, r, capacity, geometry: Geometry = Geometry()) -> Column:

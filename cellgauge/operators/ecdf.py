@@ -33,9 +33,9 @@ def grid_interval(y, lo, step, knots: int = KNOTS) -> Column:
     """Zero-based interval k with knot k <= y < knot k+1; clamped to the grid.
 
     The quotient can be off by one through rounding, so it is compared with the
-    knots themselves.
+    knots themselves. Values far outside are clamped first: they can exceed a long.
     """
-    guess = F.floor((y - lo) / step)
+    guess = F.floor(F.least(F.greatest((y - lo) / step, F.lit(-1.0)), F.lit(float(knots))))
     fixed = guess - F.when(y < lo + guess * step, 1).otherwise(0) + F.when(
         y >= lo + (guess + 1) * step, 1
     ).otherwise(0)
