@@ -1,4 +1,4 @@
 """Named queries over the driver tables, with their SQL twins."""
 
-from cellgauge.queries import wells  # noqa: F401
+from cellgauge.queries import distances, responses, wells  # noqa: F401
 from cellgauge.queries.registry import ORACLES, QUERIES  # noqa: F401
