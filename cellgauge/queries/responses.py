@@ -171,6 +171,12 @@ def assemble_signal(spark, sf):
     return rounded(out, cy5=3, bdp=3)
 
 
+def seconds_since(day: str, ts: str):
+    """Seconds from the start of a day, whatever the session's time zone."""
+    whole = F.datediff(ts, F.lit(day)) * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return whole + F.date_part(F.lit("SECOND"), ts).cast("double")
+
+
 @query(
     "cumulative_trapezoid",
     """
@@ -183,7 +189,7 @@ SELECT user_id, event_id, round(sum(area) OVER (PARTITION BY user_id ORDER BY t,
 def cumulative_trapezoid(spark, sf):
     series = table(spark, sf, "events").select(
         "user_id", "event_id", "value",
-        (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200).alias("t"),
+        seconds_since("2024-01-01", "ts").alias("t"),
     )
     out = uptake.cumulative_trapezoid(series, ["user_id"], ["t", "event_id"], "t", "value", 50.0)
     return out.select("user_id", "event_id", F.round(F.col("integral") / 1e6, 3).alias("integral"))
