@@ -145,8 +145,8 @@ def background_pool(df: DataFrame, columns: Sequence[str], order: Sequence[str])
 def index_pool(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """A dense one-based ``idx`` by ``order``, numbered in slices when the pool is large."""
     numbered = slice_groups(df.withColumn("__one", F.lit(1)), [], order[0])
-    numbered = running_total(numbered, [], order, {"idx": "__one"})
-    return numbered.withColumn("idx", F.col("idx").cast("long")).drop("__one", "slice")
+    numbered = running_total(numbered, [], order, {"idx": "__one"}).done()
+    return numbered.withColumn("idx", F.col("idx").cast("long")).drop("__one")
 
 
 def gather_pool(draws: DataFrame, pool: DataFrame, index: str) -> DataFrame:
@@ -212,7 +212,7 @@ def nest_samples(df: DataFrame, keys: Sequence[str], order: str, value: str, chu
     ``chunk`` gives the whole sample.
     """
     numbered = slice_groups(df.withColumn("__one", F.lit(1)), keys, order)
-    numbered = running_total(numbered, keys, [order], {"__at": "__one"})
+    numbered = running_total(numbered, keys, [order], {"__at": "__one"}).done()
     part = F.floor((F.col("__at") - 1) / chunk).cast("int")
     grouped = numbered.groupBy(*keys, part.alias("chunk")).agg(
         F.array_sort(F.collect_list(F.struct("__at", value))).alias("__cells")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellgauge.operators.cells import melt_channels
-from cellgauge.operators.ecdf import anderson_darling, ecdf_grid
-from cellgauge.plans.scale import attach, settle
+from cellgauge.operators.ecdf import FLOOR, KNOTS, anderson_darling, ecdf_grid, lookup
+from cellgauge.plans.scale import HOT_ROWS, attach, group_sizes, hot_groups, settle
 
 #: A metric takes (predicted cells, grid, keys, sample, value) and gives a column ``ad``.
 Metric = Callable[..., DataFrame]
@@ -49,7 +49,12 @@ def observe(
     if len(channels) == 1:
         grid = settle(ecdf_grid(df, keys, channels[0]))
         return Observed(keys, channels, grid, None, weights)
-    grid = settle(ecdf_grid(melt_channels(df, keys, channels), [*keys, "channel"], "value"))
+    # One pass per channel reads only that channel's column; melting would double the rows.
+    grids = [ecdf_grid(df, keys, c).withColumn("channel", F.lit(c)) for c in channels]
+    grid = grids[0]
+    for other in grids[1:]:
+        grid = grid.unionByName(other)
+    grid = settle(grid)
     correlations = channel_correlation(df, keys, *channels).withColumnRenamed("r", "r_obs")
     return Observed(keys, channels, grid, settle(correlations), weights)
 
@@ -70,6 +75,7 @@ def discrepancy(
     *,
     metric: Metric = anderson_darling,
     max_rows: int | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One distance ``rho`` per predicted candidate, summed over observed samples.
 
@@ -78,24 +84,102 @@ def discrepancy(
     difference of the channel correlations. A candidate that lacks an observed
     sample, or whose correlation is undefined, gets a null distance and a ``reason``.
     """
-    keys, channels, sample = observed.keys, observed.channels, list(sample)
-    w1, w2 = observed.weights
-    if len(channels) == 1:
-        distances = metric(predicted, observed.grid, keys, sample, channels[0], max_rows=max_rows)
-        terms = distances.select(*sample, F.lit("sample").alias("kind"), F.col("ad").alias("term"))
-    else:
-        long = melt_channels(predicted, [*sample, *keys], channels)
-        distances = metric(long, observed.grid, [*keys, "channel"], sample, "value", max_rows=max_rows)
-        weight = F.when(F.col("channel") == channels[0], 2.0 * w1).otherwise(w1)
-        terms = distances.select(
-            *sample, F.lit("sample").alias("kind"), (weight * F.col("ad")).alias("term")
-        )
-        r = channel_correlation(predicted, [*sample, *keys], *channels)
-        gap = w2 * F.abs(F.col("r_obs") - F.col("r"))
-        paired = pair_samples(r, observed.correlations, keys)
-        terms = terms.unionByName(
-            paired.select(*sample, F.lit("correlation").alias("kind"), gap.alias("term"))
+    sample = list(sample)
+    if metric is anderson_darling and not _lopsided(predicted, [*sample, *observed.keys], max_rows, hot_rows):
+        return _totals(_terms_in_one_pass(predicted, observed, sample), observed, sample)
+    return _totals(_terms_by_channel(predicted, observed, sample, metric, max_rows, hot_rows), observed, sample)
+
+
+def _lopsided(predicted: DataFrame, groups: Sequence[str], max_rows: int | None, hot_rows: int) -> bool:
+    """Whether some predicted sample is too large for one task; a known bound saves the count."""
+    if max_rows is not None and max_rows <= hot_rows:
+        return False
+    return hot_groups(group_sizes(predicted, groups), hot_rows) is not None
+
+
+def _terms_in_one_pass(predicted: DataFrame, observed: Observed, sample: Sequence[str]) -> DataFrame:
+    """All terms of a sample from one window over it, with its channels side by side.
+
+    Nothing is melted, cells are read (or predicted) once, and where they are already
+    partitioned by sample the only shuffle is of the finished terms.
+    """
+    keys, channels = observed.keys, observed.channels
+    two = len(channels) > 1
+    groups = [*sample, *keys]
+    placed = predicted.select(*groups, *channels)
+    for c in channels:
+        placed = placed.filter(F.col(c).isNotNull() & ~F.isnan(c))
+    for c in channels:
+        grid = observed.grid.filter(F.col("channel") == c) if two else observed.grid
+        named = grid.select(*keys, *[F.col(g).alias(f"__{g}") for g in ("lo", "step", "p", "n")])
+        placed = attach(placed, named, keys, weight="__n", row_bytes=64 + 8 * KNOTS)
+        f = lookup(F.col(c), F.col("__lo"), F.col("__step"), F.col("__p"))
+        f = F.least(F.greatest(f, F.lit(FLOOR)), F.lit(1.0 - FLOOR))
+        placed = placed.withColumn(f"__f_{c}", f).drop("__lo", "__step", "__p", "__n")
+    whole = Window.partitionBy(*groups)
+    ranked = placed.select(
+        "*",
+        F.count(F.lit(1)).over(whole).alias("__n"),
+        *[F.row_number().over(whole.orderBy(f"__f_{c}")).alias(f"__i_{c}") for c in channels],
+    )
+    aggregates = [F.max("__n").alias("__n")]
+    for c in channels:
+        f, i, n = F.col(f"__f_{c}"), F.col(f"__i_{c}"), F.col("__n")
+        term = (2 * i - 1) * F.log(f) + (2 * n + 1 - 2 * i) * F.log(1.0 - f)
+        aggregates.append(F.sum(term).alias(f"__s_{c}"))
+    if two:
+        spread = F.stddev_pop(channels[0]) * F.stddev_pop(channels[1])
+        aggregates.append(F.try_divide(F.covar_pop(*channels), spread).alias("__r"))
+    stats = ranked.groupBy(*groups).agg(*aggregates)
+    weights = _channel_weights(observed)
+    entries = [
+        F.struct(
+            F.lit("sample").alias("kind"),
+            (weights[c] * F.sqrt(-F.col("__n") - F.col(f"__s_{c}") / F.col("__n"))).alias("term"),
         )
+        for c in channels
+    ]
+    if two:
+        stats = pair_samples(stats, observed.correlations, keys)
+        gap = observed.weights[1] * F.abs(F.col("r_obs") - F.col("__r"))
+        entries.append(F.struct(F.lit("correlation").alias("kind"), gap.alias("term")))
+    return stats.select(*sample, F.explode(F.array(*entries)).alias("__e")).select(*sample, "__e.*")
+
+
+def _terms_by_channel(
+    predicted: DataFrame, observed: Observed, sample: Sequence[str], metric: Metric, max_rows, hot_rows
+) -> DataFrame:
+    """The terms of any metric, and of samples too large for one task: one channel at a time."""
+    keys, channels = observed.keys, observed.channels
+    options = {"max_rows": max_rows}
+    if metric is anderson_darling:
+        options["hot_rows"] = hot_rows
+    if len(channels) == 1:
+        distances = metric(predicted, observed.grid, keys, sample, channels[0], **options)
+        return distances.select(*sample, F.lit("sample").alias("kind"), F.col("ad").alias("term"))
+    long = melt_channels(predicted, [*sample, *keys], channels)
+    distances = metric(long, observed.grid, [*keys, "channel"], sample, "value", **options)
+    weight = F.lit(0.0)
+    for c, w in _channel_weights(observed).items():
+        weight = F.when(F.col("channel") == c, F.lit(w)).otherwise(weight)
+    terms = distances.select(*sample, F.lit("sample").alias("kind"), (weight * F.col("ad")).alias("term"))
+    r = channel_correlation(predicted, [*sample, *keys], *channels)
+    gap = observed.weights[1] * F.abs(F.col("r_obs") - F.col("r"))
+    paired = pair_samples(r, observed.correlations, keys)
+    return terms.unionByName(
+        paired.select(*sample, F.lit("correlation").alias("kind"), gap.alias("term"))
+    )
+
+
+def _channel_weights(observed: Observed) -> dict[str, float]:
+    """One channel counts once; of two, the first counts 2 w1 and the second w1."""
+    if len(observed.channels) == 1:
+        return {observed.channels[0]: 1.0}
+    first, second = observed.channels
+    return {first: 2.0 * observed.weights[0], second: observed.weights[0]}
+
+
+def _totals(terms: DataFrame, observed: Observed, sample: Sequence[str]) -> DataFrame:
     samples = observed.grid.count()
     correlations = 0 if observed.correlations is None else observed.correlations.count()
     totals = terms.groupBy(*sample).agg(

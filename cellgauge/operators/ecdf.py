@@ -42,42 +42,36 @@ def grid_interval(y, lo, step, knots: int = KNOTS) -> Column:
     return F.least(F.greatest(fixed, F.lit(0)), F.lit(knots - 2)).cast("int")
 
 
-def _histogram(df, keys, value, knots) -> tuple[DataFrame, DataFrame]:
-    """Sample ranges with the knot step, and the cells in every occupied interval."""
-    ranges = sample_range(df.filter(F.col(value).isNotNull()), keys, value)
-    ranges = settle(ranges.withColumn("step", (F.col("hi") + WIDEN - F.col("lo")) / (knots - 1)))
-    placed = attach(df.filter(F.col(value).isNotNull()).select(*keys, value), ranges, keys)
-    k = grid_interval(F.col(value), F.col("lo"), F.col("step"), knots)
-    return ranges, placed.groupBy(*keys, k.alias("k")).agg(F.count(F.lit(1)).alias("c"))
-
-
 def ecdf_grid(df: DataFrame, keys: Sequence[str], value: str, knots: int = KNOTS) -> DataFrame:
     """Per sample the share of values strictly below each of ``knots`` even knots.
 
-    One row per sample with ``lo``, ``step``, ``n`` and the array ``p``. Values are
-    counted by interval, which combines on the map side, and summed up along the
+    One row per sample with ``lo``, ``hi``, ``step``, ``n`` and the array ``p``. Values
+    are counted by interval, which combines on the map side, and summed up along the
     knots; the cost is linear in the values and the sample is never gathered.
     """
-    ranges, occupied = _histogram(df, keys, value, knots)
-    counts = occupied.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("k", "c"))).alias("__c")  # at most `knots` entries
-    )
-    joined = match(ranges, counts, keys, "inner", broadcast=False) if keys else attach(ranges, settle(counts), keys)
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(knots - 2)),
-        lambda k: F.coalesce(F.try_element_at("__c", k.cast("int")), F.lit(0)),
+    valid = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    ranges = sample_range(valid, keys, value)
+    ranges = settle(ranges.withColumn("step", (F.col("hi") + WIDEN - F.col("lo")) / (knots - 1)))
+    placed = attach(valid, ranges, keys)
+    k = grid_interval(F.col(value), F.col("lo"), F.col("step"), knots)
+    every = ranges.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(knots - 2))).alias("k"))
+    # Empty intervals join the count with weight 0, so each sample has all of them.
+    weighted = placed.select(*keys, k.alias("k"), F.lit(1).alias("w")).unionByName(
+        every.withColumn("w", F.lit(0))
     )
-    # Running sum along the knots: knot 0 has nothing below it.
-    summed = F.aggregate(
-        dense,
-        F.array(F.lit(0).cast("long")),
-        lambda done, c: F.array_append(done, F.element_at(done, -1) + c),
+    counts = weighted.groupBy(*keys, "k").agg(F.sum("w").alias("c"))
+    along = Window.partitionBy(*keys).orderBy("k")  # knots - 1 rows per sample
+    summed = counts.withColumn("upto", F.sum("c").over(along))
+    arrays = summed.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("k", "upto"))).alias("__e")
     )
-    shares = F.transform(F.col("__sum"), lambda s: s / F.col("n"))
-    return (
-        joined.withColumn("__sum", summed)
-        .withColumn("p", shares)
-        .select(*keys, "lo", "hi", "step", "n", "p")
+    if keys:
+        joined = match(ranges, arrays, keys, "inner", broadcast=False)
+    else:
+        joined = attach(arrays, ranges, keys)
+    shares = F.transform(F.col("__e")["upto"], lambda s: s / F.col("n"))
+    return joined.select(
+        *keys, "lo", "hi", "step", "n", F.concat(F.array(F.lit(0.0)), shares).alias("p")
     )
 
 
@@ -114,7 +108,7 @@ def order_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, hot
     """Ascending one-based position ``i`` in the sample, its mirror and the count ``n``."""
     sizes = settle(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
     numbered = slice_groups(df.withColumn("__one", F.lit(1)), keys, order[0], sizes=sizes, hot_rows=hot_rows)
-    numbered = running_total(numbered, keys, order, {"i": "__one"}).drop("__one", "slice")
+    numbered = running_total(numbered, keys, order, {"i": "__one"}).done().drop("__one")
     counted = attach(numbered, sizes, keys)
     return counted.withColumn("mirror", F.col("n") + 1 - F.col("i"))
 
@@ -149,7 +143,7 @@ def anderson_darling(
     placed = placed.select(*groups, clamped.alias("f"))
     if max_rows is None or max_rows > hot_rows:
         sizes = settle(df.groupBy(*groups).agg(F.count(value).alias("n")))
-        lopsided = not hot_groups(sizes, hot_rows).isEmpty()
+        lopsided = hot_groups(sizes, hot_rows) is not None
     else:
         lopsided = False
     if not lopsided:
@@ -165,7 +159,7 @@ def anderson_darling(
     else:
         blocks = placed.groupBy(*groups, "f").agg(F.count(F.lit(1)).alias("c"))
         blocks = slice_groups(blocks, groups, "f", sizes=sizes, hot_rows=hot_rows)
-        blocks = running_total(blocks, groups, ["f"], {"upto": "c"})
+        blocks = running_total(blocks, groups, ["f"], {"upto": "c"}).done()
         ranked = attach(blocks, sizes, groups)
         before = F.col("upto") - F.col("c")
         below = F.col("c") * (2 * before + F.col("c"))

@@ -29,8 +29,8 @@ def rank_by_distance(
     """Position of every particle by distance, ties by id, without one global window."""
     sizes = settle(df.agg(F.count(F.lit(1)).alias("n")))
     sliced = slice_groups(df.withColumn("__one", F.lit(1)), [], rho, sizes=sizes, hot_rows=hot_rows)
-    ranked = running_total(sliced, [], [rho, key], {"position": "__one"})
-    return ranked.withColumn("position", F.col("position").cast("long")).drop("__one", "slice")
+    ranked = running_total(sliced, [], [rho, key], {"position": "__one"}).done()
+    return ranked.withColumn("position", F.col("position").cast("long")).drop("__one")
 
 
 def _kept(n: Column, fraction: float) -> Column:

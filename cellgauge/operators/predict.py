@@ -8,18 +8,18 @@ holds it, so a scoring pass shuffles particle-sized rows and never the cells.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgauge.functions import draws
 from cellgauge.functions.response import Geometry, clamp_nonnegative, compartment_response, saturating_uptake
 from cellgauge.operators import uptake
 from cellgauge.operators.discrepancy import Observed, discrepancy
-from cellgauge.operators.ecdf import FLOOR, anderson_darling, lookup
+from cellgauge.operators.ecdf import anderson_darling
 from cellgauge.operators.priors import Layout, slice_params
-from cellgauge.plans.scale import HOT_ROWS, attach, match, settle
+from cellgauge.plans.scale import attach, match, settle
 
 CELLS_PER_TASK = 2_000_000
 
@@ -226,74 +226,13 @@ class Association:
 # --- scoring --------------------------------------------------------------
 
 
-def score_cells(
-    predicted: DataFrame, observed: Observed, *, max_rows: int | None = None, metric=anderson_darling
-) -> DataFrame:
-    """A9-A12 in one pass over predicted cells, for samples of at most ``max_rows`` cells.
-
-    Channels are ranked side by side in the partitions the cells were made in, and
-    the correlation comes from the same aggregation, so cells are predicted once.
-    Other metrics and larger samples take the general :func:`discrepancy`.
-    """
-    if metric is not anderson_darling or max_rows is None or max_rows > HOT_ROWS:
-        return discrepancy(predicted, observed, ["particle_id"], metric=metric, max_rows=max_rows)
-    keys, channels = observed.keys, observed.channels
-    groups = ["particle_id", *keys]
-    two = len(channels) > 1
-    placed = predicted.select(*groups, *channels)
-    for c in channels:
-        grid = observed.grid.filter(F.col("channel") == c) if two else observed.grid
-        grid = grid.select(*keys, "n", *[F.col(g).alias(f"__{g}") for g in ("lo", "step", "p")])
-        placed = attach(placed, grid.withColumnRenamed("n", "__n"), keys, weight="__n", row_bytes=8100)
-        f = lookup(F.col(c), F.col("__lo"), F.col("__step"), F.col("__p"))
-        f = F.least(F.greatest(f, F.lit(FLOOR)), F.lit(1.0 - FLOOR))
-        placed = placed.withColumn(f"__f_{c}", f).drop("__lo", "__step", "__p", "__n")
-    sample = Window.partitionBy(*groups)
-    ranked = placed.select(
-        "*",
-        F.count(F.lit(1)).over(sample).alias("__n"),
-        *[F.row_number().over(sample.orderBy(f"__f_{c}")).alias(f"__i_{c}") for c in channels],
-    )
-    aggregates = [F.max("__n").alias("n")]
-    for c in channels:
-        f, i, n = F.col(f"__f_{c}"), F.col(f"__i_{c}"), F.col("__n")
-        term = (2 * i - 1) * F.log(f) + (2 * n + 1 - 2 * i) * F.log(1.0 - f)
-        aggregates.append(F.sum(term).alias(f"__s_{c}"))
-    if two:
-        spread = F.stddev_pop(channels[0]) * F.stddev_pop(channels[1])
-        aggregates.append(F.try_divide(F.covar_pop(*channels), spread).alias("__r"))
-    stats = ranked.groupBy(*groups).agg(*aggregates)
-    n = F.col("n")
-    distance = [F.sqrt(-n - F.col(f"__s_{c}") / n) for c in channels]
-    if two:
-        w1, w2 = observed.weights
-        stats = attach(stats, observed.correlations, keys)
-        total = 2.0 * w1 * distance[0] + w1 * distance[1]
-        for d in distance[2:]:
-            total = total + w1 * d
-        term = total + w2 * F.abs(F.col("r_obs") - F.col("__r"))
-    else:
-        term = distance[0]
-    expected = observed.grid.count() // len(channels)
-    totals = stats.select("particle_id", term.alias("__term")).groupBy("particle_id").agg(
-        F.sum("__term").alias("__sum"),
-        F.count(F.lit(1)).alias("__samples"),
-        F.count("__term").alias("__defined"),
-    )
-    reason = F.when(F.col("__samples") < expected, F.lit("missing sample")).when(
-        F.col("__defined") < expected, F.lit("undefined correlation")
-    )
-    return totals.select(
-        "particle_id", F.when(reason.isNull(), F.col("__sum")).alias("rho"), reason.alias("reason")
-    )
-
-
 def score_particles(
     particles: DataFrame, model: Model, observed: Observed, *, stream: str = "", metric=anderson_darling
 ) -> DataFrame:
     """Particles with their distance ``rho``; a particle without prediction gets a reason."""
     predicted = model(particles, stream) if stream else model(particles)
-    scores = score_cells(predicted, observed, max_rows=getattr(model, "cells", None), metric=metric)
+    size = getattr(model, "cells", None)  # every predicted sample has this many cells
+    scores = discrepancy(predicted, observed, ["particle_id"], metric=metric, max_rows=size)
     scored = match(particles, scores, ["particle_id"], "left", broadcast=False)
     empty = F.col("rho").isNull() & F.col("reason").isNull()
     return scored.withColumn("reason", F.when(empty, F.lit("nothing predicted")).otherwise(F.col("reason")))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from cellgauge.functions import draws
 from cellgauge.functions.response import Geometry, association_response
-from cellgauge.plans.scale import HOT_ROWS, attach, previous_row, running_total, settle, slice_groups
+from cellgauge.plans.scale import HOT_ROWS, Sliced, attach, previous_row, running_total, settle, slice_groups
 
-POOL_IN_ROW = 1_000_000  # pool values that may ride along as one array (8 MB)
+POOL_IN_ROW = 100_000  # pool values that may ride along as one array literal (2 MB as text)
 
 
 def fine_grid(df: DataFrame, last_step: int, step_seconds: int = 1800) -> DataFrame:
@@ -39,15 +39,15 @@ def cumulative_trapezoid(
     ``max_rows`` states a known group length and saves the counting pass.
     """
     if max_rows is not None and max_rows <= hot_rows:
-        sliced = df.withColumn("slice", F.lit(-1))
+        sliced = Sliced(df, False)
     else:
         sliced = slice_groups(df, keys, order[0], hot_rows=hot_rows)
     with_before = previous_row(sliced, keys, order, {"__t0": t, "__v0": value})
     area = F.when(F.col("__t0").isNull(), 0.5 * (F.col(value) + start) * F.col(t)).otherwise(
         0.5 * (F.col(value) + F.col("__v0")) * (F.col(t) - F.col("__t0"))
     )
-    areas = with_before.withColumn("__area", area).drop("__t0", "__v0")
-    return running_total(areas, keys, order, {out: "__area"}).drop("__area", "slice")
+    areas = Sliced(with_before.rows.withColumn("__area", area).drop("__t0", "__v0"), with_before.cut)
+    return running_total(areas, keys, order, {out: "__area"}).done().drop("__area")
 
 
 def align_time(fine: DataFrame, times: Sequence[float], step_seconds: int = 1800) -> DataFrame:
@@ -95,7 +95,8 @@ def fractional_dose_sum(
         )
     ordered = pool.agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("e"))
     values = ordered.select(F.col("e")["value"].alias("v")).first()["v"]
-    array = F.lit([float(v) for v in values])
+    # One text literal, folded to an array by the optimizer: a literal per value is slow to build.
+    array = F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
     keys = [F.col(k) for k in (draw_keys or ids)]
 
     def add(total: Column, i: Column) -> Column:

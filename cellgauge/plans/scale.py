@@ -21,7 +21,7 @@ BROADCAST_BYTES = 64 << 20  # largest table sent to every executor
 HOT_SHARE = 1000  # a hot group holds more than 1/HOT_SHARE of the rows
 HOT_ROWS = 1_000_000  # and more rows than one task handles with ease
 SLICES = 1024  # ordered pieces a hot group is cut into
-SALTS = 1024  # unordered pieces used by two-stage top-n
+SALTS = 64  # unordered pieces used by two-stage top-n
 SKETCH = 100_000  # rank resolution of the quantile sketch
 
 
@@ -119,10 +119,11 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return settle(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
 
 
-def hot_groups(sizes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The groups too large for one task; at most ``HOT_SHARE`` rows by construction."""
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    return sizes.filter(F.col("n") > max(total / HOT_SHARE, hot_rows))
+def hot_groups(sizes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The groups too large for one task, or None; at most ``HOT_SHARE`` by construction."""
+    row = sizes.agg(F.sum("n").alias("total"), F.max("n").alias("largest")).first()
+    bound = max((row["total"] or 0) / HOT_SHARE, hot_rows)
+    return sizes.filter(F.col("n") > bound) if (row["largest"] or 0) > bound else None
 
 
 # --------------------------------------------------------------------------
@@ -130,6 +131,25 @@ def hot_groups(sizes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 # --------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Sliced:
+    """Rows ready for ordered work inside groups.
+
+    With ``cut`` there is a column ``slice``: 0..slices-1 in hot groups, rising with
+    the order, and -1 elsewhere. Without it every group fits one task.
+    """
+
+    rows: DataFrame
+    cut: bool
+
+    def units(self, keys: Sequence[str]) -> list[str]:
+        """The columns whose values one task may take on its own."""
+        return [*keys, "slice"] if self.cut else list(keys)
+
+    def done(self) -> DataFrame:
+        return self.rows.drop("slice") if self.cut else self.rows
+
+
 def slice_groups(
     df: DataFrame,
     keys: Sequence[str],
@@ -138,19 +158,19 @@ def slice_groups(
     sizes: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     slices: int = SLICES,
-) -> DataFrame:
-    """Add ``slice``: 0..slices-1, rising with ``order``, in hot groups and -1 elsewhere.
+) -> Sliced:
+    """Cut hot groups into ordered slices.
 
     Cut points are sketched quantiles, so slices hold similar numbers of rows
     whatever the distribution; equal values always share a slice.
     """
     sizes = group_sizes(df, keys) if sizes is None else sizes
-    hot = hot_groups(sizes, hot_rows).select(*keys, F.col("n").alias("__n"))
-    if hot.isEmpty():
-        return df.withColumn("slice", F.lit(-1))
+    hot = hot_groups(sizes, hot_rows)
+    if hot is None:
+        return Sliced(df, False)
     fan = int(slices**0.5)
     slices = fan * fan
-    rows = match(df, hot, keys, "left_semi", broadcast=True) if keys else df
+    rows = match(df, hot.select(*keys), keys, "left_semi", broadcast=True) if keys else df
     value = F.col(order).cast("double")
     cuts = rows.groupBy(*keys).agg(
         F.percentile_approx(value, [i / slices for i in range(1, slices)], 20 * slices).alias(
@@ -168,66 +188,64 @@ def slice_groups(
     inner = F.size(
         F.filter(F.slice("__fine", F.col("__block") * fan + 1, F.lit(fan - 1)), lambda c: c < value)
     )
-    return (
+    numbered = (
         tagged.withColumn("__block", F.when(F.col("__fine").isNotNull(), block))
         .withColumn("slice", F.coalesce(F.col("__block") * fan + inner, F.lit(-1)))
         .drop("__fine", "__coarse", "__block")
     )
+    return Sliced(numbered, True)
 
 
-def _slice_table(sliced: DataFrame, keys: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
+def _slice_table(rows: DataFrame, keys: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
     """One row per slice of a hot group: at most ``HOT_SHARE * SLICES`` rows."""
-    return sliced.filter("slice >= 0").groupBy(*keys, "slice").agg(*aggregates)
+    return rows.filter("slice >= 0").groupBy(*keys, "slice").agg(*aggregates)
 
 
 def running_total(
-    sliced: DataFrame, keys: Sequence[str], order: Sequence[str], amounts: dict[str, str]
-) -> DataFrame:
-    """Running sums inside groups; ``sliced`` comes from :func:`slice_groups`.
+    sliced: Sliced, keys: Sequence[str], order: Sequence[str], amounts: dict[str, str]
+) -> Sliced:
+    """Running sums inside groups.
 
     Each slice sums on its own and is shifted by the totals of the slices before it.
     """
+    rows = sliced.rows
     inside = (
-        Window.partitionBy(*keys, "slice")
+        Window.partitionBy(*sliced.units(keys))
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    before = (
-        Window.partitionBy(*keys, F.lit(0)).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    if not sliced.cut:
+        sums = [F.sum(column).over(inside).alias(out) for out, column in amounts.items()]
+        return Sliced(rows.select("*", *sums), False)
+    before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = _slice_table(
-        sliced, keys, [F.sum(column).alias(f"__{out}") for out, column in amounts.items()]
+        rows, keys, [F.sum(column).alias(f"__{out}") for out, column in amounts.items()]
     )
     shifts = settle(
         totals.select(
-            *keys,
-            "slice",
-            *[F.sum(f"__{out}").over(before).alias(f"__shift_{out}") for out in amounts],
+            *keys, "slice", *[F.sum(f"__{out}").over(before).alias(f"__shift_{out}") for out in amounts]
         )
     )
-    if shifts.isEmpty():
-        shifted = sliced.select("*", *[F.lit(0).alias(f"__shift_{out}") for out in amounts])
-    else:
-        shifted = attach(sliced, shifts, [*keys, "slice"], how="left")
-    return shifted.select(
-        *sliced.columns,
-        *[
-            (F.sum(column).over(inside) + F.coalesce(F.col(f"__shift_{out}"), F.lit(0))).alias(out)
-            for out, column in amounts.items()
-        ],
-    )
+    shifted = attach(rows, shifts, [*keys, "slice"], how="left")
+    sums = [
+        (F.sum(column).over(inside) + F.coalesce(F.col(f"__shift_{out}"), F.lit(0))).alias(out)
+        for out, column in amounts.items()
+    ]
+    return Sliced(shifted.select(*rows.columns, *sums), True)
 
 
 def previous_row(
-    sliced: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str]
-) -> DataFrame:
+    sliced: Sliced, keys: Sequence[str], order: Sequence[str], columns: dict[str, str]
+) -> Sliced:
     """Values of the preceding row inside groups, also across slice borders."""
-    inside = Window.partitionBy(*keys, "slice").orderBy(*order)
-    along = Window.partitionBy(*keys, F.lit(0)).orderBy("slice")
+    rows = sliced.rows
+    inside = Window.partitionBy(*sliced.units(keys)).orderBy(*order)
+    if not sliced.cut:
+        lags = [F.lag(column).over(inside).alias(out) for out, column in columns.items()]
+        return Sliced(rows.select("*", *lags), False)
+    along = Window.partitionBy(*keys).orderBy("slice")
     last = _slice_table(
-        sliced,
-        keys,
-        [F.max_by(F.struct(*columns.values()), F.struct(*order)).alias("__last")],
+        rows, keys, [F.max_by(F.struct(*columns.values()), F.struct(*order)).alias("__last")]
     )
     borders = settle(
         last.select(
@@ -239,30 +257,40 @@ def previous_row(
             ],
         )
     )
-    if borders.isEmpty():
-        bordered = sliced.select("*", *[F.lit(None).alias(f"__border_{out}") for out in columns])
-    else:
-        bordered = attach(sliced, borders, [*keys, "slice"], how="left")
-    return bordered.select(
-        *sliced.columns,
-        *[
-            F.when(F.row_number().over(inside) == 1, F.col(f"__border_{out}"))
-            .otherwise(F.lag(column).over(inside))
-            .alias(out)
-            for out, column in columns.items()
-        ],
-    )
+    bordered = attach(rows, borders, [*keys, "slice"], how="left")
+    lags = [
+        F.when(F.row_number().over(inside) == 1, F.col(f"__border_{out}"))
+        .otherwise(F.lag(column).over(inside))
+        .alias(out)
+        for out, column in columns.items()
+    ]
+    return Sliced(bordered.select(*rows.columns, *lags), True)
 
 
 def first_n(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, *, salts: int = SALTS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, *, salts: int = SALTS, sketch: int = SKETCH
 ) -> DataFrame:
-    """The first ``n`` rows of every group by ``order``, in two stages.
+    """The first ``n`` rows of every group by ``order``, whose first column is numeric.
 
-    Salted pieces of a group are cut to ``n`` rows before the group meets, so the
-    last step sees at most ``n * salts`` rows of any group.
+    A sketch gives each group a bound that at least ``n`` rows lie below, mostly not
+    many more; the rest never leaves its task. What is left is ranked in two stages,
+    salted pieces first, so that many rows at the bound do not meet in one task.
     """
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    value = F.col(order[0]).cast("double")
+    shares = [2.0**-k for k in range(1, 25)]  # tried from the smallest
+    stats = df.groupBy(*keys).agg(
+        F.count(value).alias("__n"),
+        F.max(value).alias("__max"),
+        F.percentile_approx(value, shares, sketch).alias("__at"),
+    )
+    bound = F.col("__max")
+    for k, share in enumerate(shares):
+        enough = F.col("__n") * share >= n + 4 + 4.0 * F.col("__n") / sketch
+        bound = F.when(enough, F.col("__at")[k]).otherwise(bound)
+    bounds = settle(stats.select(*keys, "__n", bound.alias("__bound")))
+    near = attach(df, bounds, keys, weight="__n")
+    near = near.filter(value.isNull() | (value <= F.col("__bound"))).select(*df.columns)  # nulls sort first
+    salted = near.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     pieces = Window.partitionBy(*keys, "__salt").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
     return (
@@ -314,25 +342,28 @@ def order_statistics(
     aggregates = [F.count(c).alias(f"__n_{c}") for c in columns]
     for c in columns:
         aggregates += [F.min(c).alias(f"__min_{c}"), F.max(c).alias(f"__max_{c}")]
-    for i, w in enumerate(wanted):
-        shares = []
+    shares: dict[str, list[float]] = {c: [] for c in columns}  # one sketch serves a column
+    offsets = []
+    for w in wanted:
+        offsets.append(len(shares[w.column]))
         for level in levels:
             margin = 4.0 * level / sketch
-            shares += [max(0.0, w.share - margin), min(1.0, w.share + margin)]
-        aggregates.append(F.percentile_approx(w.column, shares, sketch).alias(f"__bracket_{i}"))
+            shares[w.column] += [max(0.0, w.share - margin), min(1.0, w.share + margin)]
+    for c in columns:
+        aggregates.append(F.percentile_approx(c, shares[c], sketch).alias(f"__bracket_{c}"))
     stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *aggregates)
     ranges = []
     for i, w in enumerate(wanted):
-        n, bracket = F.col(f"__n_{w.column}"), F.col(f"__bracket_{i}")
+        n, bracket = F.col(f"__n_{w.column}"), F.col(f"__bracket_{w.column}")
         low, high = F.col(f"__min_{w.column}"), F.col(f"__max_{w.column}")
         for k, level in reversed(list(enumerate(levels))):
             enough = n * level >= sketch
-            low = F.when(enough, bracket[2 * k]).otherwise(low)
-            high = F.when(enough, bracket[2 * k + 1]).otherwise(high)
+            low = F.when(enough, bracket[offsets[i] + 2 * k]).otherwise(low)
+            high = F.when(enough, bracket[offsets[i] + 2 * k + 1]).otherwise(high)
         ranges += [low.alias(f"__lo_{i}"), high.alias(f"__hi_{i}")]
     stats = settle(stats.select(*keys, "n", *[f"__n_{c}" for c in columns], *ranges))
 
-    entries = []
+    entries, anywhere = [], F.lit(False)
     for i, w in enumerate(wanted):
         x, low, high = F.col(w.column), F.col(f"__lo_{i}"), F.col(f"__hi_{i}")
         if w.share <= 0.5:  # count from below
@@ -341,12 +372,14 @@ def order_statistics(
         else:  # count from above, with the sign turned
             outside, near = x > high, x >= low
             y = -x.cast("double")
+        anywhere = anywhere | near
         entries.append(
             F.when(near, F.struct(F.lit(i).alias("i"), F.when(~outside, y).alias("y")))
         )
     bounds = [f"__{side}_{i}" for side in ("lo", "hi") for i in range(len(wanted))]
+    bounded = attach(df.select(*keys, *columns), stats.select(*keys, "n", *bounds), keys)
     counted = (
-        attach(df.select(*keys, *columns), stats.select(*keys, "n", *bounds), keys)
+        bounded.filter(anywhere)  # far most rows end here
         .select(*keys, F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
         .groupBy(*keys, "e.i", "e.y")
         .agg(F.count(F.lit(1)).alias("c"))

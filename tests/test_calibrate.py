@@ -145,8 +145,8 @@ def test_one_pass_scores_equal_general_discrepancy(spark):
     particles = priors.prior_table(spark, layout, 5, seed=2).select("particle_id", "theta")
     seen = observe(model(particles.filter("particle_id = 1").withColumn("particle_id", F.lit(99).cast("long"))).drop("particle_id"), model.keys, ["cy5", "bdp"])
     predicted = settle(model(particles))
-    fast = {r["particle_id"]: r["rho"] for r in predict.score_cells(predicted, seen, max_rows=60).collect()}
-    general = {r["particle_id"]: r["rho"] for r in discrepancy(predicted, seen, ["particle_id"]).collect()}
+    fast = {r["particle_id"]: r["rho"] for r in discrepancy(predicted, seen, ["particle_id"], max_rows=60).collect()}
+    general = {r["particle_id"]: r["rho"] for r in discrepancy(predicted, seen, ["particle_id"], hot_rows=10).collect()}
     assert len(fast) == 5 and fast == pytest.approx(general)
     scored_particles = {r["particle_id"]: r for r in predict.score_particles(particles, model, seen).collect()}
     assert {k: r["rho"] for k, r in scored_particles.items()} == pytest.approx(fast)

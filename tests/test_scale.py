@@ -43,10 +43,10 @@ def test_running_total_and_previous_row(spark, lopsided, hot_rows):
     df = spark.createDataFrame(lopsided.assign(g=lopsided["g"].fillna("none"))).repartition(5)
     sliced = scale.slice_groups(df, ["g"], "x", hot_rows=hot_rows, slices=64)
     if hot_rows == 100:
-        counts = {r["slice"]: r["count"] for r in sliced.filter("g = 'big'").groupBy("slice").count().collect()}
+        counts = {r["slice"]: r["count"] for r in sliced.rows.filter("g = 'big'").groupBy("slice").count().collect()}
         assert len(counts) > 40 and max(counts.values()) < 1500  # 800 ties share one slice
     out = scale.running_total(sliced, ["g"], ["x", "id"], {"total": "x"})
-    out = scale.previous_row(out, ["g"], ["x", "id"], {"before": "x"}).toPandas()
+    out = scale.previous_row(out, ["g"], ["x", "id"], {"before": "x"}).done().toPandas()
     assert len(out) == len(lopsided)
     for _, part in out.groupby("g"):
         part = part.sort_values(["x", "id"])
@@ -58,13 +58,14 @@ def test_running_total_and_previous_row(spark, lopsided, hot_rows):
 def test_whole_table_is_sliced_when_large(spark):
     df = spark.range(5000).select((F.col("id") * 7 % 5000).alias("v"), F.lit(1).alias("one"))
     sliced = scale.slice_groups(df, [], "v", hot_rows=100, slices=16)
-    out = scale.running_total(sliced, [], ["v"], {"rank": "one"})
+    out = scale.running_total(sliced, [], ["v"], {"rank": "one"}).done()
     assert out.filter("rank != v + 1").count() == 0
 
 
-def test_first_n(spark, lopsided):
-    df = spark.createDataFrame(lopsided)
-    got = scale.first_n(df, ["g"], ["x", "id"], 50, salts=8).toPandas()
+@pytest.mark.parametrize("sketch", [100_000, 500])
+def test_first_n(spark, lopsided, sketch):
+    df = spark.createDataFrame(lopsided).repartition(6)
+    got = scale.first_n(df, ["g"], ["x", "id"], 50, salts=8, sketch=sketch).toPandas()
     for g, part in lopsided.groupby("g", dropna=False):
         mine = got[got["g"].isna()] if pd.isna(g) else got[got["g"] == g]
         assert sorted(mine["id"]) == sorted(part.sort_values(["x", "id"]).head(50)["id"])
