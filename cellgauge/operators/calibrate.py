@@ -8,7 +8,7 @@ folder and read again, which cuts the lineage and survives lost executors.
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +23,9 @@ from cellgauge.operators.predict import Association, Internalisation, Model, sco
 from cellgauge.plans.scale import settle
 from cellgauge.sources.wells import load_round, save_round
 
+#: A score takes (particles, model, observed, stream=...) and adds ``rho`` and ``reason``.
+Score = Callable[..., DataFrame]
+
 METRICS_SCHEMA = (
     "run_id string, round int, threshold double, trial_rate double, repeat long, capped boolean, "
     "steps int, rate double, seconds double, stop string"
@@ -47,6 +50,7 @@ class Calibration:
     max_rounds: int | None = None
     max_steps: int | None = None
     method: str = "xxhash64"
+    score: Score = score_particles
 
 
 def stop_rule(config: Calibration, round_no: int, rate: float, threshold: float, seconds: float) -> str | None:
@@ -77,7 +81,7 @@ def move_step(
     )
     passing = settle(passing.select("particle_id", "proposal"))
     candidates = passing.withColumnRenamed("proposal", "theta")
-    scored = score_particles(candidates, model, observed, stream=stream).select(
+    scored = config.score(candidates, model, observed, stream=stream).select(
         "particle_id", F.col("theta").alias("proposal"), F.col("rho").alias("rho_new")
     )
     moved = parts.abc_accept(moving, scored, threshold)
@@ -129,7 +133,7 @@ def initial_particles(spark: SparkSession, config: Calibration, model: Model, ob
     drawn = settle(priors.prior_table(spark, config.layout, config.particles, config.seed, method=config.method))
     if not drawn.filter("exhausted").isEmpty():
         raise ValueError("a truncated draw found no value; choose another seed or prior")
-    scored = score_particles(drawn.select("particle_id", "theta"), model, observed, stream="0-0-")
+    scored = config.score(drawn.select("particle_id", "theta"), model, observed, stream="0-0-")
     return settle(scored.select("particle_id", "theta", F.coalesce("rho", F.lit(float("inf"))).alias("rho")))
 
 

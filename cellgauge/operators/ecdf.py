@@ -49,7 +49,7 @@ def ecdf_grid(df: DataFrame, keys: Sequence[str], value: str, knots: int = KNOTS
     are counted by interval, which combines on the map side, and summed up along the
     knots; the cost is linear in the values and the sample is never gathered.
     """
-    valid = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    valid = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, value)
     ranges = sample_range(valid, keys, value)
     ranges = settle(ranges.withColumn("step", (F.col("hi") + WIDEN - F.col("lo")) / (knots - 1)))
     placed = attach(valid, ranges, keys)

@@ -22,7 +22,8 @@ HOT_SHARE = 1000  # a hot group holds more than 1/HOT_SHARE of the rows
 HOT_ROWS = 1_000_000  # and more rows than one task handles with ease
 SLICES = 1024  # ordered pieces a hot group is cut into
 SALTS = 64  # unordered pieces used by two-stage top-n
-SKETCH = 100_000  # rank resolution of the quantile sketch
+SKETCH = 10_000  # rank resolution of the quantile sketch
+MERGE_WAYS = 256  # tasks that share the merging of one group's sketches
 
 
 # --------------------------------------------------------------------------
@@ -172,16 +173,19 @@ def slice_groups(
     slices = fan * fan
     rows = match(df, hot.select(*keys), keys, "left_semi", broadcast=True) if keys else df
     value = F.col(order).cast("double")
-    cuts = rows.groupBy(*keys).agg(
-        F.percentile_approx(value, [i / slices for i in range(1, slices)], 20 * slices).alias(
-            "__fine"
-        )
+    points = F.percentile_approx(value, [i / slices for i in range(1, slices)], 8 * slices)
+    shares = _sketched(rows, keys, [points.alias("__points")])
+    # Any rising cut points are right; the mean over the shares balances the slices.
+    means = (
+        shares.select(*keys, F.posexplode("__points").alias("__at", "__point"))
+        .groupBy(*keys, "__at")
+        .agg(F.avg("__point").alias("__point"))
     )
+    listed = F.array_sort(F.collect_list(F.struct("__at", "__point")))["__point"]  # slices - 1 entries
+    fine = F.array_sort(listed)
+    coarse = F.transform(F.sequence(F.lit(1), F.lit(fan - 1)), lambda i: F.col("__fine")[i * fan - 1])
     cuts = settle(
-        cuts.withColumn(
-            "__coarse",
-            F.transform(F.sequence(F.lit(1), F.lit(fan - 1)), lambda i: F.col("__fine")[i * fan - 1]),
-        )
+        means.groupBy(*keys).agg(fine.alias("__fine")).withColumn("__coarse", coarse)
     )
     tagged = match(df, cuts, keys, "left", broadcast=True) if keys else attach(df, cuts, keys)
     block = F.size(F.filter("__coarse", lambda c: c < value))
@@ -278,15 +282,19 @@ def first_n(
     """
     value = F.col(order[0]).cast("double")
     shares = [2.0**-k for k in range(1, 25)]  # tried from the smallest
-    stats = df.groupBy(*keys).agg(
+    parts = [
         F.count(value).alias("__n"),
         F.max(value).alias("__max"),
         F.percentile_approx(value, shares, sketch).alias("__at"),
+    ]
+    tops = [F.max(F.col("__at")[k]).alias(f"__at_{k}") for k in range(len(shares))]
+    stats = _sketched(df.select(*keys, order[0]), keys, parts).groupBy(*keys).agg(
+        F.sum("__n").alias("__n"), F.max("__max").alias("__max"), F.count(F.lit(1)).alias("__ways"), *tops
     )
     bound = F.col("__max")
     for k, share in enumerate(shares):
-        enough = F.col("__n") * share >= n + 4 + 4.0 * F.col("__n") / sketch
-        bound = F.when(enough, F.col("__at")[k]).otherwise(bound)
+        enough = F.col("__n") * share >= n + 4 + F.col("__ways") + 4.0 * F.col("__n") / sketch
+        bound = F.when(enough, F.col(f"__at_{k}")).otherwise(bound)
     bounds = settle(stats.select(*keys, "__n", bound.alias("__bound")))
     near = attach(df, bounds, keys, weight="__n")
     near = near.filter(value.isNull() | (value <= F.col("__bound"))).select(*df.columns)  # nulls sort first
@@ -326,22 +334,22 @@ def quantile(name: str, column: str, p: float) -> Position:
     return Position(name, column, p, lambda n: (n - 1) * F.lit(float(p)))
 
 
-def order_statistics(
-    df: DataFrame, keys: Sequence[str], wanted: Sequence[Position], *, sketch: int = SKETCH
-) -> DataFrame:
-    """Exact order statistics per group without sorting or gathering the groups.
+def _sketched(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
+    """Aggregates per group and input share, so that no task merges all sketches of a hot group.
 
-    A sketch brackets each wanted position; one more pass counts what lies outside
-    the bracket (on its nearer side) and keeps the few values inside, already
-    combined by value. Only those are ranked. Nulls are left out, as in SQL
-    aggregates. The bracket is 4 sketch errors wide to each side, and a position
-    it misses raises an error rather than giving a wrong value.
+    Rows are told apart by input partition modulo ``MERGE_WAYS``. Quantiles of the
+    shares bound those of the group: the smallest of the shares' quantiles has at
+    most that part of the group below it, the largest at least that part.
     """
+    shared = df.withColumn("__share", F.pmod(F.spark_partition_id(), F.lit(MERGE_WAYS)))
+    return shared.groupBy(*keys, "__share").agg(*aggregates)
+
+
+def _brackets(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], wanted: Sequence[Position], sketch: int
+) -> DataFrame:
+    """Per group: row count ``n``, counts per column, and a range around every wanted position."""
     levels = [10**k for k in range(4)]  # the fewer the rows, the wider the bracket
-    columns = sorted({w.column for w in wanted})
-    aggregates = [F.count(c).alias(f"__n_{c}") for c in columns]
-    for c in columns:
-        aggregates += [F.min(c).alias(f"__min_{c}"), F.max(c).alias(f"__max_{c}")]
     shares: dict[str, list[float]] = {c: [] for c in columns}  # one sketch serves a column
     offsets = []
     for w in wanted:
@@ -349,19 +357,54 @@ def order_statistics(
         for level in levels:
             margin = 4.0 * level / sketch
             shares[w.column] += [max(0.0, w.share - margin), min(1.0, w.share + margin)]
+    parts = [F.count(F.lit(1)).alias("__rows")]
+    merged = [F.sum("__rows").alias("n"), F.count(F.lit(1)).alias("__ways")]
     for c in columns:
-        aggregates.append(F.percentile_approx(c, shares[c], sketch).alias(f"__bracket_{c}"))
-    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *aggregates)
+        parts += [
+            F.count(c).alias(f"__n_{c}"),
+            F.min(c).alias(f"__min_{c}"),
+            F.max(c).alias(f"__max_{c}"),
+            F.percentile_approx(c, shares[c], sketch).alias(f"__at_{c}"),
+        ]
+        merged += [F.sum(f"__n_{c}").alias(f"__n_{c}")]
+        merged += [F.min(f"__min_{c}").alias(f"__min_{c}"), F.max(f"__max_{c}").alias(f"__max_{c}")]
+    for i, w in enumerate(wanted):
+        at = F.col(f"__at_{w.column}")
+        for k in range(len(levels)):
+            merged.append(F.min(at[offsets[i] + 2 * k]).alias(f"__low_{i}_{k}"))
+            merged.append(F.max(at[offsets[i] + 2 * k + 1]).alias(f"__high_{i}_{k}"))
+    stats = _sketched(df.select(*keys, *columns), keys, parts).groupBy(*keys).agg(*merged)
     ranges = []
     for i, w in enumerate(wanted):
-        n, bracket = F.col(f"__n_{w.column}"), F.col(f"__bracket_{w.column}")
         low, high = F.col(f"__min_{w.column}"), F.col(f"__max_{w.column}")
         for k, level in reversed(list(enumerate(levels))):
-            enough = n * level >= sketch
-            low = F.when(enough, bracket[offsets[i] + 2 * k]).otherwise(low)
-            high = F.when(enough, bracket[offsets[i] + 2 * k + 1]).otherwise(high)
+            # The margin must cover the sketch error and one rounded rank per share.
+            margin_rows = F.col(f"__n_{w.column}") * (4.0 * level / sketch)
+            enough = margin_rows >= 2 * (F.col("__ways") + 2)
+            low = F.when(enough, F.col(f"__low_{i}_{k}")).otherwise(low)
+            high = F.when(enough, F.col(f"__high_{i}_{k}")).otherwise(high)
         ranges += [low.alias(f"__lo_{i}"), high.alias(f"__hi_{i}")]
-    stats = settle(stats.select(*keys, "n", *[f"__n_{c}" for c in columns], *ranges))
+    return stats.select(*keys, "n", *[f"__n_{c}" for c in columns], *ranges)
+
+
+def order_statistics(
+    df: DataFrame,
+    keys: Sequence[str],
+    wanted: Sequence[Position],
+    *,
+    sketch: int = SKETCH,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Exact order statistics per group without sorting or gathering the groups.
+
+    A sketch brackets each wanted position; one more pass counts what lies outside
+    the bracket (on its nearer side) and keeps the few values inside, already
+    combined by value. Only those are ranked, in slices where a group is hot. Nulls
+    are left out, as in SQL aggregates. A position its bracket missed would raise
+    an error rather than give a wrong value.
+    """
+    columns = sorted({w.column for w in wanted})
+    stats = settle(_brackets(df, keys, columns, wanted, sketch))
 
     entries, anywhere = [], F.lit(False)
     for i, w in enumerate(wanted):
@@ -384,8 +427,13 @@ def order_statistics(
         .groupBy(*keys, "e.i", "e.y")
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    ranking = Window.partitionBy(*keys, "i").orderBy(F.col("y").asc_nulls_first())
-    ranked = counted.withColumn("upto", F.sum("c").over(ranking))
+    cell = [*keys, "i"]
+    if hot_groups(stats.select("n"), hot_rows) is None:
+        cut = Sliced(counted, False)
+    else:
+        counted = settle(counted)
+        cut = slice_groups(counted, cell, "y", hot_rows=hot_rows)
+    ranked = running_total(cut, cell, ["y"], {"upto": "c"}).done()  # what is outside has a null y: first
 
     # Positions wanted from each group, as one-based ranks on the counting side.
     places = []

@@ -19,12 +19,16 @@ RATES = """rates AS (SELECT p_partkey, p_size / 100.0::DOUBLE AS lam, (p_retailp
   (p_partkey % 10) / 50.0::DOUBLE AS p FROM part),
 timed AS (SELECT *, unnest([0.0::DOUBLE, 10.0, 60.0, 120.0]) AS t FROM rates),
 named AS (SELECT *, lam + beta AS s, lam + beta * p AS a, lam - beta * (1 - p) AS d FROM timed),
+phi AS (SELECT *, CASE WHEN abs(d * t) < 1e-6 THEN 1 - d * t / 2 ELSE (1 - exp(-d * t)) / (d * t) END AS phi FROM named),
 shares AS (SELECT *,
+  CASE WHEN abs(d) < 1e-5 THEN lam * (beta * p * s * a * t + lam * (1 - p) * (s + beta * p)
+      - lam * (1 - p) * exp(-beta * t) * (beta * beta * t * phi + a + beta)) / (s * a * a) ELSE
   (lam * d * (beta * p * s * a * t + lam * (1 - p) * (s + beta * p))
-    + lam * lam * (1 - p) * (beta * beta * exp(-a * t) - a * a * exp(-beta * t))) / (s * a * a * d) AS internal,
-  beta * (p * s * d + lam * (1 - p) * (a * exp(-beta * t) - beta * exp(-a * t))) / (s * a * d) AS surface,
+    + lam * lam * (1 - p) * (beta * beta * exp(-a * t) - a * a * exp(-beta * t))) / (s * a * a * d) END AS internal,
+  CASE WHEN abs(d) < 1e-5 THEN beta * (p * s + lam * (1 - p) * exp(-beta * t) * (1 + beta * t * phi)) / (s * a) ELSE
+  beta * (p * s * d + lam * (1 - p) * (a * exp(-beta * t) - beta * exp(-a * t))) / (s * a * d) END AS surface,
   beta * (p * s * d + lam * beta * (lam * p - 1) * exp(-a * t) + lam * p * exp(-beta * t)) / (s * a * d) AS published
-  FROM named)"""
+  FROM phi)"""
 
 
 def rates(spark, sf):
@@ -37,22 +41,18 @@ def rates(spark, sf):
     return part.withColumn("t", F.explode(F.lit(TIMES)))
 
 
-# Rates within 1e-5 of the removable singularity are left to the tests: the SQL form divides by d.
 @query(
     "compartment_response",
-    f"""WITH {RATES} SELECT p_partkey, t, CASE WHEN abs(d) > 1e-5 THEN round(surface, 6) END AS surface,
-  CASE WHEN abs(d) > 1e-5 THEN round(internal, 6) END AS internal FROM shares""",
+    f"WITH {RATES} SELECT p_partkey, t, round(surface, 6) AS surface, round(internal, 6) AS internal FROM shares",
 )
 def compartment_response(spark, sf):
     surface, internal = response.compartment_response("t", "lam", "beta", "p")
-    safe = F.abs(F.col("lam") - F.col("beta") * (1 - F.col("p"))) > 1e-5
     return rates(spark, sf).select(
-        "p_partkey", "t",
-        F.when(safe, F.round(surface, 6)).alias("surface"),
-        F.when(safe, F.round(internal, 6)).alias("internal"),
+        "p_partkey", "t", F.round(surface, 6).alias("surface"), F.round(internal, 6).alias("internal")
     )
 
 
+# The published form has a pole at d = 0; values next to it are nulled on both sides.
 @query(
     "compartment_reference_form",
     f"WITH {RATES} SELECT p_partkey, t, CASE WHEN abs(d) > 1e-5 THEN round(published, 6) END AS surface FROM shares",
@@ -150,7 +150,7 @@ def fractional_dose_join(spark, sf):
     "assemble_signal",
     f"""
 WITH {RATES}, c AS (SELECT p_partkey, t, surface, internal, p_partkey % 2 = 0 AS quenched, p_partkey / 1000.0::DOUBLE - 0.01 AS r,
-  5 * {sql_normal(3, "noise", "p_partkey", "t::BIGINT")} AS noise FROM shares WHERE abs(d) > 1e-5 AND t > 0)
+  5 * {sql_normal(3, "noise", "p_partkey", "t::BIGINT")} AS noise FROM shares)
 SELECT p_partkey, t, quenched,
   round(8500 * greatest(0, CASE WHEN quenched THEN r * (internal + (1 - 0.9::DOUBLE) * surface) ELSE r * (surface + internal) END)
     + 30 + noise, 3) AS cy5,
@@ -159,9 +159,8 @@ SELECT p_partkey, t, quenched,
 )
 def assemble_signal(spark, sf):
     surface, internal = response.compartment_response("t", "lam", "beta", "p")
-    safe = F.abs(F.col("lam") - F.col("beta") * (1 - F.col("p"))) > 1e-5
     noise = draws.normal(3, "noise", ["p_partkey", F.col("t").cast("long")], 0.0, 5.0)
-    df = rates(spark, sf).filter(safe & (F.col("t") > 0)).select(
+    df = rates(spark, sf).select(
         "p_partkey", "t", surface.alias("surface"), internal.alias("internal"),
         (F.col("p_partkey") % 2 == 0).alias("quenched"), (F.col("p_partkey") / 1000.0 - 0.01).alias("R"),
         noise.alias("noise_1"), (-noise).alias("noise_2"), F.lit(8500.0).alias("alpha_1"), F.lit(38.0).alias("alpha_2"),

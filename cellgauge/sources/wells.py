@@ -87,7 +87,7 @@ def split_wells(df: DataFrame, name: str = "well", exp: str = "DualMarker") -> t
 
 def read_control(spark: SparkSession, path: str, position: int) -> DataFrame:
     """One column of a headered control export, by zero-based position, named ``value``."""
-    export = spark.read.option("samplingRatio", 0.1).csv(path, header=True)
+    export = spark.read.csv(path, header=True)  # without inference: only the header is read here
     chosen = export.columns[position]
     return export.select(F.col(f"`{chosen}`").cast("double").alias("value"))
 
