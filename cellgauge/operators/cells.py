@@ -74,7 +74,8 @@ def clip_quantiles(
     """
     bounds = settle(clip_bounds(df, keys, columns, lo, hi)) if bounds is None else bounds
     names = [f"{c}_{side}" for c in columns for side in ("lo", "hi")]
-    kept = attach(df, bounds.select(*keys, "n", *[F.col(c).alias(f"__{c}") for c in names]).withColumnRenamed("n", "__n"), keys, weight="__n")
+    renamed = bounds.select(*keys, F.col("n").alias("__n"), *[F.col(c).alias(f"__{c}") for c in names])
+    kept = attach(df, renamed, keys, weight="__n")
     for c in columns:
         kept = kept.filter((F.col(c) > F.col(f"__{c}_lo")) & (F.col(c) < F.col(f"__{c}_hi")))
     return kept.select(*df.columns)
@@ -106,16 +107,24 @@ def prepare_wells(
 ) -> tuple[DataFrame, DataFrame]:
     """Raw cells to (cleaned cells, well summary): P2, A1, A2 and A3 in order.
 
-    Counts and geometric means of the kept cells come from one aggregation.
+    The summary is one pass over the raw cells with conditional aggregates; a well
+    that loses all its cells keeps its row.
     """
-    clean = clip_quantiles(positive_signal(raw, columns), keys, columns, lo, hi)
-    before = raw.groupBy(*keys).agg(F.count(F.lit(1)).alias("cell_count"))
-    after = clean.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("cell_count_nz"),
-        *[F.exp(F.avg(F.log(c))).alias(c) for c in columns],
+    positive = positive_signal(raw, columns)
+    bounds = settle(clip_bounds(positive, keys, columns, lo, hi))
+    clean = clip_quantiles(positive, keys, columns, lo, hi, bounds=bounds)
+    names = [f"{c}_{side}" for c in columns for side in ("lo", "hi")]
+    renamed = bounds.select(*keys, F.col("n").alias("__n"), *[F.col(c).alias(f"__{c}") for c in names])
+    judged = attach(raw.select(*keys, *columns), renamed, keys, how="left", weight="__n")
+    kept = F.lit(True)
+    for c in columns:
+        kept = kept & (F.col(c) > 0) & (F.col(c) > F.col(f"__{c}_lo")) & (F.col(c) < F.col(f"__{c}_hi"))
+    summary = judged.withColumn("__kept", F.coalesce(kept, F.lit(False))).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("cell_count"),
+        F.count(F.when(F.col("__kept"), 1)).alias("cell_count_nz"),
+        *[F.exp(F.avg(F.when(F.col("__kept"), F.log(c)))).alias(c) for c in columns],
     )
-    summary = match(before, after, keys, "left", broadcast=False)
-    return clean, summary.withColumn("cell_count_nz", F.coalesce("cell_count_nz", F.lit(0)))
+    return clean, summary
 
 
 # --- controls -------------------------------------------------------------
