@@ -138,12 +138,21 @@ def initial_particles(spark: SparkSession, config: Calibration, model: Model, ob
 
 
 def calibrate(
-    spark: SparkSession, config: Calibration, model: Model, observed: Observed
+    spark: SparkSession, config: Calibration, model: Model, observed: Observed, *, after_round: int = 0
 ) -> tuple[DataFrame, DataFrame]:
-    """Rounds of C3-C6 until T3, each saved (S8). Returns particles and round metrics."""
-    state = initial_particles(spark, config, model, observed)
+    """Rounds of C3-C6 until T3, each saved (S8). Returns particles and round metrics.
+
+    ``after_round`` goes on from a saved round, after a lost driver for instance. Draws
+    are keyed by round and step, so the rounds that follow are those of an
+    uninterrupted run.
+    """
+    if after_round:
+        saved = load_round(spark, config.folder, config.run_id, after_round)
+        state = saved.select("particle_id", "theta", "rho")
+    else:
+        state = initial_particles(spark, config, model, observed)
     rounds: list[dict] = []
-    elapsed, round_no, stop = 0.0, 0, None
+    elapsed, round_no, stop = 0.0, after_round, None
     while stop is None:
         round_no += 1
         began = time.monotonic()

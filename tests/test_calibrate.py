@@ -191,7 +191,12 @@ def test_calibration_recovers_a_known_parameter(spark, tmp_path):
     rows = state.collect()
     assert len(rows) == 24 and abs(np.mean([r["theta"][0] for r in rows]) - 4.0) < 0.3
     assert max(r["rho"] for r in rows) <= thresholds[-1]
+    again = dataclasses.replace(config, folder=str(tmp_path / "again"), max_rounds=1)
+    cal.calibrate(spark, again, model, seen)
+    resumed, _ = cal.calibrate(spark, dataclasses.replace(again, max_rounds=2), model, seen, after_round=1)
     saved = load_round(spark, config.folder, "shift", 2)
+    pairs = lambda df: {r["particle_id"]: (tuple(r["theta"]), r["rho"]) for r in df.collect()}
+    assert pairs(resumed) == pairs(saved)
     assert saved.count() == 24 and load_round(spark, config.folder, "shift").count() == 96
 
 
