@@ -26,14 +26,17 @@ def channel_correlation(df: DataFrame, keys: Sequence[str], first: str, second:
 class Observed:
     """The observed side, prepared once and reused in every scoring pass.
 
-    ``grid`` has one row per sample (and channel), ``correlations`` one per sample.
-    Its size depends on the number of samples, not of cells.
+    ``grid`` has one row per sample (and channel), ``correlations`` one per sample;
+    ``grids`` and ``pairs`` are their row counts. The size depends on the number of
+    samples, not of cells.
     """
 
     keys: list[str]
     channels: list[str]
     grid: DataFrame
+    grids: int
     correlations: DataFrame | None = None
+    pairs: int = 0
     weights: tuple[float, float] = (0.5, 0.5)
 
 
@@ -48,24 +51,26 @@ def observe(
     keys, channels = list(keys), list(channels)
     if len(channels) == 1:
         grid = settle(ecdf_grid(df, keys, channels[0]))
-        return Observed(keys, channels, grid, None, weights)
+        return Observed(keys, channels, grid, grid.count(), weights=weights)
     # One pass per channel reads only that channel's column; melting would double the rows.
     grids = [ecdf_grid(df, keys, c).withColumn("channel", F.lit(c)) for c in channels]
     grid = grids[0]
     for other in grids[1:]:
         grid = grid.unionByName(other)
     grid = settle(grid)
-    correlations = channel_correlation(df, keys, *channels).withColumnRenamed("r", "r_obs")
-    return Observed(keys, channels, grid, settle(correlations), weights)
+    correlations = settle(channel_correlation(df, keys, *channels).withColumnRenamed("r", "r_obs"))
+    return Observed(keys, channels, grid, grid.count(), correlations, correlations.count(), weights)
 
 
-def pair_samples(predicted: DataFrame, observed: DataFrame, keys: Sequence[str]) -> DataFrame:
+def pair_samples(
+    predicted: DataFrame, observed: DataFrame, keys: Sequence[str], *, rows: int | None = None
+) -> DataFrame:
     """Statistics of predicted samples next to those of the observed sample of that key.
 
     Both sides are aggregates. A key without a partner on the other side pairs with
     nothing; :func:`discrepancy` notices it by counting terms.
     """
-    return attach(predicted, observed, keys)
+    return attach(predicted, observed, keys, rows=rows)
 
 
 def discrepancy(
@@ -112,7 +117,7 @@ def _terms_in_one_pass(predicted: DataFrame, observed: Observed, sample: Sequenc
     for c in channels:
         grid = observed.grid.filter(F.col("channel") == c) if two else observed.grid
         named = grid.select(*keys, *[F.col(g).alias(f"__{g}") for g in ("lo", "step", "p", "n")])
-        placed = attach(placed, named, keys, weight="__n", row_bytes=64 + 8 * KNOTS)
+        placed = attach(placed, named, keys, weight="__n", row_bytes=64 + 8 * KNOTS, rows=observed.grids)
         f = lookup(F.col(c), F.col("__lo"), F.col("__step"), F.col("__p"))
         f = F.least(F.greatest(f, F.lit(FLOOR)), F.lit(1.0 - FLOOR))
         placed = placed.withColumn(f"__f_{c}", f).drop("__lo", "__step", "__p", "__n")
@@ -140,7 +145,7 @@ def _terms_in_one_pass(predicted: DataFrame, observed: Observed, sample: Sequenc
         for c in channels
     ]
     if two:
-        stats = pair_samples(stats, observed.correlations, keys)
+        stats = pair_samples(stats, observed.correlations, keys, rows=observed.pairs)
         gap = observed.weights[1] * F.abs(F.col("r_obs") - F.col("__r"))
         entries.append(F.struct(F.lit("correlation").alias("kind"), gap.alias("term")))
     return stats.select(*sample, F.explode(F.array(*entries)).alias("__e")).select(*sample, "__e.*")
@@ -165,7 +170,7 @@ def _terms_by_channel(
     terms = distances.select(*sample, F.lit("sample").alias("kind"), (weight * F.col("ad")).alias("term"))
     r = channel_correlation(predicted, [*sample, *keys], *channels)
     gap = observed.weights[1] * F.abs(F.col("r_obs") - F.col("r"))
-    paired = pair_samples(r, observed.correlations, keys)
+    paired = pair_samples(r, observed.correlations, keys, rows=observed.pairs)
     return terms.unionByName(
         paired.select(*sample, F.lit("correlation").alias("kind"), gap.alias("term"))
     )
@@ -180,15 +185,13 @@ def _channel_weights(observed: Observed) -> dict[str, float]:
 
 
 def _totals(terms: DataFrame, observed: Observed, sample: Sequence[str]) -> DataFrame:
-    samples = observed.grid.count()
-    correlations = 0 if observed.correlations is None else observed.correlations.count()
     totals = terms.groupBy(*sample).agg(
         F.sum("term").alias("__sum"),
         F.count(F.when(F.col("kind") == "sample", F.col("term"))).alias("__samples"),
         F.count(F.when(F.col("kind") == "correlation", F.col("term"))).alias("__correlations"),
     )
-    reason = F.when(F.col("__samples") < samples, F.lit("missing sample")).when(
-        F.col("__correlations") < correlations, F.lit("undefined correlation")
+    reason = F.when(F.col("__samples") < observed.grids, F.lit("missing sample")).when(
+        F.col("__correlations") < observed.pairs, F.lit("undefined correlation")
     )
     return totals.select(
         *sample, F.when(reason.isNull(), F.col("__sum")).alias("rho"), reason.alias("reason")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,15 +89,22 @@ class Internalisation:
     seed: int
     method: str = "xxhash64"
     form: str = "balanced"
-    pool_size: int | None = None
     channels: tuple[str, ...] = ("cy5", "bdp")
 
     @property
     def keys(self) -> list[str]:
         return ["time", "quenched"] + (["rep"] if self.layout.wells else [])
 
+    @cached_property
+    def _backgrounds(self) -> tuple[DataFrame, int]:
+        """The settled pool and its size, shared by all scoring passes."""
+        named = self.pool.select("idx", F.col("cy5").alias("back_cy5"), F.col("bdp").alias("back_bdp"))
+        pool = settle(named)
+        return pool, pool.count()
+
     def __call__(self, particles: DataFrame, stream: str = "") -> DataFrame:
         """Predicted cells: particle_id, keys, cell, cy5, bdp."""
+        pool, size = self._backgrounds
         hier = self.layout.wells > 0
         dims = {"t_index": range(1, len(self.times) + 1), "quenched": [True, False]}
         if hier:
@@ -120,7 +128,6 @@ class Internalisation:
         if hier:
             key.insert(2, "rep")
         seed, method, tag = self.seed, self.method, stream
-        size = self.pool_size if self.pool_size is not None else self.pool.count()
         z = draws.uniforms(seed, tag + "noise", key, 4, method)
         drawn = cells.select(
             "particle_id", *self.keys, "cell", "alpha_1", "alpha_2", "p",
@@ -131,8 +138,7 @@ class Internalisation:
             (F.col("sigma_2") * draws.box_muller(z[2], z[3])).alias("noise_2"),
             draws.pool_index(seed, tag + "pool", key, float(size), method).alias("idx"),
         )
-        pool = self.pool.select("idx", F.col("cy5").alias("back_cy5"), F.col("bdp").alias("back_bdp"))
-        seen = attach(drawn, pool, ["idx"], row_bytes=48)
+        seen = attach(drawn, pool, ["idx"], rows=size)
         surface, internal = compartment_response("time", "lambda", "beta", "p", self.form)
         responses = seen.withColumn("surface", surface).withColumn("internal", internal)
         signals = assemble_signal(responses.withColumn("eta", F.lit(float(self.eta))))
@@ -204,21 +210,35 @@ class Association:
         aligned = uptake.align_time(integral, self.times, self.step_seconds)
         return aligned.select("particle_id", *wells, "step", "time", "exposure", *params)
 
+    @cached_property
+    def _backgrounds(self) -> tuple[DataFrame, int]:
+        """The settled cell pool and its size, shared by all scoring passes."""
+        pool = settle(self.cell_pool.select("idx", F.col("value").alias("background")))
+        return pool, pool.count()
+
+    @cached_property
+    def _doses(self) -> tuple[DataFrame, list[float] | None]:
+        """The settled particle pool and, when small, its values."""
+        pool = settle(self.particle_pool.select("idx", "value"))
+        return pool, uptake.pool_values(pool)
+
     def __call__(self, particles: DataFrame, stream: str = "") -> DataFrame:
         """Predicted cells: particle_id, keys, cell, value."""
+        pool, size = self._backgrounds
+        dose_pool, dose_values = self._doses
         wells = ["rep"] if self.layout.wells else []
         cells = explode_cells(self.exposures(particles, stream), ["particle_id", *self.keys], self.cells)
         key = ["particle_id", *wells, "step", "cell"]
         sized = self._cell_parameters(cells, key, stream)
         dosed = sized.withColumn("dose", saturating_uptake("r", "K", "exposure", self.geometry))
-        pool = settle(self.cell_pool.select("idx", F.col("value").alias("background")))
         drawn = dosed.withColumn(
-            "idx", draws.pool_index(self.seed, stream + "cell", key, float(pool.count()), self.method)
+            "idx", draws.pool_index(self.seed, stream + "cell", key, float(size), self.method)
         )
-        seen = attach(drawn.select("particle_id", *self.keys, "step", "cell", "dose", "idx"), pool, ["idx"])
+        drawn = drawn.select("particle_id", *self.keys, "step", "cell", "dose", "idx")
+        seen = attach(drawn, pool, ["idx"], rows=size)
         summed = uptake.fractional_dose_sum(
-            seen, ["particle_id", *wells, "step", "cell"], self.particle_pool, self.seed, stream + "dose",
-            form=self.form, method=self.method,
+            seen, ["particle_id", *wells, "step", "cell"], dose_pool, self.seed, stream + "dose",
+            form=self.form, method=self.method, values=dose_values,
         )
         return summed.select("particle_id", *self.keys, "cell", "value")
 

@@ -74,27 +74,37 @@ def dose_weight(dose: Column, i: Column, form: str = "balanced") -> Column:
     raise ValueError(f"unknown form {form!r}")
 
 
+def pool_values(pool: DataFrame) -> list[float] | None:
+    """Pool values by index, or None for a pool of more than ``POOL_IN_ROW``."""
+    if pool.count() > POOL_IN_ROW:
+        return None
+    ordered = pool.agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("e"))
+    return ordered.select(F.col("e")["value"].alias("v")).first()["v"]
+
+
 def fractional_dose_sum(
     cells: DataFrame, ids: Sequence[str], pool: DataFrame, seed: int, stream: str, *,
     dose: str = "dose", background: str = "background", out: str = "value",
     form: str = "balanced", method: str = "md5", draw_keys: Sequence[str] | None = None,
+    values: Sequence[float] | None = None,
 ) -> DataFrame:
     """P10: background plus ceil(dose) pool draws, the last one weighted.
 
     ``pool`` has a dense one-based ``idx`` and ``value``. A pool of up to
     ``POOL_IN_ROW`` values travels as one array and each cell sums its draws in its
     own row: nothing is exploded or shuffled, and a large dose only costs its own
-    cell. Larger pools take the join of :func:`fractional_dose_join`.
+    cell. Larger pools take the join of :func:`fractional_dose_join`. ``values`` is
+    the result of an earlier :func:`pool_values`.
     """
-    pool = settle(pool.select("idx", "value"))
-    size = pool.count()
-    if size > POOL_IN_ROW:
+    if values is None:
+        pool = settle(pool.select("idx", "value"))
+        values = pool_values(pool)
+    if values is None:
         return fractional_dose_join(
-            cells, ids, pool, size, seed, stream, dose=dose, background=background, out=out,
+            cells, ids, pool, pool.count(), seed, stream, dose=dose, background=background, out=out,
             form=form, method=method, draw_keys=draw_keys,
         )
-    ordered = pool.agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("e"))
-    values = ordered.select(F.col("e")["value"].alias("v")).first()["v"]
+    size = len(values)
     # One text literal, folded to an array by the optimizer: a literal per value is slow to build.
     array = F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
     keys = [F.col(k) for k in (draw_keys or ids)]

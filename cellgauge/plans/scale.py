@@ -90,20 +90,21 @@ def attach(
     how: str = "inner",
     weight: str = "n",
     row_bytes: int = 64,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add per-group columns of a settled table to every row of ``big``.
 
     Up to ``BROADCAST_BYTES`` the table is broadcast and ``big`` is not shuffled.
     Beyond that the hot groups, fewer than ``HOT_SHARE`` by definition, still go by
     broadcast and only the remaining, evenly small groups are shuffled. ``weight``
-    names the column with a group's row count.
+    names the column with a group's row count; ``rows`` is the table's, where known.
     """
     if not keys:
         row = small.first()
         return big.select(
             "*", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in small.schema]
         )
-    if small.count() <= BROADCAST_BYTES // row_bytes:
+    if (small.count() if rows is None else rows) <= BROADCAST_BYTES // row_bytes:
         return match(big, small, keys, how, broadcast=True)
     if weight not in small.columns:
         return match(big, small, keys, how, broadcast=False)
