@@ -87,14 +87,16 @@ def select_resample(
     Returns particles with ``replaced`` and ``parent_id``, and the threshold.
     Particles without a distance rank as farthest.
     """
-    scored = settle(df.withColumn("rho", F.coalesce("rho", F.lit(float("inf")))))
-    threshold = settle(survival_threshold(scored, fraction))
-    row = threshold.first()
-    best = settle(keep_best(scored, fraction, threshold=threshold))
-    survivors = settle(index_pool(best.select("particle_id", "theta", "rho"), ["particle_id"]))
-    slots = match(scored.select("particle_id"), best.select("particle_id"), ["particle_id"], "left_anti", broadcast=False)
-    slots = slots.withColumn(
-        "idx", draws.pool_index(seed, stream, ["particle_id"], F.lit(float(row["kept"])), method)
+    far = F.coalesce("rho", F.lit(float("inf")))
+    scored = df.select("particle_id", "theta", far.alias("rho"))
+    ranked = settle(rank_by_distance(scored))
+    n = ranked.count()
+    kept = n - math.floor(fraction * n)
+    best = ranked.filter(F.col("position") <= kept).drop("position")
+    threshold = best.agg(F.max("rho")).first()[0]
+    survivors = settle(index_pool(best, ["particle_id"]))
+    slots = ranked.filter(F.col("position") > kept).select(
+        "particle_id", draws.pool_index(seed, stream, ["particle_id"], float(kept), method).alias("idx")
     )
     refilled = gather_survivors(slots, survivors).select(
         "particle_id", "theta", "rho", F.lit(True).alias("replaced"), "parent_id"
@@ -102,7 +104,7 @@ def select_resample(
     stayed = best.select(
         "particle_id", "theta", "rho", F.lit(False).alias("replaced"), F.col("particle_id").alias("parent_id")
     )
-    return stayed.unionByName(refilled), row["threshold"]
+    return stayed.unionByName(refilled), threshold
 
 
 def particle_covariance(df: DataFrame, m: int, theta: str = "theta", *, scaled: bool = True) -> DataFrame:
