@@ -18,6 +18,7 @@ from cellgauge.queries.distances import ad_sql, grid_sql, placed_sql
 from cellgauge.queries.draw_tables import pair_particles
 from cellgauge.queries.registry import (
     CELL_ORDER,
+    CELLS,
     cells,
     query,
     rounded,
@@ -25,6 +26,7 @@ from cellgauge.queries.registry import (
     sql_lognormal,
     sql_normal,
     sql_pool_index,
+    sql_truncated,
     table,
 )
 from cellgauge.queries.wells import view_pool
@@ -308,32 +310,46 @@ def internalisation_model(spark, sf, cells_per_sample=INTERNALISATION_CELLS, lay
     )
 
 
-def _internalisation_sql() -> str:
+def _internalisation_sql(wells: str, pool: str, times: str, count: str, cells_: int, spreads: tuple, eta: str) -> str:
+    """CTEs up to ``pred``: cells of the model for the well means in CTE ``w``.
+
+    ``pool`` is the body of a CTE with idx, cy5 and bdp; ``times`` a list of ``count``
+    times; ``spreads`` the within-well spreads of the three cell parameters.
+    """
     key = ("particle_id", "t_index", "rep", "quenched::INTEGER", "cell")
     shares = """lambda_i * (beta_i * p * s * a * t + lambda_i * (1 - p) * (s + beta_i * p)
       - lambda_i * (1 - p) * exp(-beta_i * t) * (beta_i * beta_i * (1 - exp(-d * t)) / d + a + beta_i)) / (s * a * a) AS internal,
     beta_i * (p * s + lambda_i * (1 - p) * exp(-beta_i * t) * (1 + beta_i * (1 - exp(-d * t)) / d)) / (s * a) AS surface"""
-    return f"""pool AS (SELECT row_number() OVER (ORDER BY event_id) AS idx, value FROM events WHERE event_type = 'view'),
-w AS (SELECT s_suppkey AS particle_id, rep, 0.06::DOUBLE + s_suppkey % 5 / 50.0::DOUBLE + 0.01::DOUBLE * (rep - 1) AS ml,
-  0.03::DOUBLE + s_suppkey % 3 / 50.0::DOUBLE + 0.01::DOUBLE * (rep - 1) AS mb,
-  0.05::DOUBLE + s_suppkey % 4 / 40.0::DOUBLE + 0.01::DOUBLE * (rep - 1) AS mr FROM supplier, range(1, 3) r(rep)),
-slot AS (SELECT *, [10.0::DOUBLE, 60.0][t_index] AS t, 0.075::DOUBLE AS p
-  FROM w, range(1, 3) a(t_index), unnest([true, false]) b(quenched), range(1, {INTERNALISATION_CELLS + 1}) c(cell)),
-cell AS (SELECT *, {sql_gamma(8, 'lambda', 'ml', '0.01::DOUBLE', '0.9::DOUBLE', *key)} AS lambda_i,
-  {sql_gamma(8, 'beta', 'mb', '0.005::DOUBLE', '(-1.0::DOUBLE)', *key)} AS beta_i,
-  {sql_lognormal(8, 'R', 'mr', '0.02::DOUBLE', *key)} AS r,
+    return f"""pool AS ({pool}), w AS ({wells}),
+slot AS (SELECT *, ({times})[t_index] AS t, 0.075::DOUBLE AS p
+  FROM w, range(1, {count} + 1) a(t_index), unnest([true, false]) b(quenched), range(1, {cells_ + 1}) c(cell)),
+cell AS (SELECT *, {sql_gamma(8, 'lambda', 'ml', f'{spreads[0]!r}::DOUBLE', '0.9::DOUBLE', *key)} AS lambda_i,
+  {sql_gamma(8, 'beta', 'mb', f'{spreads[1]!r}::DOUBLE', '(-1.0::DOUBLE)', *key)} AS beta_i,
+  {sql_lognormal(8, 'R', 'mr', f'{spreads[2]!r}::DOUBLE', *key)} AS r,
   5 * {sql_normal(8, 'noise', *key)} AS n1, 2 * {sql_normal(8, 'noise', *key, part=2)} AS n2,
   {sql_pool_index(8, 'pool', '(SELECT count(*) FROM pool)', *key)} AS idx FROM slot),
 named AS (SELECT *, lambda_i + beta_i AS s, lambda_i + beta_i * p AS a, lambda_i + beta_i * p - beta_i AS d FROM cell),
-shares AS (SELECT *, {shares} FROM named)
-SELECT particle_id, t AS time, quenched, rep::INTEGER AS rep, cell::INTEGER AS cell,
-  round(8500 * greatest(0, CASE WHEN quenched THEN r * (internal + (1 - 0.95::DOUBLE) * surface) ELSE r * (surface + internal) END)
-    + value + n1, 3) AS cy5,
-  round(38 * greatest(0, r * (surface + internal)) + value / 10 + n2, 4) AS bdp
-FROM shares JOIN pool USING (idx)"""
+shares AS (SELECT *, {shares} FROM named),
+pred AS (SELECT particle_id, t AS time, quenched, rep::INTEGER AS rep, cell::INTEGER AS cell,
+  8500 * greatest(0, CASE WHEN quenched THEN r * (internal + (1 - {eta}) * surface) ELSE r * (surface + internal) END)
+    + pool.cy5 + n1 AS cy5,
+  38 * greatest(0, r * (surface + internal)) + pool.bdp + n2 AS bdp FROM shares JOIN pool USING (idx))"""
+
+
+SUPPLIER_PREDICTION = _internalisation_sql(
+    """SELECT s_suppkey AS particle_id, rep, 0.06::DOUBLE + s_suppkey % 5 / 50.0::DOUBLE + 0.01::DOUBLE * (rep - 1) AS ml,
+  0.03::DOUBLE + s_suppkey % 3 / 50.0::DOUBLE + 0.01::DOUBLE * (rep - 1) AS mb,
+  0.05::DOUBLE + s_suppkey % 4 / 40.0::DOUBLE + 0.01::DOUBLE * (rep - 1) AS mr FROM supplier, range(1, 3) r(rep)""",
+    """SELECT row_number() OVER (ORDER BY event_id) AS idx, value AS cy5, value / 10 AS bdp
+  FROM events WHERE event_type = 'view'""",
+    "[10.0::DOUBLE, 60.0]", "2", INTERNALISATION_CELLS, (0.01, 0.005, 0.02), "0.95::DOUBLE",
+)
 
 
-@query("predict_internalisation", f"WITH {_internalisation_sql()}")
+@query(
+    "predict_internalisation",
+    f"WITH {SUPPLIER_PREDICTION} SELECT * REPLACE (round(cy5, 3) AS cy5, round(bdp, 4) AS bdp) FROM pred",
+)
 def predict_internalisation(spark, sf):
     predicted = internalisation_model(spark, sf)(internalisation_particles(spark, sf))
     return rounded(predicted, cy5=3, bdp=4)
@@ -379,17 +395,49 @@ def calibrate_hierarchical(spark, sf):
     return metrics.select("run_id", "round", "threshold", "trial_rate", "steps", "rate", "stop")
 
 
-@query("synthesise_scenarios")
+# --- synthetic scenarios --------------------------------------------------
+
+
+def _truth_sql(name: str, mean: float, spread: float, changes: str = "") -> str:
+    """A well mean drawn once per well, then altered in single wells of single scenarios."""
+    draw = sql_truncated(8, name, f"{mean}::DOUBLE", f"{spread}::DOUBLE", "1", "rep")
+    return f"CASE {changes} ELSE {draw} END" if changes else f"({draw})"
+
+
+SCENARIO_CELLS = 200
+
+SCENARIO_PREDICTION = _internalisation_sql(
+    f"""SELECT particle_id, rep,
+  {_truth_sql('mu_lambda', 0.08, 0.01, 'WHEN particle_id > 1 AND rep = 1 THEN 0.02::DOUBLE WHEN particle_id = 3 AND rep = 3 THEN 0.14::DOUBLE')} AS ml,
+  {_truth_sql('mu_beta', 0.05, 0.005)} AS mb, {_truth_sql('mu_R', 0.05, 0.01)} AS mr
+  FROM range(1, 4) s(particle_id), range(1, 4) r(rep)""",
+    f"""SELECT row_number() OVER (ORDER BY {', '.join(CELL_ORDER)}) AS idx, signal_cy5 AS cy5, signal_bdp AS bdp
+  FROM cells WHERE time = 0 AND NOT quenched AND temp = 37""",
+    "(SELECT list(DISTINCT time ORDER BY time) FROM cells WHERE time > (SELECT min(time) FROM cells))",
+    "(SELECT count(DISTINCT time) - 1 FROM cells)",
+    SCENARIO_CELLS, (0.01, 0.05, 0.25),
+    "(SELECT 1 - avg(signal_cy5) FILTER (quenched) / avg(signal_cy5) FILTER (NOT quenched) FROM cells WHERE time = 120 AND temp = 4)",
+)
+
+
+@query(
+    "synthesise_scenarios",
+    f"""WITH {CELLS}, {SCENARIO_PREDICTION}
+SELECT ['uncorrupted', 'corrupted', 'corrupted2'][particle_id] AS scenario, time, rep, quenched, count(*) AS n,
+  round(median(cy5), 3) AS cy5, round(median(bdp), 4) AS bdp FROM pred GROUP BY ALL""",
+)
 def synthesise_scenarios(spark, sf):
-    """Three scenarios of the internalisation model with lineitem's own background pool."""
+    """Three scenarios of the internalisation model with lineitem's own controls."""
     layout = priors.internalisation_hierarchical(3)
     named = cells(spark, sf).withColumnRenamed("signal_cy5", "cy5").withColumnRenamed("signal_bdp", "bdp")
     order = [{"signal_cy5": "cy5", "signal_bdp": "bdp"}.get(c, c) for c in CELL_ORDER]
     pool = settle(cell_ops.background_pool(named, ["cy5", "bdp"], order))
     eta = cell_ops.quench_efficiency(named, "cy5").first()["eta"]
     times = tuple(r[0] for r in cell_ops.distinct_times(named).collect())
-    model = predict.Internalisation(layout, times, 1000, pool, eta, 8)
+    model = predict.Internalisation(layout, times, SCENARIO_CELLS, pool, eta, 8, method="md5")
     samples, _ = cal.synthesise_scenarios(spark, "internalisation", model, layout, 8)
-    return samples.groupBy("scenario", "time", "rep", "quenched").agg(
-        F.count("*").alias("n"), F.avg("cy5").alias("cy5"), F.avg("bdp").alias("bdp")
+    # A sample has SCENARIO_CELLS cells, so an exact median is safe here.
+    out = samples.groupBy("scenario", "time", "rep", "quenched").agg(
+        F.count("*").alias("n"), F.median("cy5").alias("cy5"), F.median("bdp").alias("bdp")
     )
+    return rounded(out, cy5=3, bdp=4)

@@ -7,7 +7,7 @@ from tests import compare
 
 ORACLES = entry.oracle_sql()
 #: Whole runs, covered by test_calibrate; only their shape is checked here.
-RUNS = ["calibrate", "calibrate_hierarchical", "synthesise_scenarios"]
+RUNS = ["calibrate", "calibrate_hierarchical"]
 
 
 @pytest.fixture(scope="module")
