@@ -149,7 +149,7 @@ class Sliced:
         return [*keys, "slice"] if self.cut else list(keys)
 
     def done(self) -> DataFrame:
-        return self.rows.drop("slice") if self.cut else self.rows
+        return self.rows.drop("slice", "__hot") if self.cut else self.rows
 
 
 def slice_groups(
@@ -170,8 +170,8 @@ def slice_groups(
     hot = hot_groups(sizes, hot_rows)
     if hot is None:
         return Sliced(df, False)
-    fan = int(slices**0.5)
-    slices = fan * fan
+    steps = [2**k for k in reversed(range(slices.bit_length() - 1))]
+    slices = 2 * steps[0]
     rows = match(df, hot.select(*keys), keys, "left_semi", broadcast=True) if keys else df
     value = F.col(order).cast("double")
     points = F.percentile_approx(value, [i / slices for i in range(1, slices)], 8 * slices)
@@ -183,27 +183,26 @@ def slice_groups(
         .agg(F.avg("__point").alias("__point"))
     )
     listed = F.array_sort(F.collect_list(F.struct("__at", "__point")))["__point"]  # slices - 1 entries
-    fine = F.array_sort(listed)
-    coarse = F.transform(F.sequence(F.lit(1), F.lit(fan - 1)), lambda i: F.col("__fine")[i * fan - 1])
-    cuts = settle(
-        means.groupBy(*keys).agg(fine.alias("__fine")).withColumn("__coarse", coarse)
-    )
+    cuts = settle(means.groupBy(*keys).agg(F.array_sort(listed).alias("__cuts")))
     tagged = match(df, cuts, keys, "left", broadcast=True) if keys else attach(df, cuts, keys)
-    block = F.size(F.filter("__coarse", lambda c: c < value))
-    inner = F.size(
-        F.filter(F.slice("__fine", F.col("__block") * fan + 1, F.lit(fan - 1)), lambda c: c < value)
-    )
-    numbered = (
-        tagged.withColumn("__block", F.when(F.col("__fine").isNotNull(), block))
-        .withColumn("slice", F.coalesce(F.col("__block") * fan + inner, F.lit(-1)))
-        .drop("__fine", "__coarse", "__block")
-    )
-    return Sliced(numbered, True)
+    # Binary search, one projection per step: generated code, where a lambda over the
+    # cuts would be interpreted and copy them into every row.
+    numbered = tagged.withColumn("slice", F.lit(0))
+    for step in steps:
+        further = F.get("__cuts", F.col("slice") + (step - 1)) < value
+        numbered = numbered.withColumn("slice", F.col("slice") + F.when(further, step).otherwise(0))
+    numbered = numbered.withColumn("__hot", F.col("__cuts").isNotNull())
+    numbered = numbered.withColumn("slice", F.when(F.col("__hot"), F.col("slice")).otherwise(-1))
+    return Sliced(numbered.drop("__cuts"), True)
 
 
 def _slice_table(rows: DataFrame, keys: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
-    """One row per slice of a hot group: at most ``HOT_SHARE * SLICES`` rows."""
-    return rows.filter("slice >= 0").groupBy(*keys, "slice").agg(*aggregates)
+    """One row per slice of a hot group: at most ``HOT_SHARE * SLICES`` rows.
+
+    Filters on the flag: a filter on ``slice`` would be pushed down through the search
+    and double in size with every step of it.
+    """
+    return rows.filter("__hot").groupBy(*keys, "slice").agg(*aggregates)
 
 
 def running_total(
