@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 << 20  # largest table sent to every executor
 HOT_SHARE = 1000  # a hot group holds more than 1/HOT_SHARE of the rows
-HOT_ROWS = 1_000_000  # and more rows than one task handles with ease
+HOT_ROWS = 4_000_000  # and more rows than one task sorts with ease
 SLICES = 1024  # ordered pieces a hot group is cut into
 SALTS = 64  # unordered pieces used by two-stage top-n
 SKETCH = 10_000  # rank resolution of the quantile sketch
