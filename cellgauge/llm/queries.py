@@ -1,4 +1,4 @@
 """The queries of this subpackage and their SQL twins."""
 
-from cellgauge.llm import chat, lines, quality, simhash  # noqa: F401
+from cellgauge.llm import chat, licenses, lines, quality, simhash  # noqa: F401
 from cellgauge.llm.common import ORACLES, QUERIES  # noqa: F401
