@@ -49,3 +49,16 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
 def in_fold(doc_id: Column, modulus: int, remainder: int) -> Column:
     """crc32 of the id's decimal text, modulo; a null id counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
+
+
+def bounded_sample(df: DataFrame, rows: int, total: int, *keys: str) -> DataFrame:
+    """``rows`` rows at most, about evenly spread, by the hash of ``keys``; all of a smaller table.
+
+    ``total`` is the table's row count. A threshold on the hash thins the rows before
+    any of them moves, so the final sort sees little more than it returns.
+    """
+    hashed = F.xxhash64(*keys, F.lit("sample"))
+    share = min(1.0, (1.1 * rows + 50) / max(total, 1))
+    thinned = df.filter(F.pmod(hashed, F.lit(1 << 40)) < int(share * (1 << 40)))
+    order, = fresh(df, "sample_hash")
+    return thinned.withColumn(order, hashed).orderBy(order, *keys).limit(rows).drop(order)
