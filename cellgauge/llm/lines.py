@@ -14,11 +14,12 @@ MIN_CHARS = 1
 def line_keys(text: Column, min_chars: int = MIN_CHARS) -> Column:
     """Array with one 96-bit key per line; null for lines shorter than ``min_chars`` once normalised."""
 
-    def key(line):
-        plain = ascii_lower(F.btrim(line, F.lit(SPACE)))
-        return F.when(F.length(plain) >= min_chars, F.struct(F.xxhash64(plain).alias("a"), F.hash(plain).alias("b")))
-
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), key)
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    # one step for each transform: inside a lambda an expression used twice runs twice
+    trimmed = F.transform(lines, lambda line: F.btrim(line, F.lit(SPACE)))
+    plain = F.transform(trimmed, ascii_lower)
+    key = lambda line: F.struct(F.xxhash64(line).alias("a"), F.hash(line).alias("b"))
+    return F.transform(plain, lambda line: F.when(F.length(line) >= min_chars, key(line)))
 
 
 def dedup_lines(
@@ -47,13 +48,13 @@ def dedup_lines(
     # rows of equal id and text share their positions, so this pair is all the identity that is needed
     keyed = rows.select(F.col(id_column).alias(rid), F.xxhash64(text).alias(tid), line_keys(text, min_chars).alias(keys))
     frequent = (
-        keyed.select(F.explode(F.array_distinct(keys)).alias(key))
+        keyed.select(F.explode_outer(F.array_distinct(keys)).alias(key))
         .filter(F.col(key).isNotNull())
         .groupBy(key).agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= min_docs).select(key)
     )
     hits = (
-        keyed.select(rid, tid, F.posexplode(keys).alias(pos, key))
+        keyed.select(rid, tid, F.posexplode_outer(keys).alias(pos, key))
         .filter(F.col(key).isNotNull())
         .join(frequent, key, "left_semi")
         .groupBy(rid, tid).agg(F.collect_set(pos).alias(drop))
