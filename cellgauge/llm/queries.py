@@ -1,4 +1,4 @@
 """The queries of this subpackage and their SQL twins."""
 
-from cellgauge.llm import chat, langid, licenses, lines, quality, simhash, toxicity  # noqa: F401
+from cellgauge.llm import bpe, chat, langid, licenses, lines, quality, simhash, toxicity  # noqa: F401
 from cellgauge.llm.common import ORACLES, QUERIES  # noqa: F401
