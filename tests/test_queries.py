@@ -3,9 +3,9 @@
 import pytest
 
 import __spark_entry__ as entry
+from cellgauge.queries import ORACLES, QUERIES
 from tests import compare
 
-ORACLES = entry.oracle_sql()
 #: Whole runs, covered by test_calibrate; only their shape is checked here.
 RUNS = ["calibrate", "calibrate_hierarchical"]
 
@@ -16,17 +16,17 @@ def con(sf):
 
 
 def test_only_whole_runs_lack_a_twin():
-    assert sorted(set(entry.queries()) - set(ORACLES)) == sorted(RUNS)
+    assert sorted(set(QUERIES) - set(ORACLES)) == sorted(RUNS)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, sf, con, name):
-    assert compare.differences(entry.queries()[name](spark, sf), con, ORACLES[name]) is None
+    assert compare.differences(QUERIES[name](spark, sf), con, ORACLES[name]) is None
 
 
 @pytest.mark.parametrize("name", RUNS)
 def test_whole_runs(spark, sf, name):
-    assert entry.queries()[name](spark, sf).count() > 0
+    assert QUERIES[name](spark, sf).count() > 0
 
 
 def test_entry(spark):
