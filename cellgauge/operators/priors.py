@@ -115,7 +115,7 @@ def internalisation_hierarchical(wells: int) -> Layout:
 
 def association_pooled(scenario: str) -> Layout:
     sigma_r, sigma_k = {
-        "uncorrupted": (1e-6, 10.0),
+        "uncorrupted": (1e-6, 5.0),
         "corrupted": (2e-6, 5.0),
         "corrupted2": (1e-6, 10.0),
     }[scenario]

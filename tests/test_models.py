@@ -191,3 +191,32 @@ def test_override(spark):
     change = spark.createDataFrame([("b", 1, "mu", 9.0), ("a", None, "s", 5.0)], truth.schema)
     got = {(r["scenario"], r["param"]): r["value"] for r in priors.override_parameter(truth, change).collect()}
     assert got == {("a", "mu"): 1.0, ("a", "s"): 5.0, ("b", "mu"): 9.0}
+
+
+#: The published priors, as (low, high) or the half-Cauchy scale.
+PUBLISHED = {
+    "pooled uncorrupted": [(0.0, 1e-6), (0.0, 5.0), (0.0, 1e-6), (0.0, 50.0)],
+    "pooled corrupted": [(0.0, 2e-6), (0.0, 5.0), (0.0, 1e-6), (0.0, 50.0)],
+    "pooled corrupted2": [(0.0, 1e-6), (0.0, 10.0), (0.0, 1e-6), (0.0, 50.0)],
+    "wells uncorrupted": [(0.0, 1e-6), (0.0, 5.0), (0.0, 1e-6), (0.0, 50.0), 3e-7, 0.5],
+    "wells corrupted": [(0.0, 1e-6), (0.0, 5.0), (0.0, 1e-6), (0.0, 50.0), 3e-7, 5.0],
+    "wells corrupted2": [(0.0, 2e-6), (0.0, 5.0), (0.0, 1e-6), (0.0, 50.0), 3e-7, 5.0],
+    "internalisation pooled": [
+        (0.0, 0.3), (0.0, 0.1), (0.0, 1.0), (0.0, 0.5), (0.0, 0.2), (0.0, 1.0), (0.0, 10.0), (0.0, 3.0),
+        (5000.0, 12000.0), (20.0, 80.0), (0.0, 0.15), (-2.0, 1.0), (-2.0, 1.0),
+    ],
+    "internalisation wells": [
+        (0.0, 0.3), (0.0, 0.1), (0.0, 1.0), (0.06, 0.2), (0.03, 0.1), (0.0, 1.0), 0.01, 0.008, 0.27, (0.0, 10.0),
+        (0.0, 3.0), (7000.0, 10000.0), (30.0, 45.0), (0.0, 0.1), (-2.0, 1.0), (-2.0, 1.0),
+    ],
+}
+
+
+@pytest.mark.parametrize("name", sorted(PUBLISHED))
+def test_priors_are_the_published_ones(name):
+    kind, _, scenario = name.partition(" ")
+    if kind == "internalisation":
+        layout = priors.INTERNALISATION_POOLED if scenario == "pooled" else priors.internalisation_hierarchical(3)
+    else:
+        layout = priors.association_pooled(scenario) if kind == "pooled" else priors.association_hierarchical(scenario, 3)
+    assert [p.b if p.dist == "half_cauchy" else (p.a, p.b) for p in layout.shared] == PUBLISHED[name]
