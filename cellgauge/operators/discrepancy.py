@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellgauge.operators.cells import melt_channels
@@ -49,6 +49,7 @@ def observe(
     pooled keys leave it out.
     """
     keys, channels = list(keys), list(channels)
+    df = df.filter(_valid(channels))
     if len(channels) == 1:
         grid = settle(ecdf_grid(df, keys, channels[0]))
         return Observed(keys, channels, grid, grid.count(), weights=weights)
@@ -86,8 +87,10 @@ def discrepancy(
 
     One channel: the sum of the metric. Two channels, with weights (w1, w2): 2 w1
     for the first (quenchable) channel, w1 for the second, and w2 times the absolute
-    difference of the channel correlations. A candidate that lacks an observed
-    sample, or whose correlation is undefined, gets a null distance and a ``reason``.
+    difference of the channel correlations. A cell counts if all its channels have a
+    value, on either plan below. Every candidate of ``predicted`` has a row: one that
+    lacks an observed sample, or whose correlation is undefined, gets a null distance
+    and a ``reason``; one that had cells left out keeps its distance and says so.
     """
     sample = list(sample)
     if metric is anderson_darling and not _lopsided(predicted, [*sample, *observed.keys], max_rows, hot_rows):
@@ -111,46 +114,55 @@ def _terms_in_one_pass(predicted: DataFrame, observed: Observed, sample: Sequenc
     keys, channels = observed.keys, observed.channels
     two = len(channels) > 1
     groups = [*sample, *keys]
-    placed = predicted.select(*groups, *channels)
-    for c in channels:
-        placed = placed.filter(F.col(c).isNotNull() & ~F.isnan(c))
+    valid = _valid(channels)
+    placed = predicted.select(*groups, *channels, valid.alias("__valid"))
     for c in channels:
         grid = observed.grid.filter(F.col("channel") == c) if two else observed.grid
         named = grid.select(*keys, *[F.col(g).alias(f"__{g}") for g in ("lo", "step", "p", "n")])
-        placed = attach(placed, named, keys, weight="__n", row_bytes=64 + 8 * KNOTS, rows=observed.grids)
+        placed = attach(placed, named, keys, how="left", weight="__n", row_bytes=64 + 8 * KNOTS, rows=observed.grids)
         f = lookup(F.col(c), F.col("__lo"), F.col("__step"), F.col("__p"))
-        f = F.least(F.greatest(f, F.lit(FLOOR)), F.lit(1.0 - FLOOR))
+        f = F.when(F.col("__valid") & F.col("__p").isNotNull(), F.least(F.greatest(f, F.lit(FLOOR)), F.lit(1.0 - FLOOR)))
         placed = placed.withColumn(f"__f_{c}", f).drop("__lo", "__step", "__p", "__n")
     whole = Window.partitionBy(*groups)
+    # cells that do not count come last, so the others have the ranks from 1
     ranked = placed.select(
         "*",
-        F.count(F.lit(1)).over(whole).alias("__n"),
-        *[F.row_number().over(whole.orderBy(f"__f_{c}")).alias(f"__i_{c}") for c in channels],
+        *[F.count(f"__f_{c}").over(whole).alias(f"__n_{c}") for c in channels],
+        *[F.row_number().over(whole.orderBy(F.col(f"__f_{c}").asc_nulls_last())).alias(f"__i_{c}") for c in channels],
     )
-    aggregates = [F.max("__n").alias("__n")]
+    aggregates = [F.sum((~F.col("__valid")).cast("double")).alias("__left_out")]
     for c in channels:
-        f, i, n = F.col(f"__f_{c}"), F.col(f"__i_{c}"), F.col("__n")
+        f, i, n = F.col(f"__f_{c}"), F.col(f"__i_{c}"), F.col(f"__n_{c}")
         term = (2 * i - 1) * F.log(f) + (2 * n + 1 - 2 * i) * F.log(1.0 - f)
-        aggregates.append(F.sum(term).alias(f"__s_{c}"))
+        aggregates += [F.sum(term).alias(f"__s_{c}"), F.max(n).alias(f"__n_{c}")]
     if two:
-        spread = F.stddev_pop(channels[0]) * F.stddev_pop(channels[1])
-        aggregates.append(F.try_divide(F.covar_pop(*channels), spread).alias("__r"))
+        x, y = (F.when(F.col("__valid"), F.col(c)) for c in channels)
+        aggregates.append(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("__r"))
     stats = ranked.groupBy(*groups).agg(*aggregates)
     weights = _channel_weights(observed)
     entries = [
         F.struct(
             F.lit("sample").alias("kind"),
-            (weights[c] * F.sqrt(-F.col("__n") - F.col(f"__s_{c}") / F.col("__n"))).alias("term"),
+            (weights[c] * F.sqrt(-F.col(f"__n_{c}") - F.col(f"__s_{c}") / F.col(f"__n_{c}"))).alias("term"),
         )
         for c in channels
     ]
+    entries.append(F.struct(F.lit("left out").alias("kind"), F.col("__left_out").alias("term")))
     if two:
-        stats = pair_samples(stats, observed.correlations, keys, rows=observed.pairs)
+        stats = attach(stats, observed.correlations, keys, how="left", rows=observed.pairs)
         gap = observed.weights[1] * F.abs(F.col("r_obs") - F.col("__r"))
         entries.append(F.struct(F.lit("correlation").alias("kind"), gap.alias("term")))
     return stats.select(*sample, F.explode(F.array(*entries)).alias("__e")).select(*sample, "__e.*")
 
 
+def _valid(channels: Sequence[str]) -> Column:
+    """Whether all channels of a cell have a value."""
+    valid = F.lit(True)
+    for c in channels:
+        valid = valid & F.col(c).isNotNull() & ~F.coalesce(F.isnan(c), F.lit(False))
+    return valid
+
+
 def _terms_by_channel(
     predicted: DataFrame, observed: Observed, sample: Sequence[str], metric: Metric, max_rows, hot_rows
 ) -> DataFrame:
@@ -159,9 +171,12 @@ def _terms_by_channel(
     options = {"max_rows": max_rows}
     if metric is anderson_darling:
         options["hot_rows"] = hot_rows
+    left_out = predicted.groupBy(*sample).agg(F.sum((~_valid(channels)).cast("double")).alias("term"))
+    left_out = left_out.select(*sample, F.lit("left out").alias("kind"), "term")  # a row for every candidate
+    predicted = predicted.filter(_valid(channels))
     if len(channels) == 1:
         distances = metric(predicted, observed.grid, keys, sample, channels[0], **options)
-        return distances.select(*sample, F.lit("sample").alias("kind"), F.col("ad").alias("term"))
+        return left_out.unionByName(distances.select(*sample, F.lit("sample").alias("kind"), F.col("ad").alias("term")))
     long = melt_channels(predicted, [*sample, *keys], channels)
     distances = metric(long, observed.grid, [*keys, "channel"], sample, "value", **options)
     weight = F.lit(0.0)
@@ -171,7 +186,7 @@ def _terms_by_channel(
     r = channel_correlation(predicted, [*sample, *keys], *channels)
     gap = observed.weights[1] * F.abs(F.col("r_obs") - F.col("r"))
     paired = pair_samples(r, observed.correlations, keys, rows=observed.pairs)
-    return terms.unionByName(
+    return left_out.unionByName(terms).unionByName(
         paired.select(*sample, F.lit("correlation").alias("kind"), gap.alias("term"))
     )
 
@@ -185,17 +200,18 @@ def _channel_weights(observed: Observed) -> dict[str, float]:
 
 
 def _totals(terms: DataFrame, observed: Observed, sample: Sequence[str]) -> DataFrame:
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("term"))
     totals = terms.groupBy(*sample).agg(
-        F.sum("term").alias("__sum"),
-        F.count(F.when(F.col("kind") == "sample", F.col("term"))).alias("__samples"),
-        F.count(F.when(F.col("kind") == "correlation", F.col("term"))).alias("__correlations"),
+        F.sum(F.when(F.col("kind") != "left out", F.col("term"))).alias("__sum"),
+        F.count(of("sample")).alias("__samples"),
+        F.count(of("correlation")).alias("__correlations"),
+        F.sum(of("left out")).alias("__left_out"),
     )
-    reason = F.when(F.col("__samples") < observed.grids, F.lit("missing sample")).when(
+    missing = F.when(F.col("__samples") < observed.grids, F.lit("missing sample")).when(
         F.col("__correlations") < observed.pairs, F.lit("undefined correlation")
     )
-    return totals.select(
-        *sample, F.when(reason.isNull(), F.col("__sum")).alias("rho"), reason.alias("reason")
-    )
+    reason = F.coalesce(missing, F.when(F.col("__left_out") > 0, F.lit("cells left out")))
+    return totals.select(*sample, F.when(missing.isNull(), F.col("__sum")).alias("rho"), reason.alias("reason"))
 
 
 def discrepancy_pooled(

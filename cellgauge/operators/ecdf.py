@@ -107,7 +107,7 @@ def _named(grid: DataFrame, keys: Sequence[str]) -> DataFrame:
 def order_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Ascending one-based position ``i`` in the sample, its mirror and the count ``n``."""
     sizes = settle(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
-    numbered = slice_groups(df.withColumn("__one", F.lit(1)), keys, order[0], sizes=sizes, hot_rows=hot_rows)
+    numbered = slice_groups(df.withColumn("__one", F.lit(1)), keys, order, sizes=sizes, hot_rows=hot_rows)
     numbered = running_total(numbered, keys, order, {"i": "__one"}).done().drop("__one")
     counted = attach(numbered, sizes, keys)
     return counted.withColumn("mirror", F.col("n") + 1 - F.col("i"))

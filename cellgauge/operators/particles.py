@@ -26,9 +26,9 @@ from cellgauge.plans.scale import (
 def rank_by_distance(
     df: DataFrame, rho: str = "rho", key: str = "particle_id", *, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Position of every particle by distance, ties by id, without one global window."""
+    """Position of every particle by distance, ties by id, nulls first, without one global window."""
     sizes = settle(df.agg(F.count(F.lit(1)).alias("n")))
-    sliced = slice_groups(df.withColumn("__one", F.lit(1)), [], rho, sizes=sizes, hot_rows=hot_rows)
+    sliced = slice_groups(df.withColumn("__one", F.lit(1)), [], [rho, key], sizes=sizes, hot_rows=hot_rows)
     ranked = running_total(sliced, [], [rho, key], {"position": "__one"}).done()
     return ranked.withColumn("position", F.col("position").cast("long")).drop("__one")
 

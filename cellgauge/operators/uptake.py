@@ -41,7 +41,7 @@ def cumulative_trapezoid(
     if max_rows is not None and max_rows <= hot_rows:
         sliced = Sliced(df, False)
     else:
-        sliced = slice_groups(df, keys, order[0], hot_rows=hot_rows)
+        sliced = slice_groups(df, keys, order, hot_rows=hot_rows)
     with_before = previous_row(sliced, keys, order, {"__t0": t, "__v0": value})
     area = F.when(F.col("__t0").isNull(), 0.5 * (F.col(value) + start) * F.col(t)).otherwise(
         0.5 * (F.col(value) + F.col("__v0")) * (F.col(t) - F.col("__t0"))

@@ -1,10 +1,9 @@
 """Plan building blocks that keep lopsided groups spread over many tasks.
 
 A well, a particle or a user may hold a third of all rows. Everything here works
-from per-group counts, which combine on the map side, and treats the few *hot*
-groups (more than ``1 / HOT_SHARE`` of all rows, so at most ``HOT_SHARE`` of them)
-apart from the rest. No function gathers a group in one task unless that group
-is below the hot bound.
+from per-group counts, which combine on the map side, and treats *hot* groups (more
+than ``HOT_ROWS`` rows, however many groups there are) apart from the rest. No
+function gathers a group in one task unless that group is below the hot bound.
 """
 
 from __future__ import annotations
@@ -18,9 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 << 20  # largest table sent to every executor
-HOT_SHARE = 1000  # a hot group holds more than 1/HOT_SHARE of the rows
-HOT_ROWS = 4_000_000  # and more rows than one task sorts with ease
-SLICES = 1024  # ordered pieces a hot group is cut into
+HOT_SHARE = 1000  # statistics of groups with more than 1/HOT_SHARE of the rows go by broadcast
+HOT_ROWS = 1_000_000  # a hot group holds more rows than this; a slice of it holds about half
+SLICES = 4096  # ordered pieces a hot group is cut into at most
+CUT_SAMPLES = 64  # rows drawn for each slice to place the cuts
 SALTS = 64  # unordered pieces used by two-stage top-n
 SKETCH = 10_000  # rank resolution of the quantile sketch
 MERGE_WAYS = 256  # tasks that share the merging of one group's sketches
@@ -122,10 +122,9 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def hot_groups(sizes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """The groups too large for one task, or None; at most ``HOT_SHARE`` by construction."""
-    row = sizes.agg(F.sum("n").alias("total"), F.max("n").alias("largest")).first()
-    bound = max((row["total"] or 0) / HOT_SHARE, hot_rows)
-    return sizes.filter(F.col("n") > bound) if (row["largest"] or 0) > bound else None
+    """The groups too large for one task, or None; at most one for every ``hot_rows`` rows."""
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    return sizes.filter(F.col("n") > hot_rows) if largest > hot_rows else None
 
 
 # --------------------------------------------------------------------------
@@ -137,8 +136,8 @@ def hot_groups(sizes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame | None:
 class Sliced:
     """Rows ready for ordered work inside groups.
 
-    With ``cut`` there is a column ``slice``: 0..slices-1 in hot groups, rising with
-    the order, and -1 elsewhere. Without it every group fits one task.
+    With ``cut`` there is a column ``slice``: from 0 in hot groups, rising with the
+    order, and -1 elsewhere. Without it every group fits one task.
     """
 
     rows: DataFrame
@@ -155,49 +154,54 @@ class Sliced:
 def slice_groups(
     df: DataFrame,
     keys: Sequence[str],
-    order: str,
+    order: str | Sequence[str],
     *,
     sizes: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     slices: int = SLICES,
 ) -> Sliced:
-    """Cut hot groups into ordered slices.
+    """Cut hot groups into ordered slices of about ``hot_rows / 2`` rows, ``slices`` at most.
 
-    Cut points are sketched quantiles, so slices hold similar numbers of rows
-    whatever the distribution; equal values always share a slice.
+    ``order`` is the whole order of the work to come, of any sortable types; nulls come
+    first, infinities and NaN in their places. Cuts are taken from drawn rows on the
+    whole order and, among equal rows, a hash of all columns, so that neither ties nor
+    missing values fill a slice; only rows equal in every column stay together.
     """
     sizes = group_sizes(df, keys) if sizes is None else sizes
     hot = hot_groups(sizes, hot_rows)
     if hot is None:
         return Sliced(df, False)
-    steps = [2**k for k in reversed(range(slices.bit_length() - 1))]
-    slices = 2 * steps[0]
-    rows = match(df, hot.select(*keys), keys, "left_semi", broadcast=True) if keys else df
-    value = F.col(order).cast("double")
-    points = F.percentile_approx(value, [i / slices for i in range(1, slices)], 8 * slices)
-    shares = _sketched(rows, keys, [points.alias("__points")])
-    # Any rising cut points are right; the mean over the shares balances the slices.
-    means = (
-        shares.select(*keys, F.posexplode("__points").alias("__at", "__point"))
-        .groupBy(*keys, "__at")
-        .agg(F.avg("__point").alias("__point"))
-    )
-    listed = F.array_sort(F.collect_list(F.struct("__at", "__point")))["__point"]  # slices - 1 entries
-    cuts = settle(means.groupBy(*keys).agg(F.array_sort(listed).alias("__cuts")))
-    tagged = match(df, cuts, keys, "left", broadcast=True) if keys else attach(df, cuts, keys)
+    order = [order] if isinstance(order, str) else list(order)
+    hashable = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    place = F.struct(*order, F.xxhash64(*hashable).alias("__tie"))
+    pieces = F.least(F.lit(slices), F.ceil(2 * F.col("n") / hot_rows)).cast("int")
+    hot = settle(hot.select(*keys, pieces.alias("__pieces"), (CUT_SAMPLES * pieces / F.col("n")).alias("__draw")))
+    total = hot.agg(F.count(F.lit(1)), F.sum("__pieces"), F.max("__pieces")).first()
+    few = total[1] * 64 <= BROADCAST_BYTES  # at most two cuts for every hot_rows rows
+    if not keys:  # one group, whose cuts are one small row
+        few, df, hot = True, df.withColumn("__all", F.lit(0)), hot.withColumn("__all", F.lit(0))
+    by = list(keys) or ["__all"]
+    rows = match(df, hot, by, "inner", broadcast=few)
+    drawn = rows.filter(F.rand(7) < F.col("__draw")).select(*by, "__pieces", place.alias("__place"))
+    listed = drawn.groupBy(*by, "__pieces").agg(F.array_sort(F.collect_list("__place")).alias("__places"))
+    # any rising cuts are right; drawn rows at even steps make the slices alike
+    step = F.size("__places") / F.col("__pieces")
+    at = F.transform(F.sequence(F.lit(1), F.col("__pieces") - 1), lambda i: F.floor(i * step).cast("int"))
+    cuts = settle(listed.select(*by, F.transform(at, lambda i: F.get("__places", i)).alias("__cuts")))
+    tagged = match(df, cuts, by, "left", broadcast=few).drop("__all")
     # Binary search, one projection per step: generated code, where a lambda over the
     # cuts would be interpreted and copy them into every row.
-    numbered = tagged.withColumn("slice", F.lit(0))
-    for step in steps:
-        further = F.get("__cuts", F.col("slice") + (step - 1)) < value
+    numbered = tagged.withColumn("__place", place).withColumn("slice", F.lit(0))
+    for step in [2**k for k in reversed(range(max(1, total[2]).bit_length()))]:
+        further = F.get("__cuts", F.col("slice") + (step - 1)) < F.col("__place")
         numbered = numbered.withColumn("slice", F.col("slice") + F.when(further, step).otherwise(0))
     numbered = numbered.withColumn("__hot", F.col("__cuts").isNotNull())
     numbered = numbered.withColumn("slice", F.when(F.col("__hot"), F.col("slice")).otherwise(-1))
-    return Sliced(numbered.drop("__cuts"), True)
+    return Sliced(numbered.drop("__cuts", "__place"), True)
 
 
 def _slice_table(rows: DataFrame, keys: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
-    """One row per slice of a hot group: at most ``HOT_SHARE * SLICES`` rows.
+    """One row per slice of a hot group: about two for every ``HOT_ROWS`` rows.
 
     Filters on the flag: a filter on ``slice`` would be pushed down through the search
     and double in size with every step of it.

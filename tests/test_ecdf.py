@@ -130,3 +130,37 @@ def test_custom_metric_hook(spark):
     seen = disc.observe(spark.createDataFrame(obs), ["time", "rep"], ["c1"])
     got = disc.discrepancy(spark.createDataFrame(pred), seen, ["cand"], metric=worst_gap).collect()
     assert len(got) == 2 and all(0 <= r["rho"] < 2 for r in got)
+
+
+def test_null_cells_give_one_answer_on_both_plans(spark):
+    """A cell counts if all its channels have a value; every candidate keeps its row."""
+    obs, pred = two_channel(spark)
+    holes = pred.copy()
+    third = np.arange(len(holes)) % 3 == 0
+    holes.loc[third & (holes.cand == 0), "c2"] = None
+    holes.loc[(np.arange(len(holes)) % 5 == 0) & (holes.cand == 0), "c1"] = float("nan")
+    empty = pred[pred.cand == 1].assign(cand=2, c1=None)
+    apart = pred[pred.cand == 1].assign(cand=3, time=99)
+    rows = [tuple(None if v is None or v != v else v for v in r) for r in pd.concat([holes, empty, apart])[["cand", "rep", "time", "c1", "c2"]].itertuples(index=False)]
+    p = spark.createDataFrame(rows, "cand int, rep int, time int, c1 double, c2 double")
+    o = disc.observe(spark.createDataFrame(obs), ["time", "rep"], ["c1", "c2"])
+    plans = [{r["cand"]: (r["rho"], r["reason"]) for r in disc.discrepancy(p, o, ["cand"], hot_rows=bound).collect()} for bound in (1_000_000, 20)]
+    whole = holes.dropna()
+    want = 0.0
+    for key, y in whole[whole.cand == 0].groupby(["time", "rep"]):
+        x = obs[(obs[["time", "rep"]] == pd.Series(key, index=["time", "rep"])).all(axis=1)]
+        want += brute_distance(x.c1, y.c1) + 0.5 * brute_distance(x.c2, y.c2)
+        want += 0.5 * abs(np.corrcoef(x.c1, x.c2)[0, 1] - np.corrcoef(y.c1, y.c2)[0, 1])
+    for got in plans:
+        assert sorted(got) == [0, 1, 2, 3]
+        assert got[0] == (pytest.approx(want, rel=1e-9), "cells left out")
+        assert got[1][1] is None and got[1][0] == pytest.approx(plans[0][1][0], rel=1e-9)
+        assert got[2] == (None, "missing sample") and got[3] == (None, "missing sample")
+
+
+def test_ranks_with_missing_and_infinite_distances(spark):
+    from cellgauge.operators.particles import rank_by_distance
+
+    df = spark.range(1000).selectExpr("id as particle_id", "if(id < 900, if(id % 2 = 0, double('inf'), null), double(1000 - id)) as rho").repartition(4)
+    ranks = [sorted((r.particle_id, r.position) for r in rank_by_distance(df, hot_rows=n).collect()) for n in (20, 1_000_000)]
+    assert ranks[0] == ranks[1] and dict(ranks[0])[999] == 451 and dict(ranks[0])[898] == 1000
