@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from cellgauge.llm.common import fresh, query, table
 from cellgauge.plans.scale import settle
@@ -32,8 +33,10 @@ UNITS = frozenset(
     "percent % dollar dollars euro euros cent cents € $ usd eur mph kmh w kw v a k c f °c °f hz khz mhz gb mb kb".split()
 )
 
+_NUMERIC = frozenset("0123456789+-$€£")
+_QUOTES = "\"')]»”’"
 _NUMERAL = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
-_EDGE = re.compile(r"^[^\w%$€£°+<>-]+|[^\w%$€£°<>]+$")
+_EDGES = "!\"#&'()*,./:;=?@[\\]^_`{|}~“”„‘’‚«»‹›…–—·•¡¿"
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,6 +49,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Hash of each slot type.
+_TYPES = _mix(np.arange(4, dtype=np.uint64) * _SEED)
+
+
 class Canon:
     """Typed canonical words. A raw word is looked at once and then remembered by number.
 
@@ -56,28 +63,35 @@ class Canon:
 
     def __init__(self, remember: int = REMEMBER):
         self.remember = remember
-        self.hash, self.flags = np.zeros(1024, np.uint64), np.zeros((1024, 5), bool)
         self.forget()
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
         self.word: list[str] = []
+        self.new: list[tuple[int, int]] = []  # hashes and flags not in the arrays yet
+        self.hash, self.flags = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
 
     def _enter(self, raw: str) -> int:
-        import xxhash
-
-        plain = _EDGE.sub("", raw)
-        low, i = plain.lower(), len(self.word)
-        if i == len(self.hash):
-            self.hash = np.concatenate((self.hash, np.zeros_like(self.hash)))
-            self.flags = np.concatenate((self.flags, np.zeros_like(self.flags)))
-        number = bool(_NUMERAL.fullmatch(plain))
-        self.hash[i] = xxhash.xxh64_intdigest(low.encode("utf-8", "replace"), 7)
-        self.flags[i] = number, low in UNITS, plain[:1].isupper() and not number, raw.rstrip("\"')]»”’")[-1:] in ".!?:", bool(plain)
+        plain = raw.strip(_EDGES).rstrip("-+")
+        low = plain.lower()
+        number = plain[:1] in _NUMERIC and bool(_NUMERAL.fullmatch(plain))
+        closes = raw[-1] in ".!?:" or (raw[-1] in _QUOTES and raw.rstrip(_QUOTES)[-1:] in ".!?:")
+        flags = number | (low in UNITS) << 1 | (not number and plain[:1].isupper()) << 2 | closes << 3 | bool(plain) << 4
+        self.new.append((xxh64_intdigest(low.encode("utf-8", "replace"), 7), flags))
         self.word.append(low)
-        self.at[raw] = i
+        i = self.at[raw] = len(self.word) - 1
         return i
 
+    def _arrays(self) -> None:
+        if self.new:
+            have, need = len(self.word) - len(self.new), len(self.word)
+            if need > len(self.hash):
+                self.hash = np.concatenate((self.hash, np.zeros(need + 1024, np.uint64)))
+                self.flags = np.concatenate((self.flags, np.zeros(need + 1024, np.uint8)))
+            self.hash[have:need] = np.array([n[0] for n in self.new], np.uint64)
+            self.flags[have:need] = [n[1] for n in self.new]
+            self.new = []
+
     def read(self, text: str, after: tuple[bool, bool] = (True, False)) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[bool, bool]]:
         """Of every canonical word its hash, slot type (0: none, 1 number, 2 name, 3 unit) and code.
 
@@ -88,7 +102,9 @@ class Canon:
         codes = np.array([at[w] if w in at else enter(w) for w in text.split()], np.int64)
         if not len(codes):
             return np.zeros(0, np.uint64), np.zeros(0, np.int8), codes, after
-        number, unit, capital, closes, solid = self.flags[codes].T
+        self._arrays()
+        flags = self.flags[codes]
+        number, unit, capital, closes, solid = ((flags >> k & 1).astype(bool) for k in range(5))
         starts, follows = np.append(after[0], closes[:-1]), np.append(after[1], number[:-1])
         kind = np.where(number, 1, np.where(unit & follows, 3, np.where(capital & ~starts, 2, 0))).astype(np.int8)
         last = (bool(closes[-1]), bool(number[-1]))
@@ -104,12 +120,12 @@ def window_hashes(hashed: np.ndarray, width: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.zeros(len(hashed) - width + 1, np.uint64)
     for k in range(width):
-        out = _mix(out * _SEED + hashed[k : k + len(out)])
-    return out
+        out = out * _SEED + hashed[k : k + len(out)]
+    return _mix(out)
 
 
 def _typed(hashed: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    return np.where(kind > 0, _mix(kind.astype(np.uint64) * _SEED), hashed)
+    return np.where(kind > 0, _TYPES[kind], hashed) if kind.any() else hashed
 
 
 def _pieces(text: str) -> Iterator[str]:
@@ -138,8 +154,9 @@ def _windows(text: str | None, canon: Canon, width: int, wanted: np.ndarray | No
             held = (hashed, kind, codes)
             continue
         typed = window_hashes(_typed(hashed, kind), width)
-        plain = window_hashes(_typed(hashed, np.where(kind == 2, 0, kind)), width)
-        for level, hashes in ((1, typed), (2, plain)):
+        names = (kind == 2).any()
+        plain = window_hashes(_typed(hashed, np.where(kind == 2, 0, kind)), width) if names else typed
+        for level, hashes in ((1, typed), (2, plain)) if names else ((1, typed),):
             picked = np.arange(len(hashes)) if level == 1 else np.flatnonzero(plain != typed)
             if wanted is not None:
                 bit = hashes[picked] >> np.uint64(64 - FILTER_BITS)
