@@ -67,15 +67,17 @@ def clip_quantiles(
     hi: float = 0.999,
     *,
     bounds: DataFrame | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """A1: rows strictly between the group's quantiles of one column, or of several at once.
 
-    All quantiles are taken before any row is cut.
+    All quantiles are taken before any row is cut. ``bounds`` is a settled
+    :func:`clip_bounds` and ``rows`` its row count, where known.
     """
     bounds = settle(clip_bounds(df, keys, columns, lo, hi)) if bounds is None else bounds
     names = [f"{c}_{side}" for c in columns for side in ("lo", "hi")]
     renamed = bounds.select(*keys, F.col("n").alias("__n"), *[F.col(c).alias(f"__{c}") for c in names])
-    kept = attach(df, renamed, keys, weight="__n")
+    kept = attach(df, renamed, keys, weight="__n", rows=rows)
     for c in columns:
         kept = kept.filter((F.col(c) > F.col(f"__{c}_lo")) & (F.col(c) < F.col(f"__{c}_hi")))
     return kept.select(*df.columns)
@@ -112,10 +114,11 @@ def prepare_wells(
     """
     positive = positive_signal(raw, columns)
     bounds = settle(clip_bounds(positive, keys, columns, lo, hi))
-    clean = clip_quantiles(positive, keys, columns, lo, hi, bounds=bounds)
+    rows = bounds.count()
+    clean = clip_quantiles(positive, keys, columns, lo, hi, bounds=bounds, rows=rows)
     names = [f"{c}_{side}" for c in columns for side in ("lo", "hi")]
     renamed = bounds.select(*keys, F.col("n").alias("__n"), *[F.col(c).alias(f"__{c}") for c in names])
-    judged = attach(raw.select(*keys, *columns), renamed, keys, how="left", weight="__n")
+    judged = attach(raw.select(*keys, *columns), renamed, keys, how="left", weight="__n", rows=rows)
     kept = F.lit(True)
     for c in columns:
         kept = kept & (F.col(c) > 0) & (F.col(c) > F.col(f"__{c}_lo")) & (F.col(c) < F.col(f"__{c}_hi"))

@@ -53,14 +53,23 @@ def observe(
     if len(channels) == 1:
         grid = settle(ecdf_grid(df, keys, channels[0]))
         return Observed(keys, channels, grid, grid.count(), weights=weights)
-    # One pass per channel reads only that channel's column; melting would double the rows.
-    grids = [ecdf_grid(df, keys, c).withColumn("channel", F.lit(c)) for c in channels]
+    # One pass for the ranges and the correlation, then one per channel, which reads
+    # only that column; melting would double the rows.
+    spread = F.stddev_pop(channels[0]) * F.stddev_pop(channels[1])
+    ranges = [a for c in channels for a in (F.min(c).alias(f"__lo_{c}"), F.max(c).alias(f"__hi_{c}"))]
+    stats = settle(
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *ranges, F.try_divide(F.covar_pop(*channels), spread).alias("r_obs"))
+    )
+    samples = stats.count()
+    grids = []
+    for c in channels:
+        own = stats.select(*keys, F.col(f"__lo_{c}").alias("lo"), F.col(f"__hi_{c}").alias("hi"), "n")
+        grids.append(ecdf_grid(df, keys, c, ranges=own, rows=samples).withColumn("channel", F.lit(c)))
     grid = grids[0]
     for other in grids[1:]:
         grid = grid.unionByName(other)
-    grid = settle(grid)
-    correlations = settle(channel_correlation(df, keys, *channels).withColumnRenamed("r", "r_obs"))
-    return Observed(keys, channels, grid, grid.count(), correlations, correlations.count(), weights)
+    correlations = stats.select(*keys, "r_obs")
+    return Observed(keys, channels, settle(grid), samples * len(channels), correlations, samples, weights)
 
 
 def pair_samples(

@@ -42,17 +42,24 @@ def grid_interval(y, lo, step, knots: int = KNOTS) -> Column:
     return F.least(F.greatest(fixed, F.lit(0)), F.lit(knots - 2)).cast("int")
 
 
-def ecdf_grid(df: DataFrame, keys: Sequence[str], value: str, knots: int = KNOTS) -> DataFrame:
+def ecdf_grid(
+    df: DataFrame, keys: Sequence[str], value: str, knots: int = KNOTS, *,
+    ranges: DataFrame | None = None, rows: int | None = None,
+) -> DataFrame:
     """Per sample the share of values strictly below each of ``knots`` even knots.
 
     One row per sample with ``lo``, ``hi``, ``step``, ``n`` and the array ``p``. Values
     are counted by interval, which combines on the map side, and summed up along the
-    knots; the cost is linear in the values and the sample is never gathered.
+    knots; the cost is linear in the values and the sample is never gathered. ``ranges``
+    is a settled :func:`sample_range` and ``rows`` its row count, where known.
     """
     valid = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, value)
-    ranges = sample_range(valid, keys, value)
-    ranges = settle(ranges.withColumn("step", (F.col("hi") + WIDEN - F.col("lo")) / (knots - 1)))
-    placed = attach(valid, ranges, keys)
+    step = (F.col("hi") + WIDEN - F.col("lo")) / (knots - 1)
+    if ranges is None:
+        ranges = settle(sample_range(valid, keys, value).withColumn("step", step))
+    else:
+        ranges = ranges.withColumn("step", step)
+    placed = attach(valid, ranges, keys, rows=rows)
     k = grid_interval(F.col(value), F.col("lo"), F.col("step"), knots)
     every = ranges.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(knots - 2))).alias("k"))
     # Empty intervals join the count with weight 0, so each sample has all of them.

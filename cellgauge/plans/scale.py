@@ -409,6 +409,7 @@ def order_statistics(
     """
     columns = sorted({w.column for w in wanted})
     stats = settle(_brackets(df, keys, columns, wanted, sketch))
+    groups, largest = stats.agg(F.count(F.lit(1)), F.max("n")).first()
 
     entries, anywhere = [], F.lit(False)
     for i, w in enumerate(wanted):
@@ -424,7 +425,7 @@ def order_statistics(
             F.when(near, F.struct(F.lit(i).alias("i"), F.when(~outside, y).alias("y")))
         )
     bounds = [f"__{side}_{i}" for side in ("lo", "hi") for i in range(len(wanted))]
-    bounded = attach(df.select(*keys, *columns), stats.select(*keys, "n", *bounds), keys)
+    bounded = attach(df.select(*keys, *columns), stats.select(*keys, "n", *bounds), keys, rows=groups)
     counted = (
         bounded.filter(anywhere)  # far most rows end here
         .select(*keys, F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
@@ -432,7 +433,7 @@ def order_statistics(
         .agg(F.count(F.lit(1)).alias("c"))
     )
     cell = [*keys, "i"]
-    if hot_groups(stats.select("n"), hot_rows) is None:
+    if (largest or 0) <= hot_rows:
         cut = Sliced(counted, False)
     else:
         counted = settle(counted)
@@ -448,17 +449,15 @@ def order_statistics(
         first = under + 1 if w.share <= 0.5 else n - under
         second = under + 2 if w.share <= 0.5 else n - under - 1
         places.append(F.struct(F.lit(i).alias("i"), first.alias("r1"), second.alias("r2"), (at - under).alias("f")))
-    targets = settle(
-        stats.select(*keys, F.explode(F.array(*places)).alias("t")).select(
-            *keys, F.col("t.i").alias("i"), "t.r1", "t.r2", "t.f"
-        )
+    targets = stats.select(*keys, F.explode(F.array(*places)).alias("t")).select(
+        *keys, F.col("t.i").alias("i"), "t.r1", "t.r2", "t.f"
     )
 
     def held(rank: str) -> Column:
         return (F.col("upto") - F.col("c") < F.col(rank)) & (F.col(rank) <= F.col("upto"))
 
     found = (
-        attach(ranked, targets, [*keys, "i"])
+        attach(ranked, targets, [*keys, "i"], rows=groups * len(wanted))
         .groupBy(*keys, "i")
         .agg(
             F.max(F.when(held("r1"), F.col("y"))).alias("a"),
