@@ -18,6 +18,8 @@ from cellgauge.plans.scale import settle
 WINDOW = 5
 #: Share of an item's windows that a document must hold, in the item's order.
 MIN_SHARE = 0.8
+#: Least width of a band of offsets that count together; a quarter of the item's windows if that is more.
+MIN_BAND = 4
 #: Bits of the filter that thins windows inside the scan; fixed, so its 8 MB are known before it is sent.
 FILTER_BITS = 26
 #: Raw words a task remembers.
@@ -220,11 +222,12 @@ def contamination(
 
     Texts become typed templates (see :class:`Canon`), so an item whose numbers, names or
     units were changed still has its windows. Windows meet by a hash join; a filter of
-    fixed size drops most of the documents' windows before anything moves. Per document,
-    item and offset (document place minus item place, so in the item's order) the share
-    of the item's windows must reach ``min_share``, and slots must agree: one spelling in
-    the item stands for one spelling in the document, and the other way round, taken over
-    the windows found. Inconsistent slots are no contamination.
+    fixed size drops most of the documents' windows before anything moves. Per document
+    and item, among windows in about the item's order (offsets, document place minus item
+    place, that differ by less than an eighth of the item), the share of the item's
+    windows must reach ``min_share``, and slots must agree: one spelling in the item stands
+    for one spelling in the document, and the other way round, taken over the windows
+    found. Inconsistent slots are no contamination.
 
     An item shorter than a window is one window, found where a document is that text.
     ``row_hash`` (of the text) tells repeated ids apart; equal rows give one result. Null
@@ -238,9 +241,14 @@ def contamination(
     found = found.filter(F.size("hits") > 0).select("doc_id", "row_hash", F.explode("hits").alias("h"))
     found = found.select("doc_id", "row_hash", "h.pos", "h.level", "h.hash", "h.slots")
     met = found.join(items, "hash").withColumn("offset", F.col("pos") - F.col("place"))
+    # bands of offsets, in two layers half a band apart: inserted or missing words shift the rest
+    band = F.greatest(F.lit(MIN_BAND), F.floor(F.col("n_windows") / 4)).cast("long")
+    half = F.floor(band / 2)
+    layers = [F.struct(F.lit(i).alias("layer"), F.floor((F.col("offset") + shift) / band).alias("band")) for i, shift in enumerate((F.lit(0), half))]
+    met = met.withColumn("at", F.explode(F.array(*layers)))
     pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     typed, plain = (F.col("level") < 2) & (F.col("item_level") < 2), (F.col("level") != 1) & (F.col("item_level") != 1)
-    shares = met.groupBy("doc_id", "row_hash", "item", "item_hash", "offset", "n_windows").agg(
+    shares = met.groupBy("doc_id", "row_hash", "item", "item_hash", "at", "n_windows").agg(
         F.collect_set(F.when(typed, F.col("place"))).alias("typed_at"), F.flatten(F.collect_set(F.when(typed, pairs))).alias("typed_pairs"),
         F.collect_set(F.when(plain, F.col("place"))).alias("plain_at"), F.flatten(F.collect_set(F.when(plain, pairs))).alias("plain_pairs"),
     )

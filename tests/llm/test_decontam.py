@@ -37,8 +37,9 @@ def test_order_and_share_count(spark, benchmark):
     half = " ".join(words[: len(words) // 2])
     most = " ".join(words[:-3])
     mixed = " ".join(words[len(words) // 2 :] + words[: len(words) // 2])
-    got = marked(spark, benchmark, [half, most, mixed, "Three words only", "Here are three words only."])
-    assert got[0] == got[2] == got[4] == [] and got[1] == [1, 5] and got[3] == [2]
+    longer = " ".join([*words[:18], "really", *words[18:]])
+    got = marked(spark, benchmark, [half, most, mixed, "Three words only", "Here are three words only.", longer])
+    assert got[0] == got[2] == got[4] == [] and got[1] == got[5] == [1, 5] and got[3] == [2]
 
 
 def brute(docs, items, width=decontam.WINDOW, share=decontam.MIN_SHARE):
@@ -56,8 +57,10 @@ def brute(docs, items, width=decontam.WINDOW, share=decontam.MIN_SHARE):
         w, seen = clean(t), {}
         for k in range(max(1, len(w) - width + 1)):
             for i, p in at.get(tuple(w[k : k + width]), ()):
-                seen.setdefault((i, k - p), set()).add(p)
-        out[d] = sorted({i for (i, _), p in seen.items() if len(p) >= share * sizes[i]})
+                band = max(decontam.MIN_BAND, sizes[i] // 4)
+                for layer in (0, band // 2):
+                    seen.setdefault((i, layer, (k - p + layer) // band), set()).add(p)
+        out[d] = sorted({key[0] for key, p in seen.items() if len(p) >= share * sizes[key[0]]})
     return out
 
 
