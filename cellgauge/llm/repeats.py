@@ -18,15 +18,17 @@ ANCHOR = 140
 #: Bits of the two filters that thin anchors inside the scan: 16 MB each, whatever the input.
 FILTER_BITS = 27
 #: Bytes of text for each bucket of anchors; their number follows the input.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 8 << 20
 #: Contexts of one anchor that one merge takes; those of a more frequent anchor are compared window by window.
 HOT_CONTEXTS = 200_000
 #: Contexts of one anchor that one batch reports when anchors are counted; more are reported as a number.
 REPORTED = 16
 #: Symbols merged at once, and the shards they are cut into.
-MERGE_SYMBOLS = 1 << 20
-SHARDS = 4
+MERGE_SYMBOLS = 1 << 17
+SHARDS = 2
 PIECE = 1 << 22
+#: Anchors a task holds before it sends them on.
+SENT_ANCHORS = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(11).integers(0, 2**64, 256, dtype=np.uint64)
@@ -113,7 +115,8 @@ def anchors(raw: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
         at = np.unique(least[np.concatenate(([True], least[1:] != least[:-1]))] & np.uint64((1 << 24) - 1)).astype(np.int64)
         left, right = np.minimum(m, at + lo), np.minimum(m, n - (at + lo) - shape.anchor)
         context = roll.parts(at - left, at + shape.anchor + right) ^ (left * 1000 + right).astype(np.uint64)
-        found.append((at + lo, hashes[at], context, left, right))
+        # least hashes are small ones: mixed again, their leading bits are even
+        found.append((at + lo, _mix(hashes[at] * np.uint64(_BASE)), context, left, right))
     if not found:
         none = np.zeros(0, np.int64)
         return none, none.astype(np.uint64), none.astype(np.uint64), none, none
@@ -159,15 +162,15 @@ def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarr
     """
     narrow = np.uint8 if all(t.dtype == np.uint8 for t in transforms) else np.uint16
     shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
-    flat = np.concatenate(transforms).astype(narrow)
-    common = np.full(len(flat), depth, np.int32)
-    block = np.zeros(len(flat), np.int32)
-    symbol = np.empty_like(flat)
+    common = np.full(len(shard), depth, np.int32)
+    block = np.zeros(len(shard), np.int32)
+    symbol = np.empty(len(shard), narrow)
     for h in range(1, depth + 1):
-        symbol[np.argsort(shard, kind="stable")] = flat
+        for s, transform in enumerate(transforms):
+            symbol[shard == s] = transform
         order = np.argsort(symbol, kind="stable")
         shard, moved, symbols = shard[order], block[order], symbol[order]
-        apart = np.empty(len(flat), bool)
+        apart = np.empty(len(shard), bool)
         apart[:1] = True
         apart[1:] = (moved[1:] != moved[:-1]) | (symbols[1:] != symbols[:-1])
         common[apart & (common == depth)] = h - 1
@@ -253,7 +256,38 @@ def _count_batch(hashes: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray,
     return h, c, np.minimum(count, 2**31 - 1)
 
 
-_H, _C = np.dtype("<u8"), np.dtype("<u8")
+@dataclass(frozen=True)
+class _Buckets:
+    order: np.ndarray
+    ranges: list[tuple[int, int, int]]
+
+
+def _by_bucket(bucket: np.ndarray) -> _Buckets:
+    """An order by bucket, and (bucket, first, last + 1) in it."""
+    order = np.argsort(bucket, kind="stable")
+    found, at = np.unique(bucket[order], return_index=True)
+    cuts = np.append(at, len(bucket)).tolist()
+    return _Buckets(order, list(zip(found.tolist(), cuts[:-1], cuts[1:])))
+
+
+def _by_anchors(made: Iterator[tuple], most: int = SENT_ANCHORS) -> Iterator[list[tuple]]:
+    """Texts' arrays in lists of about ``most`` anchors, which bounds what a task holds."""
+    held, size = [], 0
+    for one in made:
+        if len(one[0]):
+            held.append(one)
+            size += len(one[0])
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _record(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
+    """Rows of a bucket number and byte strings."""
+    kinds = [pa.int32(), *[pa.binary()] * (len(names) - 1)]
+    return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows), kinds)], list(names))
 
 
 def _low_bytes(values: np.ndarray, keep: int) -> bytes:
@@ -299,22 +333,14 @@ def count_anchors(texts: DataFrame, column: str, shape: Shape, bucket_bits: int,
     shift = np.uint64(64 - bucket_bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [anchors(raw, shape)[1:3] for raw in _bytes(batch.column(0))]
-            if not made:
-                continue
-            h, c, n = _count_batch(np.concatenate([x[0] for x in made]), np.concatenate([x[1] for x in made]))
-            # the lowest bit of a context tells whether it came twice; 0 and 1 stand for "more of them"
+        for made in _by_anchors((anchors(raw, shape)[1:3] for batch in batches for raw in _bytes(batch.column(0)))):
+            h, c, n = _count_batch(*(np.concatenate(x) for x in zip(*made)))
+            # the lowest bit of a context tells whether it came twice; 0 stands for "more of them"
             c = np.where(c == 0, np.uint64(0), (c >> np.uint64(16) | np.uint64(2)) & ~np.uint64(1) | (n > 1).astype(np.uint64)) << np.uint64(16)
-            order = np.argsort(h >> shift, kind="stable")
-            h, c, n = h[order], c[order], n[order]
-            buckets, at = np.unique(h >> shift, return_index=True)
-            cuts = np.append(at, len(h))
-            rows = [
-                (int(b), _low_bytes(h[x:y], 5), _low_bytes(c[x:y], 6), n[x:y][c[x:y] == 0].astype("<i4").tobytes())
-                for b, x, y in zip(buckets, cuts[:-1], cuts[1:])
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "h", "c", "n"]) if rows else pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int32(), pa.binary(), pa.binary(), pa.binary())], ["bucket", "h", "c", "n"])
+            parts = _by_bucket(h >> shift)
+            h, c, n = h[parts.order], c[parts.order], n[parts.order]
+            rows = [(b, _low_bytes(h[x:y], 5), _low_bytes(c[x:y], 6), n[x:y][c[x:y] == 0].astype("<i4").tobytes()) for b, x, y in parts.ranges]
+            yield _record(rows, ("bucket", "h", "c", "n"))
 
     def settle_bucket(found: pa.Table) -> pa.Table:
         bucket = found["bucket"][0].as_py()
@@ -372,36 +398,32 @@ def context_repeats(texts: DataFrame, column: str, shape: Shape, filters, bucket
     """
     shift = np.uint64(64 - bucket_bits)
 
+    def chosen(raw: np.ndarray) -> tuple:
+        at, h, c, left, right = anchors(raw, shape)
+        ok = filters.value.is_twice(h)
+        ok &= ~filters.value.is_hot(h)
+        at, h, c, left, right = at[ok], h[ok], c[ok], left[ok], right[ok]
+        mixed, data = filters.value.is_mixed(h).tolist(), raw.tobytes()
+        ends = [(p - x, p, p + shape.anchor, p + shape.anchor + y) for p, x, y in zip(at.tolist(), left.tolist(), right.tolist())]
+        body = [data[a:b] + data[c:d] if m else b"" for (a, b, c, d), m in zip(ends, mixed)]
+        return h, c, left.astype("<u2"), right.astype("<u2"), np.array(body, object)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = dict(zip(_SENT, (pa.int32(), *[pa.binary()] * 6)))
-        for batch in batches:
-            parts = []
-            for raw in _bytes(batch.column(0)):
-                at, h, c, left, right = anchors(raw, shape)
-                ok = filters.value.is_twice(h)
-                ok &= ~filters.value.is_hot(h)
-                at, h, c, left, right = at[ok], h[ok], c[ok], left[ok], right[ok]
-                mixed = filters.value.is_mixed(h)
-                data = raw.tobytes()
-                body = [data[p - x : p] + data[p + shape.anchor : p + shape.anchor + y] if m else b"" for p, x, y, m in zip(at.tolist(), left.tolist(), right.tolist(), mixed.tolist())]
-                parts.append((h, c, left, right, np.array(body, object)))
-            if not parts:
-                continue
-            h, c, left, right, body = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        for made in _by_anchors((chosen(raw) for batch in batches for raw in _bytes(batch.column(0)))):
+            h, c, left, right, body = (np.concatenate(x) for x in zip(*made))
             order = np.lexsort((c, h))
-            new = np.flatnonzero(np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])))) if len(h) else np.zeros(0, np.int64)
+            new = np.flatnonzero(np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1]))))
             many = np.diff(np.append(new, len(h))) > 1
             pick = order[new]
+            parts = _by_bucket(h[pick] >> shift)
+            many, pick = many[parts.order], pick[parts.order]
             h, c, left, right, body = h[pick], c[pick], left[pick], right[pick], body[pick]
-            buckets, at = np.unique(h >> shift, return_index=True)
-            cuts = np.append(at, len(h))
             rows = [
-                (int(b), h[x:y].tobytes(), c[x:y].tobytes(), many[x:y].tobytes(), left[x:y].astype(np.uint16).tobytes(), right[x:y].astype(np.uint16).tobytes(),
+                (b, h[x:y].tobytes(), c[x:y].tobytes(), many[x:y].tobytes(), left[x:y].tobytes(), right[x:y].tobytes(),
                  np.fromiter(map(len, body[x:y]), "<u2", y - x).tobytes() + b"".join(body[x:y]))
-                for b, x, y in zip(buckets, cuts[:-1], cuts[1:])
+                for b, x, y in parts.ranges
             ]
-            columns = zip(*rows) if rows else [[] for _ in _SENT]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), kinds[k]) for k, x in zip(_SENT, columns)], list(_SENT))
+            yield _record(rows, _SENT)
 
     def settle_bucket(found: pa.Table) -> pa.Table:
         parts = found.to_pylist()
@@ -541,7 +563,7 @@ def remove_repeats(
     key, text, found = fresh(rows, "row_key", "row_text", "row_marks")
     keyed = rows.select(row_key(id_column, text_column).alias(key), F.col(text_column).cast("string").alias(text))
     total = keyed.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    bits = min(16, max(1, (total // bucket_bytes).bit_length()))
+    bits = min(22, max(1, (total // bucket_bytes).bit_length()))
     filters = spark.sparkContext.broadcast(count_anchors(keyed, text, shape, bits, hot_contexts))
     repeats = context_repeats(keyed, text, shape, filters, bits)
     places = _places(keyed, text, key, shape, filters).join(repeats, ["h", "c"])
