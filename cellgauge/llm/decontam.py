@@ -23,7 +23,7 @@ MIN_BAND = 4
 #: Bits of the filter that thins windows inside the scan; fixed, so its 8 MB are known before it is sent.
 FILTER_BITS = 26
 #: Raw words a task remembers.
-REMEMBER = 500_000
+REMEMBER = 300_000
 #: Characters of one text taken at a time; pieces overlap by a window.
 PIECE = 4_000_000
 
