@@ -14,8 +14,8 @@ from cellgauge.llm.common import bounded_sample, in_fold, query, table
 from cellgauge.plans.scale import match, settle
 
 #: Rows the classifier is fitted on at most.
-MAX_POSITIVE = 4_000
-MAX_UNLABELLED = 8_000
+MAX_POSITIVE = 3_000
+MAX_UNLABELLED = 6_000
 #: Words the classifier looks at: those whose document frequencies tell the two samples apart most.
 VOCABULARY = 1_024
 
@@ -27,9 +27,9 @@ def words_of(text: str | None) -> frozenset[bytes]:
     return frozenset((text or "").lower().encode("utf-8", "replace").translate(_LETTERS).split())
 
 
-def choose_words(positive: Sequence[frozenset], unlabelled: Sequence[frozenset], most: int = VOCABULARY) -> list[bytes]:
+def choose_words(positive: Sequence[str], unlabelled: Sequence[str], most: int = VOCABULARY) -> list[bytes]:
     """The words with the largest likelihood ratio between both samples' document frequencies."""
-    p, u = Counter(w for d in positive for w in d), Counter(w for d in unlabelled for w in d)
+    p, u = Counter(w for t in positive for w in words_of(t)), Counter(w for t in unlabelled for w in words_of(t))
     words = sorted(w for w in set(p) | set(u) if p[w] + u[w] >= 5)
     a, b = np.array([p[w] for w in words], float), np.array([u[w] for w in words], float)
     n, m = len(positive), len(unlabelled)
@@ -46,11 +46,12 @@ def choose_words(positive: Sequence[frozenset], unlabelled: Sequence[frozenset],
     return sorted(words[i] for i in best)
 
 
-def presence(docs: Sequence[frozenset], words: Sequence[bytes]) -> np.ndarray:
+def presence(texts: Sequence[str], words: Sequence[bytes]) -> np.ndarray:
+    """Which of the words each text has; word sets are made one text at a time."""
     at = {w: i for i, w in enumerate(words)}
-    out = np.zeros((len(docs), len(words)), np.float32)
-    for row, doc in enumerate(docs):
-        out[row, [at[w] for w in doc & at.keys()]] = 1
+    out = np.zeros((len(texts), len(words)), np.float32)
+    for row, text in enumerate(texts):
+        out[row, [at[w] for w in words_of(text) & at.keys()]] = 1
     return out
 
 
@@ -112,8 +113,8 @@ def train(
     chosen = bounded_sample(marks.filter("toxic = 1").select("id"), max_positive, toxic, "id")
     positive = match(texts, chosen, ["id"], "left_semi", broadcast=True).orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(max_positive)
     unlabelled = bounded_sample(texts, max_unlabelled, texts.count(), "id")
-    p = [words_of(r.text) for r in positive.select("text").collect()]
-    u = [words_of(r.text) for r in unlabelled.select("text").collect()]
+    p = [r.text for r in positive.select("text").collect()]
+    u = [r.text for r in unlabelled.select("text").collect()]
     if not p or not u:
         return Model({}, float(np.log(share / (1 - share))))
     words = choose_words(p, u, vocabulary)
