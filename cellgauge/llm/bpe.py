@@ -7,18 +7,18 @@ import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cellgauge.llm.common import query, table
+from cellgauge.llm.common import fresh, query, table
 
 #: Characters of text whose words are replayed together; memory is bounded by it and by one text.
-CORPUS_CHARS = 6_000_000
+CORPUS_CHARS = 1_500_000
 #: Words of earlier corpora a task remembers with their ids.
-REMEMBER = 400_000
+REMEMBER = 200_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -156,7 +156,7 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
             odd[word[touched[low]]] = True
         enter(touched)
     alive = token[:n] >= 0
-    ids, counts = token[:n][alive], np.bincount(word[alive], minlength=len(words))
+    ids, counts = token[:n][alive].astype(np.int32), np.bincount(word[alive], minlength=len(words))
     # a word that is a token is that token, even where its merges do not lead there
     whole = np.fromiter((vocabulary.ranks.get(w, -1) if k > 1 else -1 for w, k in zip(words, counts.tolist())), np.int64, len(words))
     redo = np.flatnonzero(odd | (whole >= 0))
@@ -198,14 +198,13 @@ class Encoder:
             found = self.cut(text)
             sizes.append(len(found))
             matches += found
-        codes, names = pd.factorize(np.array(matches, object)) if matches else (np.zeros(0, np.int64), [])
-        new = [w for w in names if w not in self.known]
+        new = list(dict.fromkeys(w for w in matches if w not in self.known))
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
             ids, counts = replay([w.encode("utf-8", "surrogatepass") for w in new], self.vocabulary)
             self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(counts) - counts))
             self.ids, self.lengths = np.concatenate((self.ids, ids)), np.concatenate((self.lengths, counts))
-        place = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[codes] if len(names) else codes
+        place = np.fromiter(map(self.known.__getitem__, matches), np.int64, len(matches))
         flat = gather(self.ids, self.starts[place], self.lengths[place])
         ends = np.concatenate(([0], np.cumsum(self.lengths[place])))[np.cumsum([0, *sizes])]
         return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
@@ -223,51 +222,70 @@ def _corpora(texts: Iterable[str], most: int) -> Iterator[list[str]]:
         yield held
 
 
-def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, text_column: str = "text", out: str = "ids", *, corpus_chars: int = CORPUS_CHARS) -> DataFrame:
+def bytes_of(ids: np.ndarray, pool: np.ndarray, offset: np.ndarray, length: np.ndarray) -> bytes:
+    """The bytes that ids stand for, from the tokens' bytes end to end."""
+    ids = ids.astype(np.int64)
+    return gather(pool, offset[ids], length[ids]).tobytes()
+
+
+def encode(
+    documents: DataFrame, ranks: dict[bytes, int], pattern: str, text_column: str = "text", out: str = "ids", *,
+    decoded: str | None = None, corpus_chars: int = CORPUS_CHARS, remember: int = REMEMBER,
+) -> DataFrame:
     """Add each whole text's ids as little-endian unsigned 32-bit integers, without special tokens.
 
     Each match of ``pattern`` is encoded separately. A task takes its rows in corpora of
     ``corpus_chars`` characters and replays the merges once over the distinct words of a
     corpus; a text longer than that is a corpus of its own. Words are never shuffled,
     because the result of a word depends on nothing else, so no frequent word is hot.
-    Null texts count as empty and have no ids. A clashing column is replaced.
+    ``decoded`` names a second column with the bytes that the ids decode to, made in the
+    same pass. Null texts count as empty and have no ids. Clashing columns are replaced.
     """
-    shared = documents.sparkSession.sparkContext.broadcast((ranks, pattern))  # a vocabulary: bounded, under 10 MB
-
-    @F.arrow_udf("binary")
-    def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(Vocabulary(*shared.value))
+    shared = documents.sparkSession.sparkContext.broadcast(Vocabulary(ranks, pattern))  # bounded: under 10 MB
+    new = [out] if decoded is None else [out, decoded]
+    taken = {n.lower() for n in new}
+    kept = [c for c in documents.columns if c.lower() not in taken]
+    text, = fresh(documents, "text_to_encode")
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        encoder = Encoder(vocabulary, remember)
         for batch in batches:
-            texts = ((t.as_py() or "") for t in batch)
-            made = [ids.astype("<u4").tobytes() for corpus in _corpora(texts, corpus_chars) for ids in encoder.corpus(corpus)]
-            yield pa.array(made, pa.binary())
-
-    return documents.withColumn(out, udf(F.col(text_column).cast("string")))
+            at = 0
+            for corpus in _corpora(((t.as_py() or "") for t in batch.column(len(kept))), corpus_chars):
+                ids = encoder.corpus(corpus)
+                columns = [pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())]
+                if decoded is not None:
+                    parts = (vocabulary.pool, vocabulary.offset, vocabulary.length)
+                    columns.append(pa.array([bytes_of(x, *parts) for x in ids], pa.binary()))
+                rows = batch.slice(at, len(corpus))
+                at += len(corpus)
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(kept)], *columns], [*kept, *new])
+            pa.default_memory_pool().release_unused()
+
+    schema = T.StructType([*[documents.schema[c] for c in kept], *[T.StructField(n, T.BinaryType()) for n in new]])
+    return documents.select(*kept, F.col(text_column).cast("string").alias(text)).mapInArrow(encoded, schema)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_column: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the bytes that each row's ids stand for; null ids give empty bytes. Ids outside the vocabulary are an error."""
-    shared = encoded.sparkSession.sparkContext.broadcast(ranks)
+    whole = Vocabulary(ranks, "")
+    shared = encoded.sparkSession.sparkContext.broadcast((whole.pool, whole.offset, whole.length))
 
     @F.arrow_udf("binary")
     def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary = Vocabulary(shared.value, "")
         for batch in batches:
-            rows = []
-            for value in batch:
-                ids = np.frombuffer(value.as_py() or b"", "<u4").astype(np.int64)
-                rows.append(gather(vocabulary.pool, vocabulary.offset[ids], vocabulary.length[ids]).tobytes())
-            yield pa.array(rows, pa.binary())
+            yield pa.array([bytes_of(np.frombuffer(v.as_py() or b"", "<u4"), *shared.value) for v in batch], pa.binary())
 
     return encoded.withColumn(out, udf(F.col(ids_column)))
 
 
 def digests(documents: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """Add n_tokens, ids_sha256 and decoded_sha256 of the ids and of what they decode to."""
-    both = decode(encode(documents, ranks, pattern), ranks)
+    """Add ids, n_tokens, ids_sha256 and decoded_sha256 of the ids and of what they decode to."""
+    both = encode(documents, ranks, pattern, decoded="decoded")
+    kept = [c for c in documents.columns if c not in ("ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")]
     return both.select(
-        *[c for c in documents.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")],
-        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        *kept, "ids", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 

@@ -42,6 +42,13 @@ def test_awkward_rows(spark, awkward, ranks, library):
     assert bpe.digests(awkward.limit(0), ranks, PATTERN).count() == 0
 
 
+def test_ids_decode_apart_from_encoding(spark, awkward, ranks):
+    ids = bpe.encode(awkward, ranks, PATTERN, out="IDS")
+    assert ids.columns == [*awkward.columns, "IDS"]
+    back = bpe.decode(ids, ranks, "IDS")
+    assert all(bytes(r.decoded) == (r.text or "").encode() for r in back.collect())
+
+
 def test_small_corpora_and_a_short_memory_change_nothing(ranks, library):
     rng = random.Random(5)
     letters = "aaabcdeé ñ\n\t 12.,'s漢字🙂 "
