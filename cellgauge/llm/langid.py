@@ -22,7 +22,7 @@ FAMILIES = {
 }
 UNKNOWN = "und"
 #: Training rows of all languages together at most, in equal shares.
-MAX_ROWS = 6_000
+MAX_ROWS = 3_000
 DIMENSIONS = 4_096
 PIECE = 1 << 20
 
@@ -121,7 +121,9 @@ def fit(texts: list[str], langs: list[str], families: Mapping[str, tuple[str, ..
     for name in names:
         groups.setdefault(family_of.get(name, f"only {name}"), []).append(name)
     members = [groups[g] for g in sorted(groups)]
-    x = np.stack([features(t) for t, _ in rows])
+    x = np.empty((len(rows), DIMENSIONS), np.float32)
+    for i, (text, _) in enumerate(rows):
+        x[i] = features(text)
     y = np.array([y for _, y in rows])
     place = {name: i for i, group in enumerate(members) for name in group}
     weights = fit_softmax(x, np.array([place[name] for name in y]), len(members)) if len(members) > 1 else None
