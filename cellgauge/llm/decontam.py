@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from cellgauge.llm.common import fresh, query, table
@@ -214,6 +216,36 @@ def benchmark_windows(benchmark: DataFrame, item_column: str = "item_id", text_c
     )
 
 
+def _aligned(windows: list[dict]) -> list[dict]:
+    """Of every place one window: that at the offset with most windows, as a place may meet the like of it nearby too."""
+    support = Counter(w["pos"] - w["place"] for w in windows)
+    best: dict[int, tuple] = {}
+    for w in windows:
+        rank = (support[w["pos"] - w["place"]], w["item_slots"] == w["slots"], -w["pos"])
+        if w["place"] not in best or rank > best[w["place"]][0]:
+            best[w["place"]] = (rank, w)
+    return [w for _, w in best.values()]
+
+
+def _share(n_windows: int, windows: list[dict]) -> float:
+    """Of an item's windows, or 0 where a slot of one side stands for two of the other."""
+    aligned = _aligned(windows)
+    pairs = {p for w in aligned for p in zip(w["item_slots"], w["slots"])}
+    one_to_one = len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
+    return len(aligned) / n_windows if one_to_one else 0.0
+
+
+@F.arrow_udf(T.DoubleType())
+def _coverage(n_windows: pa.Array, windows: pa.Array) -> pa.Array:
+    """The better share of the typed windows and of those with names as plain words."""
+    out = []
+    for n, met in zip(n_windows.to_pylist(), windows.to_pylist()):
+        typed = [w for w in met if w["level"] < 2 and w["item_level"] < 2]
+        plain = [w for w in met if w["level"] != 1 and w["item_level"] != 1]
+        out.append(max(_share(n, typed), _share(n, plain)))
+    return pa.array(out, pa.float64())
+
+
 def contamination(
     documents: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", *,
     width: int = WINDOW, min_share: float = MIN_SHARE,
@@ -226,8 +258,9 @@ def contamination(
     and item, among windows in about the item's order (offsets, document place minus item
     place, that differ by less than an eighth of the item), the share of the item's
     windows must reach ``min_share``, and slots must agree: one spelling in the item stands
-    for one spelling in the document, and the other way round, taken over the windows
-    found. Inconsistent slots are no contamination.
+    for one spelling in the document, and the other way round. Where a place of the item
+    meets several windows of the document, that at the offset with most windows is taken.
+    Inconsistent slots are no contamination.
 
     An item shorter than a window is one window, found where a document is that text.
     ``row_hash`` (of the text) tells repeated ids apart; equal rows give one result. Null
@@ -246,21 +279,11 @@ def contamination(
     half = F.floor(band / 2)
     layers = [F.struct(F.lit(i).alias("layer"), F.floor((F.col("offset") + shift) / band).alias("band")) for i, shift in enumerate((F.lit(0), half))]
     met = met.withColumn("at", F.explode(F.array(*layers)))
-    pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    typed, plain = (F.col("level") < 2) & (F.col("item_level") < 2), (F.col("level") != 1) & (F.col("item_level") != 1)
-    shares = met.groupBy("doc_id", "row_hash", "item", "item_hash", "at", "n_windows").agg(
-        F.collect_set(F.when(typed, F.col("place"))).alias("typed_at"), F.flatten(F.collect_set(F.when(typed, pairs))).alias("typed_pairs"),
-        F.collect_set(F.when(plain, F.col("place"))).alias("plain_at"), F.flatten(F.collect_set(F.when(plain, pairs))).alias("plain_pairs"),
-    )
-
-    def share(places, pairs):
-        """Of the item's windows, or 0 where a slot of one side stands for two of the other."""
-        distinct = F.array_distinct(pairs)
-        sides = [F.size(F.array_distinct(distinct.getField(s))) for s in ("a", "b")]
-        return F.when((sides[0] == F.size(distinct)) & (sides[1] == F.size(distinct)), F.size(places) / F.col("n_windows")).otherwise(0.0)
-
-    best = F.greatest(share(F.col("typed_at"), F.col("typed_pairs")), share(F.col("plain_at"), F.col("plain_pairs")))
-    held = shares.withColumn("coverage", best).filter(F.col("coverage") >= min_share)
+    window = F.struct("place", "pos", "item_level", "level", "item_slots", "slots")
+    groups = met.groupBy("doc_id", "row_hash", "item", "item_hash", "at", "n_windows").agg(F.collect_set(window).alias("windows"))
+    # no reading holds more than all places met
+    groups = groups.filter(F.size(F.array_distinct("windows.place")) >= min_share * F.col("n_windows"))
+    held = groups.withColumn("coverage", _coverage("n_windows", "windows")).filter(F.col("coverage") >= min_share)
     return held.groupBy("doc_id", "row_hash", F.col("item").alias("item_id")).agg(F.max("coverage").alias("coverage"))
 
 

@@ -42,6 +42,16 @@ def test_order_and_share_count(spark, benchmark):
     assert got[0] == got[2] == got[4] == [] and got[1] == got[5] == [1, 5] and got[3] == [2]
 
 
+def test_repeated_windows_inside_an_item(spark):
+    series = "What comes next in the series 2, 4, 6, 8, 10, 12?"
+    names = "She invited Anna, Bob, Carl, Dora, Emil, Fay, Gus and Hal to dinner on the same evening"
+    items = spark.createDataFrame([(1, series), (2, names)], "item_id bigint, text string")
+    renamed = names.replace("Anna", "Ivy").replace("Bob", "Jon").replace("Carl", "Kim").replace("Dora", "Liz")
+    other = "What comes next in the series 3, 6, 9, 12, 15, 18?"
+    got = marked(spark, items, [series, f"Some words before it. {series} And more after it.", names, renamed, other, "2, 4, 6, 8, 10, 12"])
+    assert got == {0: [1], 1: [1], 2: [2], 3: [2], 4: [1], 5: []}
+
+
 def brute(docs, items, width=decontam.WINDOW, share=decontam.MIN_SHARE):
     """Plain lower-case windows in order; the tables have no numbers or names in their items."""
     clean = lambda t: [w for w in (re.sub(r"^\W+|\W+$", "", x).lower() for x in (t or "").split()) if w]
