@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,11 +141,12 @@ def _pieces(text: str) -> Iterator[str]:
     yield text[begin:]
 
 
-def _windows(text: str | None, canon: Canon, width: int, wanted: np.ndarray | None) -> Iterator[tuple[int, int, int, list[str]]]:
-    """(position, level, hash, slots) of a text's windows that pass the filter.
+def _windows(text: str | None, canon: Canon, width: int, wanted: np.ndarray | None) -> Iterator[tuple[int, int, int, list[str], bool]]:
+    """(position, level, hash, slots, bare) of a text's windows that pass the filter.
 
     Level 0 has no name in it; other windows come typed (1) and with their names as plain
-    words (2), as capitals alone may also be a matter of style. A slot is its type and spelling.
+    words (2), as capitals alone may also be a matter of style. A slot is its place in the
+    window, type and spelling. A bare window is slots alone.
     """
     if len(canon.at) > canon.remember:
         canon.forget()
@@ -166,19 +167,20 @@ def _windows(text: str | None, canon: Canon, width: int, wanted: np.ndarray | No
                 bit = hashes[picked] >> np.uint64(64 - FILTER_BITS)
                 picked = picked[wanted[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 > 0]
             for at in picked.tolist():
-                slots = [f"{kind[k]} {canon.word[codes[k]]}" for k in range(at, min(at + width, len(codes))) if kind[k] and (level == 1 or kind[k] != 2)]
-                yield base + at, level if typed[at] != plain[at] else 0, int(hashes[at].view(np.int64)), slots
+                span = range(at, min(at + width, len(codes)))
+                slots = [f"{k - at} {kind[k]} {canon.word[codes[k]]}" for k in span if kind[k] and (level == 1 or kind[k] != 2)]
+                yield base + at, level if typed[at] != plain[at] else 0, int(hashes[at].view(np.int64)), slots, len(slots) == len(span)
         keep = max(0, len(hashed) - width + 1)
         base += keep
         held = (hashed[keep:], kind[keep:], codes[keep:])
 
 
-HITS = "array<struct<pos:bigint,level:int,hash:bigint,slots:array<string>>>"
-_HIT = pa.list_(pa.struct([("pos", pa.int64()), ("level", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))]))
+HITS = "array<struct<pos:bigint,level:int,hash:bigint,slots:array<string>,bare:boolean>>"
+_HIT = pa.list_(pa.struct([("pos", pa.int64()), ("level", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.string())), ("bare", pa.bool_())]))
 
 
 def template_windows(rows: DataFrame, text_column: str, out: str, *, width: int = WINDOW, wanted: np.ndarray | None = None) -> DataFrame:
-    """Add the canonical windows of each whole text as an array of (pos, hash, slots).
+    """Add the canonical windows of each whole text as an array of (pos, level, hash, slots, bare).
 
     With ``wanted``, a bit map over the leading bits of the hashes, only windows whose bit is set.
     """
@@ -188,7 +190,7 @@ def template_windows(rows: DataFrame, text_column: str, out: str, *, width: int
     def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         canon, bits = Canon(), None if shared is None else shared.value
         for batch in batches:
-            yield pa.array([[dict(zip(("pos", "level", "hash", "slots"), w)) for w in _windows(t.as_py(), canon, width, bits)] for t in batch], _HIT)
+            yield pa.array([[dict(zip(("pos", "level", "hash", "slots", "bare"), w)) for w in _windows(t.as_py(), canon, width, bits)] for t in batch], _HIT)
 
     return rows.withColumn(out, udf(F.col(text_column).cast("string")))
 
@@ -204,15 +206,16 @@ def window_filter(windows: DataFrame) -> np.ndarray:
 
 
 def benchmark_windows(benchmark: DataFrame, item_column: str = "item_id", text_column: str = "text", *, width: int = WINDOW) -> DataFrame:
-    """item, place, hash, slots and the item's number of windows; items without a word have none."""
+    """item, place, hash, slots and the item's number of windows, also by reading without bare ones; items without a word have none."""
     texts = benchmark.select(F.col(item_column).alias("item"), F.col(text_column).alias("text")).filter(F.col("item").isNotNull())
     texts = texts.withColumn("item_hash", F.xxhash64("text"))
     made = template_windows(texts, "text", "windows", width=width).filter(F.size("windows") > 0)
     n = F.size(F.filter("windows", lambda w: w["level"] < 2))
-    made = made.select("item", "item_hash", n.alias("n_windows"), F.explode("windows").alias("w"))
+    worded = [F.size(F.filter("windows", lambda w: ~w["bare"] & (w["level"] != other))) for other in (2, 1)]
+    made = made.select("item", "item_hash", n.alias("n_windows"), F.array(*worded).alias("n_worded"), F.explode("windows").alias("w"))
     return made.select(
-        "item", "item_hash", "n_windows", F.col("w.pos").alias("place"), F.col("w.level").alias("item_level"),
-        F.col("w.hash").alias("hash"), F.col("w.slots").alias("item_slots"),
+        "item", "item_hash", "n_windows", "n_worded", F.col("w.pos").alias("place"), F.col("w.level").alias("item_level"),
+        F.col("w.hash").alias("hash"), F.col("w.slots").alias("item_slots"), "w.bare",
     )
 
 
@@ -227,22 +230,51 @@ def _aligned(windows: list[dict]) -> list[dict]:
     return [w for _, w in best.values()]
 
 
-def _share(n_windows: int, windows: list[dict]) -> float:
-    """Of an item's windows, or 0 where a slot of one side stands for two of the other."""
-    aligned = _aligned(windows)
-    pairs = {p for w in aligned for p in zip(w["item_slots"], w["slots"])}
-    one_to_one = len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
-    return len(aligned) / n_windows if one_to_one else 0.0
+def _slot(slot: str) -> tuple[int, str, str]:
+    at, kind, word = slot.split(" ", 2)
+    return int(at), kind, word
+
+
+def _agreeing(windows: list[dict]) -> list[dict]:
+    """The windows whose names read as most words of that name do; a name without a majority has no reading.
+
+    Numbers and units may take any values: equal ones in an item can be different quantities.
+    """
+    words = defaultdict(set)  # of a name: which word of the item reads how
+    for w in _aligned(windows):
+        for (at, kind, a), (_, _, b) in zip(map(_slot, w["item_slots"]), map(_slot, w["slots"])):
+            if kind == "2":
+                words[a].add((w["place"] + at, b))
+    if not words:
+        return windows
+    reading = {}
+    for name, read in words.items():
+        (most, n), = Counter(b for _, b in read).most_common(1)
+        reading[name] = most if 2 * n > len(read) else None
+
+    def agrees(w: dict) -> bool:
+        pairs = zip(map(_slot, w["item_slots"]), map(_slot, w["slots"]))
+        return all(reading.get(a) == b for (_, kind, a), (_, _, b) in pairs if kind == "2")
+
+    return [w for w in windows if agrees(w)]
+
+
+def _share(n_windows: int, n_worded: int, windows: list[dict]) -> float:
+    """Of an item's windows, or 0 where less than half of those with wording agree: numbers alone are no item."""
+    held = _agreeing(windows)
+    worded = len({w["place"] for w in held if not w["bare"]})
+    return len({w["place"] for w in held}) / n_windows if worded and 2 * worded >= n_worded else 0.0
 
 
 @F.arrow_udf(T.DoubleType())
-def _coverage(n_windows: pa.Array, windows: pa.Array) -> pa.Array:
-    """The better share of the typed windows and of those with names as plain words."""
+def _coverage(n_windows: pa.Array, n_worded: pa.Array, windows: pa.Array) -> pa.Array:
+    """The best share of the typed windows, of those with names as plain words, and of literally equal ones."""
     out = []
-    for n, met in zip(n_windows.to_pylist(), windows.to_pylist()):
+    for n, worded, met in zip(n_windows.to_pylist(), n_worded.to_pylist(), windows.to_pylist()):
         typed = [w for w in met if w["level"] < 2 and w["item_level"] < 2]
         plain = [w for w in met if w["level"] != 1 and w["item_level"] != 1]
-        out.append(max(_share(n, typed), _share(n, plain)))
+        equal = {w["place"] for w in typed + plain if w["item_slots"] == w["slots"]}
+        out.append(max(_share(n, worded[0], typed), _share(n, worded[1], plain), len(equal) / n))
     return pa.array(out, pa.float64())
 
 
@@ -257,10 +289,12 @@ def contamination(
     fixed size drops most of the documents' windows before anything moves. Per document
     and item, among windows in about the item's order (offsets, document place minus item
     place, that differ by less than an eighth of the item), the share of the item's
-    windows must reach ``min_share``, and slots must agree: one spelling in the item stands
-    for one spelling in the document, and the other way round. Where a place of the item
-    meets several windows of the document, that at the offset with most windows is taken.
-    Inconsistent slots are no contamination.
+    windows must reach ``min_share``. Windows count that are literally equal, or whose slots
+    agree: numbers and units may take any values, as equal ones can be different
+    quantities; a name of the item stands for the name that most of its words meet, and
+    windows with another there do not count. Where a place of the item meets several
+    windows, the offset with most windows decides the names. Numbers alone are no item:
+    unless literally equal, half of the windows with a plain word must be among those held.
 
     An item shorter than a window is one window, found where a document is that text.
     ``row_hash`` (of the text) tells repeated ids apart; equal rows give one result. Null
@@ -279,11 +313,11 @@ def contamination(
     half = F.floor(band / 2)
     layers = [F.struct(F.lit(i).alias("layer"), F.floor((F.col("offset") + shift) / band).alias("band")) for i, shift in enumerate((F.lit(0), half))]
     met = met.withColumn("at", F.explode(F.array(*layers)))
-    window = F.struct("place", "pos", "item_level", "level", "item_slots", "slots")
-    groups = met.groupBy("doc_id", "row_hash", "item", "item_hash", "at", "n_windows").agg(F.collect_set(window).alias("windows"))
+    window = F.struct("place", "pos", "item_level", "level", "item_slots", "slots", "bare")
+    groups = met.groupBy("doc_id", "row_hash", "item", "item_hash", "at", "n_windows", "n_worded").agg(F.collect_set(window).alias("windows"))
     # no reading holds more than all places met
     groups = groups.filter(F.size(F.array_distinct("windows.place")) >= min_share * F.col("n_windows"))
-    held = groups.withColumn("coverage", _coverage("n_windows", "windows")).filter(F.col("coverage") >= min_share)
+    held = groups.withColumn("coverage", _coverage("n_windows", "n_worded", "windows")).filter(F.col("coverage") >= min_share)
     return held.groupBy("doc_id", "row_hash", F.col("item").alias("item_id")).agg(F.max("coverage").alias("coverage"))
 
 

@@ -52,6 +52,24 @@ def test_repeated_windows_inside_an_item(spark):
     assert got == {0: [1], 1: [1], 2: [2], 3: [2], 4: [1], 5: []}
 
 
+def test_one_slot_does_not_hide_an_item(spark):
+    filler = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100)]
+    filler[20] = filler[70] = "7"
+    edited = [*filler[:70], "8", *filler[71:]]
+    two = "a shop sells pencils for 7 cents and rubbers for 9 cents so what does the whole class of children pay"
+    one = "the box on the old table holds 3 red balls and 3 blue balls and you draw some of them without looking at any"
+    long = f"then {ITEM} {' '.join(filler[:20])} and Alice left with Alice by the evening train with Alice to go home"
+    table = "2 4 6 8 10 12 14 16 18 20 22 24 are next"
+    texts = [" ".join(filler), two, one, long, table]
+    items = spark.createDataFrame(list(enumerate(texts, 1)), "item_id bigint, text string")
+    got = marked(spark, items, [
+        " ".join(edited), two.replace("7", "5").replace("9", "5"), one.replace("3 red", "4 red").replace("3 blue", "6 blue"),
+        long.replace("Alice", "Robert").replace("left with Robert", "left with Wendy"), table, "1 5 9 " * 20, table.replace(" 4 ", " 5 "),
+        f"{two} for 7 cents and rubbers for 9 euro so",
+    ])
+    assert got == {0: [1], 1: [2], 2: [3], 3: [4], 4: [5], 5: [], 6: [5], 7: [2]}
+
+
 def brute(docs, items, width=decontam.WINDOW, share=decontam.MIN_SHARE):
     """Plain lower-case windows in order; the tables have no numbers or names in their items."""
     clean = lambda t: [w for w in (re.sub(r"^\W+|\W+$", "", x).lower() for x in (t or "").split()) if w]
