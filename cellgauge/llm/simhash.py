@@ -260,18 +260,24 @@ def _with_components(marked: DataFrame, max_bits: int) -> DataFrame:
     named = settle(named)
     top = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(top, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("id", "fp", "component_id")
+    return marked.join(by_fp, "fp").select(*marked.columns, "component_id")
 
 
-def keep_first(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+def keep_first(
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, shingle: int = SHINGLE, max_bits: int = MAX_BITS
+) -> DataFrame:
     """The rows whose id is their component's smallest; rows with a null id stay.
 
-    Of repeated rows with that id all stay, as they are one document.
+    Of repeated rows with that id all stay, as they are one document. Rows of one id and
+    different texts are told apart by a hash of the text.
     """
-    groups = near_duplicates(documents, id_column, text_column, **options)
-    later, = fresh(documents, "later_id")
-    gone = groups.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias(later)).distinct()
-    return documents.join(gone, F.col(id_column) == F.col(later), "left_anti")
+    text = F.col(text_column).cast("string")
+    rows = documents.select(F.col(id_column).alias("id"), text.alias("text"), F.xxhash64(text).alias("row_hash"))
+    marked = settle(fingerprints(rows, shingle=shingle).select("id", "row_hash", "fp"))
+    later, hashed = fresh(documents, "later_id", "later_hash")
+    groups = _with_components(marked, max_bits).filter(F.col("id") != F.col("component_id"))
+    gone = groups.select(F.col("id").alias(later), F.col("row_hash").alias(hashed)).distinct()
+    return documents.join(gone, (F.col(id_column) == F.col(later)) & (F.xxhash64(text) == F.col(hashed)), "left_anti")
 
 
 @query("op5_simhash_near_dedup")

@@ -67,6 +67,13 @@ def test_awkward_rows(spark, awkward):
     assert simhash.near_duplicates(awkward.limit(0)).count() == 0
 
 
+def test_one_id_and_two_texts(spark):
+    a, b = "a first text that nothing else is like, about rivers and hills", "quite another text on the price of salt in old towns"
+    rows = [(2, b), (5, a), (5, b), (7, a), (5, a), (None, b)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, b), (2, b), (5, a), (5, a)]
+
+
 def near_values(n, seed):
     rng = random.Random(seed)
     centres = [rng.getrandbits(64) for _ in range(6)]
