@@ -14,19 +14,15 @@ from cellgauge.llm import bpe, decontam, langid, lines, simhash  # noqa: E402
 from cellgauge.llm.common import in_fold, table  # noqa: E402
 from cellgauge.plans.scale import scratch_path  # noqa: E402
 
-#: Below this score, under which two families of two languages are all but tied, a text has no known language.
-MIN_LANGUAGE_SCORE = 0.3
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is known; texts without a letter and undecided ones go.
+    """Documents in a language that is known; only what the operator calls ``und`` goes, whatever the score.
 
     The model learns from the documents at hand, but for those held out as in the query.
     """
     model = langid.train(docs.filter(~in_fold(F.col("doc_id"), 4, 2)))
     found = langid.identify(docs, model, out="__language")
-    known = (F.col("__language.lang") != langid.UNKNOWN) & (F.col("__language.score") >= MIN_LANGUAGE_SCORE)
-    return found.filter(known).select(*docs.columns)
+    return found.filter(F.col("__language.lang") != langid.UNKNOWN).select(*docs.columns)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cellgauge.llm import bpe
+from cellgauge.llm import bpe, langid
 from tests.llm.test_decontam import brute as brute_items
 from tests.llm.test_lines import brute as brute_lines
 from tests.llm.test_simhash import expected as brute_groups
@@ -59,3 +60,11 @@ def test_awkward_rows(spark, awkward):
             if name != "byte_bpe":
                 assert out.columns == table.columns, name
             assert out.count() <= table.count()
+
+
+def test_low_scores_of_many_languages_stay(spark, monkeypatch):
+    names = [f"l{i}" for i in range(12)]
+    even = langid.Model([[n] for n in names], np.zeros((langid.DIMENSIONS + 1, len(names)), np.float32), {})
+    monkeypatch.setattr(langid, "train", lambda *_, **__: even)
+    docs = spark.createDataFrame([(1, "a clean short text"), (2, "12 34"), (3, None), (4, "")], "doc_id bigint, text string")
+    assert [r.doc_id for r in corpus_pipeline.identify_language(spark, docs, SF).collect()] == [1]
