@@ -275,6 +275,35 @@ def previous_row(
     return Sliced(bordered.select(*rows.columns, *lags), True)
 
 
+def number_rows(df: DataFrame, order: Sequence[Column | str], out: str, *, partitions: int | None = None) -> DataFrame:
+    """Add ``out``: 1, 2, 3 ... over all rows by ``order``, without a window over the whole table.
+
+    Rows are range partitioned and sorted where they land; a row's number is its place in
+    its partition plus the rows of the partitions before, counts of which there are as many
+    as partitions. Among rows equal by ``order`` a hash of the row decides, then where the
+    row was read, so that not even equal rows all meet in one task. The ordered rows are
+    settled first: bounds are drawn anew by every run of a range shuffle. Hashes leave maps out.
+    """
+    hashable = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    tied = df.withColumn("__tie", F.xxhash64(*hashable)).withColumn("__read", F.monotonically_increasing_id())
+    by = [*order, "__tie", "__read"]
+    ranged = tied.repartitionByRange(partitions, *by) if partitions else tied.repartitionByRange(*by)
+    # an id holds the partition above bit 33 and the place inside it below
+    placed = ranged.sortWithinPartitions(*by).drop("__tie", "__read").withColumn("__place", F.monotonically_increasing_id())
+    placed = settle(placed)
+    part = F.shiftright("__place", 33)
+    counts = sorted(tuple(r) for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, before = [], 0
+    for number, n in counts:
+        offsets.append((number, before))
+        before += n
+    spark = df.sparkSession
+    starts = spark.createDataFrame(offsets, "`__part` bigint, `__before` bigint")
+    numbered = placed.join(F.broadcast(starts), part == F.col("__part"), "inner")  # one row a partition
+    inside = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.select(*df.columns, (F.col("__before") + inside + 1).alias(out))
+
+
 def first_n(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, *, salts: int = SALTS, sketch: int = SKETCH
 ) -> DataFrame:

@@ -108,3 +108,20 @@ def test_attach_beyond_broadcast_equals_broadcast(spark, lopsided, monkeypatch):
     hard = scale.attach(df, stats, ["g"]).agg(F.count("*"), F.sum("m")).first()
     assert easy[0] == hard[0] == len(lopsided)
     assert easy[1] == pytest.approx(hard[1])
+
+
+def test_rows_are_numbered_by_ranges(spark):
+    rows = [(i * 7919 % 1000 // 3, None if i % 50 == 0 else f"s{i % 11}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "x int, s string").repartition(6)
+    got = scale.number_rows(df, [F.col("x").desc(), "s"], "place", partitions=5)
+    want = sorted(rows, key=lambda r: (-r[0], r[1] is not None, r[1]))
+    assert [(r.x, r.s) for r in got.orderBy("place").collect()] == want
+    assert sorted(r.place for r in got.collect()) == list(range(1, 3001))
+    assert scale.number_rows(df.limit(0), ["x"], "place").count() == 0
+
+
+def test_equal_rows_are_spread(spark):
+    df = spark.range(4000).select(F.lit(1).alias("x")).repartition(8)
+    got = scale.number_rows(df, ["x"], "place", partitions=4)
+    assert got.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).filter(lambda n: n > 0).count() >= 3
+    assert got.agg(F.sum("place")).first()[0] == 4000 * 4001 // 2
