@@ -10,7 +10,7 @@ OWN = sorted(n for n in QUERIES if re.match(r"op\d+_|pipeline$", n))
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in OWN if n != "pipeline") == list(range(1, 11)) and "pipeline" in OWN
+    assert sorted(int(n[2:].split("_")[0]) for n in OWN if n != "pipeline") == list(range(1, 14)) and "pipeline" in OWN
 
 
 @pytest.mark.parametrize("name", [n for n in OWN if n in ORACLES])
@@ -25,6 +25,8 @@ FIRST = {
     "op5_simhash_near_dedup": ["doc_id", "fingerprint", "component_id"],
     "op6_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op8_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op12_fill_in_middle": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
+    "op13_target_resampling": ["doc_id", "n_features", "weight", "score", "rank"],
 }
 
 
