@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellgauge.llm.common import fresh, query, table
@@ -25,6 +26,7 @@ SPM_PERCENT = 20
 CHUNK_UNITS = 16_384
 SLICE_CHARS = 1 << 20  # characters cut into units at a time
 SEEN = 200_000  # documents a task counts repeats of before it forgets them
+TASK_BYTES = 64 << 20  # text that one sorting task takes, on average
 
 Piece = tuple[tuple[bytes, tuple[int, int]], object]
 
@@ -213,21 +215,24 @@ def fill_in_middle(
     Pieces of ``chunk_units`` units are shuffled once, by document, and sorted by output
     position; each task streams them into digests, so no text is ever whole in the sorting
     half. The second sort, by original position, has the same partitioner and stays where
-    the pieces are. Both sorts spill. A lost task repeats the same pieces.
+    the pieces are. Both sorts spill. A lost task repeats the same pieces. The number of
+    tasks follows the bytes of text, which are counted first, unless ``partitions`` is given.
     """
     new = ["n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256", "fim_text"]
     kept = [c for c in documents.columns if c != text_column] if keep is None else list(keep)
     kept = [c for c in kept if c.lower() not in new]
     spark = documents.sparkSession
     doc_id, text = fresh(documents, "fim_id", "fim_source")
-    rows = documents.select(*kept, documents[id_column].alias(doc_id), documents[text_column].cast("string").alias(text)).rdd
-    tasks = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.getNumPartitions())
+    rows = documents.select(*kept, F.col(id_column).alias(doc_id), F.col(text_column).cast("string").alias(text))
+    if partitions is None:
+        size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     settings = (seed, fim_percent, spm_percent, chunk_units)
     order = lambda key: key
-    pieces = rows.mapPartitions(lambda part: emit(part, settings))
-    outputs = pieces.repartitionAndSortWithinPartitions(tasks, bucket, True, order)
+    pieces = rows.rdd.mapPartitions(lambda part: emit(part, settings))
+    outputs = pieces.repartitionAndSortWithinPartitions(partitions, bucket, True, order)
     placed = outputs.mapPartitions(lambda part: replay(part, with_text), preservesPartitioning=True)
-    restored = placed.repartitionAndSortWithinPartitions(tasks, bucket, True, order)
+    restored = placed.repartitionAndSortWithinPartitions(partitions, bucket, True, order)
     types = [T.LongType(), T.StringType(), T.LongType(), T.LongType(), *[T.StringType()] * 3]
     fields = [T.StructField(c, t) for c, t in zip(new, types)][: len(new) if with_text else -1]
     schema = T.StructType([*[documents.schema[c] for c in kept], *fields])
