@@ -25,6 +25,7 @@ FIRST = {
     "op5_simhash_near_dedup": ["doc_id", "fingerprint", "component_id"],
     "op6_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op8_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op11_html_extraction": ["page_id", "url", "text", "n_chars"],
     "op12_fill_in_middle": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
     "op13_target_resampling": ["doc_id", "n_features", "weight", "score", "rank"],
 }
@@ -34,4 +35,5 @@ FIRST = {
 def test_contract_columns_and_rows(spark, sf, documents, name):
     out = QUERIES[name](spark, sf)
     assert out.columns[: len(FIRST[name])] == FIRST[name]
-    assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(r.doc_id for r in documents.select("doc_id").collect())
+    key, rows = ("page_id", spark.read.parquet(f"{sf}/pages.parquet")) if "page_id" in out.columns else ("doc_id", documents)
+    assert sorted(r[0] for r in out.select(key).collect()) == sorted(r[0] for r in rows.select(key).collect())
