@@ -20,7 +20,7 @@ from cellgauge.operators import particles as parts
 from cellgauge.operators import priors
 from cellgauge.operators.discrepancy import Observed, observe
 from cellgauge.operators.predict import Association, Internalisation, Model, score_particles
-from cellgauge.plans.scale import settle
+from cellgauge.plans.scale import settle, settle_observed
 from cellgauge.sources.wells import load_round, save_round
 
 #: A score takes (particles, model, observed, stream=...) and adds ``rho`` and ``reason``.
@@ -68,8 +68,8 @@ def stop_rule(config: Calibration, round_no: int, rate: float, threshold: float,
 
 def move_step(
     moving: DataFrame, config: Calibration, factor, model: Model, observed: Observed, threshold: float, stream: str
-) -> DataFrame:
-    """One proposal for every moving particle: R10, C4, C2, C5."""
+) -> tuple[DataFrame, int]:
+    """One proposal for every moving particle: R10, C4, C2, C5; and how many moves there were so far."""
     proposed = parts.propose(moving, factor, config.seed, stream + "step", method=config.method)
     passing = parts.mh_filter(
         proposed,
@@ -85,7 +85,9 @@ def move_step(
         "particle_id", F.col("theta").alias("proposal"), F.col("rho").alias("rho_new")
     )
     moved = parts.abc_accept(moving, scored, threshold)
-    return settle(moved.withColumn("moves", F.col("moves") + F.col("moved").cast("int")))
+    counted = moved.withColumn("moves", F.col("moves") + F.col("moved").cast("int"))
+    done, seen = settle_observed(counted, accepted=F.sum("moves"))
+    return done, seen["accepted"] or 0
 
 
 def move_phase(
@@ -93,19 +95,19 @@ def move_phase(
 ) -> tuple[DataFrame, dict]:
     """Trial steps, then as many more as :func:`particles.repeat_count` asks for.
 
-    The acceptance rate is taken over all steps done.
+    The acceptance rate is taken over all steps done, and observed in their own jobs.
     """
-    moving = settle(moving.withColumn("moves", F.lit(0)).withColumn("moved", F.lit(False)))
-    count = moving.count()
+    start = moving.withColumn("moves", F.lit(0)).withColumn("moved", F.lit(False))
+    moving, seen = settle_observed(start, moving=F.count(F.lit(1)))
+    count, accepted = seen["moving"], 0
 
     def rate_after(steps: int) -> float:
-        accepted = moving.agg(F.sum("moves")).first()[0] or 0
         return accepted / (steps * count) if steps and count else 0.0
 
     def go(first: int, last: int) -> None:
-        nonlocal moving
+        nonlocal moving, accepted
         for step in range(first, last + 1):
-            moving = move_step(
+            moving, accepted = move_step(
                 moving, config, factor, model, observed, threshold, f"{round_no}-{step}-"
             )
 

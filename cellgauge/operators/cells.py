@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellgauge.plans.scale import (
     attach,
     first_n,
     match,
+    number_rows,
     order_statistics,
     quantile,
     running_total,
@@ -155,10 +156,8 @@ def background_pool(df: DataFrame, columns: Sequence[str], order: Sequence[str])
 
 
 def index_pool(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """A dense one-based ``idx`` by ``order``, numbered in slices when the pool is large."""
-    numbered = slice_groups(df.withColumn("__one", F.lit(1)), [], order[0])
-    numbered = running_total(numbered, [], order, {"idx": "__one"}).done()
-    return numbered.withColumn("idx", F.col("idx").cast("long")).drop("__one")
+    """A dense one-based ``idx`` by ``order``; ranges of the order are numbered apart, at any size."""
+    return number_rows(df, order, "idx")
 
 
 def gather_pool(draws: DataFrame, pool: DataFrame, index: str) -> DataFrame:

@@ -12,25 +12,16 @@ from pyspark.sql import functions as F
 from cellgauge.functions import draws
 from cellgauge.operators.cells import index_pool
 from cellgauge.plans.scale import (
-    HOT_ROWS,
     Position,
-    attach,
     match,
+    number_rows,
     order_statistics,
-    running_total,
-    settle,
-    slice_groups,
 )
 
 
-def rank_by_distance(
-    df: DataFrame, rho: str = "rho", key: str = "particle_id", *, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Position of every particle by distance, ties by id, nulls first, without one global window."""
-    sizes = settle(df.agg(F.count(F.lit(1)).alias("n")))
-    sliced = slice_groups(df.withColumn("__one", F.lit(1)), [], [rho, key], sizes=sizes, hot_rows=hot_rows)
-    ranked = running_total(sliced, [], [rho, key], {"position": "__one"}).done()
-    return ranked.withColumn("position", F.col("position").cast("long")).drop("__one")
+def rank_by_distance(df: DataFrame, rho: str = "rho", key: str = "particle_id") -> DataFrame:
+    """Position of every particle by distance, ties by id, nulls first; ranges of the order are numbered apart."""
+    return number_rows(df, [rho, key], "position")
 
 
 def _kept(n: Column, fraction: float) -> Column:
@@ -89,12 +80,12 @@ def select_resample(
     """
     far = F.coalesce("rho", F.lit(float("inf")))
     scored = df.select("particle_id", "theta", far.alias("rho"))
-    ranked = settle(rank_by_distance(scored))
+    ranked = rank_by_distance(scored)
     n = ranked.count()
     kept = n - math.floor(fraction * n)
     best = ranked.filter(F.col("position") <= kept).drop("position")
     threshold = best.agg(F.max("rho")).first()[0]
-    survivors = settle(index_pool(best, ["particle_id"]))
+    survivors = index_pool(best, ["particle_id"])
     slots = ranked.filter(F.col("position") > kept).select(
         "particle_id", draws.pool_index(seed, stream, ["particle_id"], float(kept), method).alias("idx")
     )

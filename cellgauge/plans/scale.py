@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 << 20  # largest table sent to every executor
@@ -61,6 +61,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle_observed(df: DataFrame, **aggregates: Column) -> tuple[DataFrame, dict]:
+    """Settle, and gather aggregates over the rows in the same job.
+
+    The aggregates are taken as the rows are written, each task counting once, so
+    scalars of a step cost no job of their own.
+    """
+    seen = Observation()
+    done = settle(df.observe(seen, *[column.alias(name) for name, column in aggregates.items()]))
+    return done, seen.get
+
+
 # --------------------------------------------------------------------------
 # Joining small statistics onto large tables
 # --------------------------------------------------------------------------
@@ -301,7 +312,7 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], out: str, *, parti
     starts = spark.createDataFrame(offsets, "`__part` bigint, `__before` bigint")
     numbered = placed.join(F.broadcast(starts), part == F.col("__part"), "inner")  # one row a partition
     inside = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
-    return numbered.select(*df.columns, (F.col("__before") + inside + 1).alias(out))
+    return numbered.select(*[c for c in df.columns if c != out], (F.col("__before") + inside + 1).alias(out))
 
 
 def first_n(

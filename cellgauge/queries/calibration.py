@@ -121,15 +121,12 @@ def unpack_theta(spark, sf):
 
 @query(
     "pack_theta",
-    """SELECT vec_id AS particle_id, 64::INTEGER AS m, round(embedding[2]::DOUBLE, 8) AS second,
-  round(embedding[64]::DOUBLE, 8) AS last FROM embeddings""",
+    "SELECT vec_id AS particle_id, unnest(range(1, 65))::INTEGER AS position, round(unnest(embedding)::DOUBLE, 8) AS value FROM embeddings",
 )
 def pack_theta(spark, sf):
     packed = priors.theta_from_long(priors.unpack_theta(vectors(spark, sf), WIDE))
-    out = packed.select(
-        "particle_id", F.size("theta").alias("m"), F.col("theta")[1].alias("second"), F.col("theta")[63].alias("last")
-    )
-    return rounded(out, second=8, last=8)
+    out = packed.select("particle_id", F.posexplode("theta").alias("position", "value"))
+    return rounded(out.withColumn("position", F.col("position") + 1), value=8)
 
 
 @query(

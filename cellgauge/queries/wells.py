@@ -486,8 +486,8 @@ def read_control(spark, sf):
 @query(
     "round_store",
     """
-SELECT vec_id AS particle_id, 2::INTEGER AS round, round(embedding[1]::DOUBLE * 2, 6) AS first, label::DOUBLE AS rho
-FROM embeddings
+SELECT vec_id AS particle_id, 2::INTEGER AS round, unnest(range(1, 65))::INTEGER AS position, round(unnest(embedding)::DOUBLE * 2, 6) AS value,
+  label::DOUBLE AS rho FROM embeddings
 """,
 )
 def round_store(spark, sf):
@@ -499,8 +499,8 @@ def round_store(spark, sf):
         )
         io.save_round(particles, folder, "probe", number)
     saved = io.load_round(spark, folder, "probe", 2)
-    out = saved.select("particle_id", "round", F.element_at("theta", 1).alias("first"), "rho")
-    return rounded(out, first=6)
+    out = saved.select("particle_id", "round", F.posexplode("theta").alias("position", "value"), "rho")
+    return rounded(out.withColumn("position", F.col("position") + 1), value=6)
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +13,8 @@ CELL_SCHEMA = (
     "exp string, cond string, temp double, cell_line string, quenched boolean, "
     "time double, repeat long, signal_bdp double, signal_cy5 double, cell_id long"
 )
+COMMITS = "_commits"  # one row for every round written whole
+COMMIT_SCHEMA = "run_id string, round int, written long, attempt string"
 ROUND_SCHEMA = (
     "particle_id long, theta array<double>, rho double, run_id string, round int"
 )
@@ -115,16 +119,31 @@ def write_summary(df: DataFrame, path: str, *, fmt: str = "csv", mode: str = "er
 
 
 def save_round(particles: DataFrame, path: str, run_id: str, round_no: int) -> None:
-    """Write one round of particles; writing the round again replaces it."""
-    folder = f"{path}/run_id={run_id}/round={round_no}"
-    particles.select("particle_id", "theta", "rho").write.mode("overwrite").parquet(folder)
+    """Write one round of particles; writing the round again replaces it.
+
+    Rows go to a folder of this attempt, then one row says that it is whole. Until then
+    readers see the round as it was, so a driver lost in mid-write loses nothing; an
+    attempt without its row is never read.
+    """
+    spark = particles.sparkSession
+    attempt = uuid.uuid4().hex
+    folder = f"{path}/run_id={run_id}/round={round_no}/attempt={attempt}"
+    particles.select("particle_id", "theta", "rho").write.parquet(folder)
+    done = spark.createDataFrame([(run_id, round_no, time.time_ns(), attempt)], COMMIT_SCHEMA)
+    done.coalesce(1).write.mode("append").parquet(f"{path}/{COMMITS}")
 
 
 def load_round(spark: SparkSession, path: str, run_id: str, round_no: int | None = None) -> DataFrame:
-    """One saved round, or all rounds of a run; other folders are pruned."""
-    rounds = spark.read.schema(ROUND_SCHEMA).option("basePath", path).parquet(path)
-    rounds = rounds.filter(F.col("run_id") == run_id)
-    return rounds if round_no is None else rounds.filter(F.col("round") == round_no)
+    """The last whole writing of a round, or of all rounds of a run; other folders are not read."""
+    commits = spark.read.schema(COMMIT_SCHEMA).parquet(f"{path}/{COMMITS}").filter(F.col("run_id") == run_id)
+    if round_no is not None:
+        commits = commits.filter(F.col("round") == round_no)
+    last = commits.groupBy("round").agg(F.max_by("attempt", "written").alias("attempt")).collect()  # a row a round
+    if not last:
+        return spark.createDataFrame([], ROUND_SCHEMA)
+    folders = [f"{path}/run_id={run_id}/round={r['round']}/attempt={r['attempt']}" for r in last]
+    rounds = spark.read.schema(f"{ROUND_SCHEMA}, attempt string").option("basePath", path).parquet(*folders)
+    return rounds.drop("attempt")
 
 
 def save_scenarios(samples: DataFrame, path: str, *, mode: str = "errorifexists") -> None:

@@ -32,11 +32,10 @@ def test_threshold_and_keep_best(spark, fraction):
     assert kept == {r[0] for r in order[:nl]}
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 10])
-def test_rank_by_distance(spark, hot_rows):
+def test_rank_by_distance(spark):
     df, rows = scored(spark)
     order = sorted(rows, key=lambda r: (r[2], r[0]))
-    got = {r["particle_id"]: r["position"] for r in parts.rank_by_distance(df, hot_rows=hot_rows).collect()}
+    got = {r["particle_id"]: r["position"] for r in parts.rank_by_distance(df).collect()}
     assert got == {r[0]: i for i, r in enumerate(order, 1)}
 
 

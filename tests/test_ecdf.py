@@ -162,5 +162,8 @@ def test_ranks_with_missing_and_infinite_distances(spark):
     from cellgauge.operators.particles import rank_by_distance
 
     df = spark.range(1000).selectExpr("id as particle_id", "if(id < 900, if(id % 2 = 0, double('inf'), null), double(1000 - id)) as rho").repartition(4)
-    ranks = [sorted((r.particle_id, r.position) for r in rank_by_distance(df, hot_rows=n).collect()) for n in (20, 1_000_000)]
-    assert ranks[0] == ranks[1] and dict(ranks[0])[999] == 451 and dict(ranks[0])[898] == 1000
+    ranked = rank_by_distance(df)
+    ranks = {r.particle_id: r.position for r in ranked.collect()}
+    assert ranks[1] == 1 and ranks[999] == 451 and ranks[898] == 1000 and sorted(ranks.values()) == list(range(1, 1001))
+    plan = ranked._jdf.queryExecution().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
