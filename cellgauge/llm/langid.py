@@ -9,8 +9,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellgauge.llm.common import in_fold, query, table
 
@@ -22,14 +23,19 @@ FAMILIES = {
 }
 UNKNOWN = "und"
 #: Training rows of all languages together at most, in equal shares.
-MAX_ROWS = 3_000
+MAX_ROWS = 6_000
 DIMENSIONS = 4_096
 PIECE = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LIKE_LETTER = re.compile(r"[^\W\d_]")  # letters, and numbers such as a superscript two
 _FOLD = np.array([b if b >= 0x80 or 97 <= b <= 122 else 0x20 for b in range(256)], np.uint32)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a character that Unicode calls a letter."""
+    return text is not None and any(m[0].isalpha() for m in _LIKE_LETTER.finditer(text))
+
+
 def features(text: str) -> np.ndarray:
     """Square roots of a whole text's shares of hashed byte trigrams, a unit vector; lower case, letters only.
 
@@ -90,7 +96,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and score: the family's probability times the mean of the language's pairwise ones."""
-        if not self.families or text is None or not _LETTER.search(text):
+        if not self.families or not has_letter(text):
             return UNKNOWN, 0.0
         x = features(text)
         share = np.ones(1) if self.family_weights is None else softmax((x @ self.family_weights[:-1] + self.family_weights[-1])[None])[0]
@@ -112,19 +118,24 @@ class Model:
 
 def fit(texts: list[str], langs: list[str], families: Mapping[str, tuple[str, ...]] = FAMILIES) -> Model:
     """Families and machines from labelled texts; rows without a letter are left out."""
-    rows = [(t, y) for t, y in zip(texts, langs) if t and _LETTER.search(t)]
-    if not rows:
+    rows = [(t, y) for t, y in zip(texts, langs) if has_letter(t)]
+    x = np.empty((len(rows), DIMENSIONS), np.float32)
+    for i, (text, _) in enumerate(rows):
+        x[i] = features(text)
+    return fit_features(x, [y for _, y in rows], families)
+
+
+def fit_features(x: np.ndarray, langs: list[str], families: Mapping[str, tuple[str, ...]] = FAMILIES) -> Model:
+    """Families and machines from one row of features a text."""
+    if not langs:
         return Model([], None, {})
     family_of = {code: name for name, codes in families.items() for code in codes}
-    names = sorted({y for _, y in rows})
+    names = sorted(set(langs))
     groups: dict[str, list[str]] = {}
     for name in names:
         groups.setdefault(family_of.get(name, f"only {name}"), []).append(name)
     members = [groups[g] for g in sorted(groups)]
-    x = np.empty((len(rows), DIMENSIONS), np.float32)
-    for i, (text, _) in enumerate(rows):
-        x[i] = features(text)
-    y = np.array([y for _, y in rows])
+    y = np.array(langs)
     place = {name: i for i, group in enumerate(members) for name in group}
     weights = fit_softmax(x, np.array([place[name] for name in y]), len(members)) if len(members) > 1 else None
     machines = {}
@@ -135,8 +146,30 @@ def fit(texts: list[str], langs: list[str], families: Mapping[str, tuple[str, ..
     return Model(members, weights, machines)
 
 
+def pack(x: np.ndarray) -> bytes:
+    """The places of the features that are not 0, then their values: under 25 KB however long the text."""
+    at = np.flatnonzero(x)
+    return at.astype("<u2").tobytes() + x[at].astype("<f4").tobytes()
+
+
+def unpack(packed: bytes, out: np.ndarray) -> None:
+    n = len(packed) // 6
+    out[np.frombuffer(packed, "<u2", n)] = np.frombuffer(packed, "<f4", n, 2 * n)
+
+
+@F.arrow_udf(T.BinaryType())
+def packed_features(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Packed features; null for texts without a letter."""
+    for batch in texts:
+        yield pa.array([pack(features(t)) if has_letter(t) else None for t in (v.as_py() for v in batch)], pa.binary())
+
+
 def train(documents: DataFrame, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id", *, max_rows: int = MAX_ROWS) -> Model:
-    """Fit on at most ``max_rows`` rows with text and lang, in equal shares for each language."""
+    """Fit on at most ``max_rows`` rows with text and lang, in equal shares for each language.
+
+    Features are made where the texts are; the driver sees ``max_rows`` packed rows of them,
+    and a count for every language.
+    """
     known = documents.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"))
     known = known.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN))
     counts = known.groupBy("lang").count().orderBy("lang").collect()
@@ -145,13 +178,15 @@ def train(documents: DataFrame, text_column: str = "text", lang_column: str = "l
     each = max(1, max_rows // len(counts))
     shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.1 * (each + 20) / r["count"]))])
     order = F.xxhash64("id", F.lit("sample"))
-    drawn = known.filter(F.pmod(order, F.lit(1 << 40)) < F.element_at(shares, F.col("lang")) * (1 << 40))
-    rows, left = [], {r["lang"]: each for r in counts}
-    for r in drawn.orderBy(order, "id").limit(2 * max_rows).select("text", "lang").collect():
-        left[r.lang] -= 1
-        if left[r.lang] >= 0:
-            rows.append(r)
-    return fit([r.text for r in rows], [r.lang for r in rows])
+    thinned = known.filter(F.pmod(order, F.lit(1 << 40)) < F.element_at(shares, F.col("lang")) * (1 << 40))
+    drawn = thinned.select("lang", "id", order.alias("order"), packed_features("text").alias("features"))
+    first = Window.partitionBy("lang").orderBy("order", "id")
+    chosen = drawn.withColumn("number", F.row_number().over(first)).filter(F.col("number") <= each)
+    rows = [r for r in chosen.orderBy("order", "id").select("lang", "features").collect() if r.features is not None]
+    x = np.zeros((len(rows), DIMENSIONS), np.float32)
+    for place, row in zip(x, rows):
+        unpack(row.features, place)
+    return fit_features(x, [r.lang for r in rows])
 
 
 def identify(documents: DataFrame, model: Model, text_column: str = "text", out: str = "language") -> DataFrame:
