@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellgauge.llm.common import bounded_sample, in_fold, query, table
 from cellgauge.plans.scale import match, settle
 
 #: Rows the classifier is fitted on at most.
-MAX_POSITIVE = 3_000
-MAX_UNLABELLED = 6_000
+MAX_POSITIVE = 4_000
+MAX_UNLABELLED = 8_000
 #: Words the classifier looks at: those whose document frequencies tell the two samples apart most.
 VOCABULARY = 1_024
 
@@ -27,32 +27,45 @@ def words_of(text: str | None) -> frozenset[bytes]:
     return frozenset((text or "").lower().encode("utf-8", "replace").translate(_LETTERS).split())
 
 
-def choose_words(positive: Sequence[str], unlabelled: Sequence[str], most: int = VOCABULARY) -> list[bytes]:
-    """The words with the largest likelihood ratio between both samples' document frequencies."""
-    p, u = Counter(w for t in positive for w in words_of(t)), Counter(w for t in unlabelled for w in words_of(t))
-    words = sorted(w for w in set(p) | set(u) if p[w] + u[w] >= 5)
-    a, b = np.array([p[w] for w in words], float), np.array([u[w] for w in words], float)
-    n, m = len(positive), len(unlabelled)
+@F.arrow_udf(T.ArrayType(T.BinaryType()))
+def word_sets(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in texts:
+        yield pa.array([sorted(words_of(t.as_py())) for t in batch], pa.list_(pa.binary()))
 
-    def part(seen, size, rate):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            hit = np.where(seen > 0, seen * np.log(seen / (size * rate)), 0)
-            miss = np.where(size - seen > 0, (size - seen) * np.log((size - seen) / (size * (1 - rate))), 0)
+
+def choose_words(sample: DataFrame, positive: int, unlabelled: int, most: int = VOCABULARY) -> list[bytes]:
+    """The words with the largest likelihood ratio between both samples' document frequencies.
+
+    ``sample`` has a flag and the distinct words of every text; only ``most`` words leave Spark.
+    """
+    counted = sample.select("positive", F.explode("words").alias("word")).groupBy("word").agg(
+        F.sum(F.col("positive").cast("double")).alias("p"), F.sum((~F.col("positive")).cast("double")).alias("u")
+    )
+    rate = (F.col("p") + F.col("u")) / float(positive + unlabelled)
+
+    def part(seen, size):
+        hit = F.when(seen > 0, seen * F.ln(seen / (size * rate))).otherwise(0.0)
+        miss = F.when(size - seen > 0, (size - seen) * F.ln((size - seen) / (size * (1 - rate)))).otherwise(0.0)
         return hit + miss
 
-    rate = (a + b) / (n + m)
-    gain = np.nan_to_num(part(a, n, rate) + part(b, m, rate))
-    best = sorted(range(len(words)), key=lambda i: (-gain[i], words[i]))[:most]
-    return sorted(words[i] for i in best)
+    gain = part(F.col("p"), F.lit(float(positive))) + part(F.col("u"), F.lit(float(unlabelled)))
+    often = counted.filter(F.col("p") + F.col("u") >= 5).select("word", F.coalesce(gain, F.lit(0.0)).alias("gain"))
+    return sorted(bytes(r.word) for r in often.orderBy(F.col("gain").desc(), "word").limit(most).collect())
 
 
-def presence(texts: Sequence[str], words: Sequence[bytes]) -> np.ndarray:
-    """Which of the words each text has; word sets are made one text at a time."""
+def presence(sample: DataFrame, words: Sequence[bytes]) -> DataFrame:
+    """The flag, and which of the words each text has, as bits."""
     at = {w: i for i, w in enumerate(words)}
-    out = np.zeros((len(texts), len(words)), np.float32)
-    for row, text in enumerate(texts):
-        out[row, [at[w] for w in words_of(text) & at.keys()]] = 1
-    return out
+
+    @F.arrow_udf("binary")
+    def bits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = np.zeros((len(batch), len(at)), bool)
+            for row, held in enumerate(batch):
+                out[row, [at[w] for w in held.as_py() if w in at]] = True
+            yield pa.array([r.tobytes() for r in np.packbits(out, axis=1)], pa.binary())
+
+    return sample.select("positive", "id", "h", bits("words").alias("bits"))
 
 
 def _sigmoid(x):
@@ -101,7 +114,8 @@ def train(
 
     A document is confirmed when a row of ``labels`` has toxic 1; other rows only give the
     class prior, their share of toxic ones, unless ``prior`` is set. Without a toxic row
-    every score is the share 0.001. The caller leaves out what may not be learned from.
+    every score is the share 0.001. Words are found and counted where the texts are: the
+    driver sees ``vocabulary`` words and that many bits of each drawn text. The caller leaves out what may not be learned from.
     """
     marks = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
     marks = settle(marks)
@@ -109,16 +123,24 @@ def train(
     if not toxic:
         return Model({}, float(np.log(0.001 / 0.999)))
     share = min(0.9, max(0.001, toxic / seen)) if prior is None else prior
-    texts = documents.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    texts = documents.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    keys = texts.select("id", "h")
     chosen = bounded_sample(marks.filter("toxic = 1").select("id"), max_positive, toxic, "id")
-    positive = match(texts, chosen, ["id"], "left_semi", broadcast=True).orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(max_positive)
-    unlabelled = bounded_sample(texts, max_unlabelled, texts.count(), "id")
-    p = [r.text for r in positive.select("text").collect()]
-    u = [r.text for r in unlabelled.select("text").collect()]
-    if not p or not u:
+    positive = match(keys, chosen, ["id"], "left_semi", broadcast=True).distinct().orderBy(F.xxhash64("id"), "h").limit(max_positive)
+    unlabelled = bounded_sample(keys, max_unlabelled, texts.count(), "id").distinct()
+    drawn = positive.withColumn("positive", F.lit(True)).unionByName(unlabelled.withColumn("positive", F.lit(False)))
+    drawn = settle(drawn)  # bounded, as are the two limits
+    sample = match(texts, drawn, ["id", "h"], "inner", broadcast=True).select("positive", "id", "h", word_sets("text").alias("words"))
+    sample = settle(sample.dropDuplicates(["positive", "id", "h"]))
+    sizes = dict(sample.groupBy("positive").count().collect())
+    if not (sizes.get(True) and sizes.get(False)):
         return Model({}, float(np.log(share / (1 - share))))
-    words = choose_words(p, u, vocabulary)
-    w, bias = fit_nnpu(presence(p, words), presence(u, words), share)
+    words = choose_words(sample, sizes[True], sizes[False], vocabulary)
+    held = {True: [], False: []}
+    for r in presence(sample, words).orderBy(F.xxhash64("id"), "h", "id").collect():
+        held[r.positive].append(np.unpackbits(np.frombuffer(r.bits, np.uint8), count=len(words)))
+    p, u = (np.array(held[flag], np.float32).reshape(-1, len(words)) for flag in (True, False))
+    w, bias = fit_nnpu(p, u, share)
     return Model(dict(zip(words, w.tolist())), bias)
 
 
