@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,12 +23,19 @@ class Role:
     may_end: bool = False
 
 
+def _any_of(texts: Sequence[str], form: str = "{}") -> str:
+    """A pattern for any of some literal texts."""
+    return "|".join(form.format(re.escape(t)) for t in texts)
+
+
 @dataclass(frozen=True)
 class Template:
-    """Marks of a turn: ``### Label: text </turn>\\n``. Roles without a label are written as ``### [role]: ``.
+    """Marks of a turn: ``opening`` label ``after`` text ``lead`` ``closing`` ``tail``.
 
-    Inside texts a backslash is doubled and one is put before each place where a
-    control string starts, so the marks never occur in an escaped text.
+    Roles without a label are written as their escaped name in brackets. Inside texts a
+    backslash is doubled and one is put before each place where ``opening`` (without
+    its white space) or ``closing`` starts, so the marks never occur in an escaped text. Between a
+    text and its closing mark stands ``lead``, which therefore may not be empty or end in a backslash.
     """
 
     roles: tuple[Role, ...] = (
@@ -35,31 +44,56 @@ class Template:
         Role("assistant", "Assistant", True, ("user",), may_end=True),
     )
     starts: tuple[str, ...] = ("system", "user")
-    controls: tuple[str, str] = field(default=("###", "</turn>"))
+    opening: str = "### "
+    after: str = ": "
+    lead: str = " "
+    closing: str = "</turn>"
+    tail: str = "\n"
+
+    def __post_init__(self):
+        if not self.lead or self.lead.endswith("\\") or not self.opening.strip() or not self.closing.strip() or "\\" in self.opening + self.closing:
+            raise ValueError("a template needs an opening and a closing mark without backslashes and something before the latter")
+
+    @property
+    def controls(self) -> tuple[str, str]:
+        return self.opening.strip(), self.closing
+
+    @property
+    def close(self) -> str:
+        return self.lead + self.closing + self.tail
 
     def escape(self, text: Column) -> Column:
-        return F.regexp_replace(text, r"(\\|(?=###)|(?=</turn>))", r"\\$1")
+        return F.regexp_replace(text, "(" + r"\\" + "|" + _any_of(self.controls, "(?={})") + ")", r"\\$1")
 
     def unescape(self, text: Column) -> Column:
-        return F.regexp_replace(text, r"\\([\\#<])", "$1")
+        firsts = "".join(sorted({"\\" + c[0] for c in self.controls}))
+        return F.regexp_replace(text, r"\\([\\" + firsts + "])", "$1")
+
+    def mark(self, label: str) -> str:
+        return self.opening + label + self.after
 
     def header(self, role: Column) -> Column:
-        other = F.concat(F.lit("### ["), F.regexp_replace(self.escape(role), r"\]", r"\\]"), F.lit("]: "))
+        bracket = F.regexp_replace(self.escape(role), r"\]", r"\\]")
+        other = F.concat(F.lit(self.opening + "["), bracket, F.lit("]" + self.after))
         marked = None
         for known in self.roles:
-            is_role, mark = role == known.name, F.lit(f"### {known.label}: ")
+            is_role, mark = role == known.name, F.lit(self.mark(known.label))
             marked = F.when(is_role, mark) if marked is None else marked.when(is_role, mark)
-        return marked.otherwise(other)
+        return other if marked is None else marked.otherwise(other)
 
     def read_role(self, header: Column) -> Column:
-        inner = F.regexp_extract(header, r"(?s)^### \[(.*)\]: $", 1)
+        inner = F.regexp_extract(header, f"(?s)^{re.escape(self.opening)}" + r"\[(.*)\]" + f"{re.escape(self.after)}$", 1)
         role = self.unescape(F.regexp_replace(inner, r"\\\]", "]"))
         for known in self.roles:
-            role = F.when(header == f"### {known.label}: ", F.lit(known.name)).otherwise(role)
+            role = F.when(header == self.mark(known.label), F.lit(known.name)).otherwise(role)
         return role
 
 
-CLOSE = " </turn>\n"
+#: A second template, for tests and for users of its marks.
+CHATML = Template(
+    (Role("system", "system", False, ("user",)), Role("user", "user", False, ("assistant",)), Role("assistant", "assistant", True, ("user",), may_end=True)),
+    opening="<|im_start|>", after="\n", lead="\n", closing="<|im_end|>",
+)
 
 
 def format_chat(
@@ -85,26 +119,27 @@ def format_chat(
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     )
     grouped = turns.groupBy(F.col(conv).alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("turns"))
-    losses = [r.name for r in template.roles if r.loss]
+    # The machine: its state is the role of the turn before, '' at the start; a step is the pair of states.
     steps = [f"{a.name}\n{b}" for a in template.roles for b in a.followed_by] + [f"\n{s}" for s in template.starts]
     ends = [r.name for r in template.roles if r.may_end]
-    begin = F.struct(F.lit("").alias("state"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("error"))
-
-    def step(acc, t):
-        allowed = F.concat(acc["state"], F.lit("\n"), t["role"]).isin(steps)
-        error = F.coalesce(acc["error"], F.when(~allowed, acc["at"]))
-        return F.struct(t["role"].alias("state"), (acc["at"] + 1).alias("at"), error.alias("error"))
+    losses = [r.name for r in template.roles if r.loss]
 
-    machine = F.aggregate("turns", begin, step, lambda a: F.coalesce(a["error"], F.when(~a["state"].isin(ends), a["at"])))
+    def step(t, at):
+        before = F.when(at == 0, F.lit("")).otherwise(F.get("turns", at - 1)["role"])
+        return F.struct(t["role"].alias("state"), F.concat(before, F.lit("\n"), t["role"]).isin(steps).alias("allowed"), t["text"].alias("text"))
 
-    def segment(t):
+    def emit(s):
         return F.array(
-            F.struct(template.header(t["role"]).alias("text"), F.lit(False).alias("loss")),
-            F.struct(template.escape(t["text"]).alias("text"), t["role"].isin(losses).alias("loss")),
-            F.struct(F.lit(CLOSE).alias("text"), F.lit(False).alias("loss")),
+            F.struct(template.header(s["state"]).alias("text"), F.lit(False).alias("loss")),
+            F.struct(template.escape(s["text"]).alias("text"), s["state"].isin(losses).alias("loss")),
+            F.struct(F.lit(template.close).alias("text"), F.lit(False).alias("loss")),
         )
 
-    made = grouped.select("conv_id", machine.alias("error_turn"), F.flatten(F.transform("turns", segment)).alias("segments"))
+    run = grouped.select("conv_id", F.transform("turns", step).alias("states"))
+    refused = F.array_position(F.transform("states", lambda s: s["allowed"]), False)
+    ended = F.element_at("states", -1)["state"].isin(ends)
+    error = F.when(refused > 0, refused - 1).when(~ended, F.size("states")).cast("int")
+    made = run.select("conv_id", error.alias("error_turn"), F.flatten(F.transform("states", emit)).alias("segments"))
     return made.select(
         "conv_id", "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"),
         F.col("error_turn").isNull().alias("valid"), "error_turn",
@@ -113,12 +148,14 @@ def format_chat(
 
 def read_chat(formatted: Column, template: Template = Template()) -> Column:
     """Array of (role, text) read back from a formatted text; empty and null give an empty array."""
-    parts = F.filter(F.split(formatted, r"(?<!\\)</turn>\n", -1), lambda p: p != "")
-    mark = r"(?s)^(### (?:\[(?:[^\\\]]|\\.)*\]|\w+): )"
+    stop = r"(?<!\\)" + re.escape(template.closing + template.tail)
+    parts = F.filter(F.split(formatted, stop, -1), lambda p: p != "")
+    labels = _any_of([r.label for r in template.roles])
+    mark = f"(?s)^({re.escape(template.opening)}" + r"(?:\[(?:[^\\\]]|\\.)*\]" + (f"|{labels}" if labels else "") + f"){re.escape(template.after)})"
 
     def turn(part):
         header = F.regexp_extract(part, mark, 1)
-        body = part.substr(F.length(header) + 1, F.length(part) - F.length(header) - 1)
+        body = part.substr(F.length(header) + 1, F.length(part) - F.length(header) - len(template.lead))
         return F.struct(template.read_role(header).alias("role"), template.unescape(body).alias("text"))
 
     return F.coalesce(F.transform(parts, turn), F.array())
@@ -139,13 +176,16 @@ s AS (SELECT *,
   CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15 ELSE 8 + length(role) END
   + length(text) + (length(text) - length(replace(text, '\\', '')))
   + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: length(x) - 2)), 0)
-  + (length(text) - length(replace(text, '</turn>', ''))) // 7 + 9 AS size FROM c)
+  + (length(text) - length(replace(text, '</turn>', ''))) // 7 + 9 AS size,
+  row_number() OVER o - 1 AS place, coalesce(lag(role) OVER o, '') || '>' || role AS step FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+e AS (SELECT conv_id, min(place) FILTER (step NOT IN ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user')) AS refused,
+  arg_max(role, place) AS final, count(*) AS n FROM s GROUP BY conv_id)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  sum(size)::BIGINT AS formatted_chars
-FROM s GROUP BY conv_id
+  sum(size)::BIGINT AS formatted_chars, max(CASE WHEN refused IS NOT NULL THEN refused WHEN final <> 'assistant' THEN n END)::BIGINT AS error_turn
+FROM s JOIN e USING (conv_id) GROUP BY conv_id
 """
 
 
@@ -162,7 +202,7 @@ def with_planted(spark, turns: DataFrame) -> DataFrame:
 def op2_chat_formatting(spark, sf):
     template = Template()
     made = format_chat(with_planted(spark, table(spark, sf, "conversations")), template)
-    read = made.select("conv_id", read_chat(F.col("formatted"), template).alias("read"), loss_text(F.col("segments"), template).alias("loss"), "formatted")
+    read = made.select("conv_id", read_chat(F.col("formatted"), template).alias("read"), loss_text(F.col("segments"), template).alias("loss"), "formatted", "error_turn")
     turns = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
@@ -171,4 +211,5 @@ def op2_chat_formatting(spark, sf):
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.col("error_turn").cast("long").alias("error_turn"),
     )
