@@ -161,6 +161,7 @@ def resample(
     keyed = documents.withColumn(key, F.col(id_column))
     rows = weigh(keyed, gains, text_column, longest=longest, keep=[*kept, key])
     rows = rows.withColumn("score", F.col("weight") + noise(F.col(key), seed)).withColumn(ready, F.col("n_words") >= min_words)
+    rows = scale.settle(rows)  # a range shuffle reads its input twice
     numbered = scale.number_rows(rows, [F.col(ready).desc(), F.col("score").desc(), F.col(key).asc_nulls_first()], place)
     drawn = numbered.filter(ready).count() * percent // 100
     rank = F.when(F.col(place) <= drawn, F.col(place))
