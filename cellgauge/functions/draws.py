@@ -19,16 +19,18 @@ TRIES = 40  # keyed attempts of a truncated normal; each succeeds with p >= 1/2
 GAMMA_TRIES = 12  # keyed attempts of a gamma draw; each succeeds with p > 0.95
 
 
-def uniforms(seed: int, stream: str, keys: list, count: int, method: str = "md5") -> list[Column]:
+def uniforms(seed: int, stream: str | Column, keys: list, count: int, method: str = "md5") -> list[Column]:
     """Up to four independent uniforms on (0, 1) from one key.
 
-    Thirty-two bits each with md5 and fifty-three with xxhash64; never 0 or 1.
+    Thirty-two bits each with md5 and fifty-three with xxhash64; never 0 or 1. The
+    stream may be a column.
     """
     if not 1 <= count <= 4:
         raise ValueError("one key gives one to four uniforms")
     keys = [F.col(k) if isinstance(k, str) else k for k in keys]
+    stream = stream if isinstance(stream, Column) else F.lit(stream)
     if method == "md5":
-        text = F.concat_ws("|", F.lit(str(seed)), F.lit(stream), *[k.cast("string") for k in keys])
+        text = F.concat_ws("|", F.lit(str(seed)), stream, *[k.cast("string") for k in keys])
         digest = F.md5(text)
         return [
             (F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("double") + 0.5) / 2.0**32
@@ -36,7 +38,7 @@ def uniforms(seed: int, stream: str, keys: list, count: int, method: str = "md5"
         ]
     if method == "xxhash64":
         return [
-            (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(f"{stream}{i}"), *keys), 11) + 0.5)
+            (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.concat(stream, F.lit(str(i))), *keys), 11) + 0.5)
             / 2.0**53
             for i in range(count)
         ]

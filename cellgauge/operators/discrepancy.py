@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from cellgauge.operators.cells import melt_channels
 from cellgauge.operators.ecdf import FLOOR, KNOTS, anderson_darling, ecdf_grid, lookup
+from cellgauge.operators.paired import PairMetric, pair_distances
 from cellgauge.plans.scale import HOT_ROWS, attach, group_sizes, hot_groups, settle
 
-#: A metric takes (predicted cells, grid, keys, sample, value) and gives a column ``ad``.
-Metric = Callable[..., DataFrame]
+#: A metric takes (predicted cells, grid, keys, sample, value) and gives a column ``ad``;
+#: a pair metric sees the observed cells instead of their grid.
+Metric = Callable[..., DataFrame] | PairMetric
 
 
 def channel_correlation(df: DataFrame, keys: Sequence[str], first: str, second: str) -> DataFrame:
@@ -38,6 +40,7 @@ class Observed:
     correlations: DataFrame | None = None
     pairs: int = 0
     weights: tuple[float, float] = (0.5, 0.5)
+    cells: DataFrame | None = None
 
 
 def observe(
@@ -52,7 +55,7 @@ def observe(
     df = df.filter(_valid(channels))
     if len(channels) == 1:
         grid = settle(ecdf_grid(df, keys, channels[0]))
-        return Observed(keys, channels, grid, grid.count(), weights=weights)
+        return Observed(keys, channels, grid, grid.count(), weights=weights, cells=df.select(*keys, *channels))
     # One pass for the ranges and the correlation, then one per channel, which reads
     # only that column; melting would double the rows.
     spread = F.stddev_pop(channels[0]) * F.stddev_pop(channels[1])
@@ -69,7 +72,7 @@ def observe(
     for other in grids[1:]:
         grid = grid.unionByName(other)
     correlations = stats.select(*keys, "r_obs")
-    return Observed(keys, channels, settle(grid), samples * len(channels), correlations, samples, weights)
+    return Observed(keys, channels, settle(grid), samples * len(channels), correlations, samples, weights, df.select(*keys, *channels))
 
 
 def pair_samples(
@@ -177,17 +180,26 @@ def _terms_by_channel(
 ) -> DataFrame:
     """The terms of any metric, and of samples too large for one task: one channel at a time."""
     keys, channels = observed.keys, observed.channels
-    options = {"max_rows": max_rows}
-    if metric is anderson_darling:
-        options["hot_rows"] = hot_rows
+    if isinstance(metric, PairMetric):
+        seen = observed.cells if len(channels) == 1 else melt_channels(observed.cells, keys, channels)
+
+        def measure(cells, grid, by, sample, value):
+            return pair_distances(cells, seen, by, sample, value if len(channels) > 1 else channels[0], metric, hot_rows=hot_rows)
+
+    else:
+        options = {"max_rows": max_rows, **({"hot_rows": hot_rows} if metric is anderson_darling else {})}
+
+        def measure(cells, grid, by, sample, value):
+            return metric(cells, grid, by, sample, value, **options)
+
     left_out = predicted.groupBy(*sample).agg(F.sum((~_valid(channels)).cast("double")).alias("term"))
     left_out = left_out.select(*sample, F.lit("left out").alias("kind"), "term")  # a row for every candidate
     predicted = predicted.filter(_valid(channels))
     if len(channels) == 1:
-        distances = metric(predicted, observed.grid, keys, sample, channels[0], **options)
+        distances = measure(predicted, observed.grid, keys, sample, channels[0])
         return left_out.unionByName(distances.select(*sample, F.lit("sample").alias("kind"), F.col("ad").alias("term")))
     long = melt_channels(predicted, [*sample, *keys], channels)
-    distances = metric(long, observed.grid, [*keys, "channel"], sample, "value", **options)
+    distances = measure(long, observed.grid, [*keys, "channel"], sample, "value")
     weight = F.lit(0.0)
     for c, w in _channel_weights(observed).items():
         weight = F.when(F.col("channel") == c, F.lit(w)).otherwise(weight)

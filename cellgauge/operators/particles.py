@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,20 +100,74 @@ def select_resample(
     return stayed.unionByName(refilled), threshold
 
 
+Moments = tuple[int, np.ndarray, np.ndarray]
+MOMENTS = "n bigint, mean array<double>, products array<double>"
+MERGE_WAYS = 256  # shares that the rows of the partitions are dealt to, before the last task adds those up
+
+
+def _add_moments(one: Moments | None, other: Moments) -> Moments:
+    """Counts, means and centred product sums of two parts together."""
+    if one is None:
+        return other
+    n = one[0] + other[0]
+    gap = other[1] - one[1]
+    return n, one[1] + gap * (other[0] / n), one[2] + other[2] + np.outer(gap, gap) * (one[0] * other[0] / n)
+
+
+def _moment_row(found: Moments, m: int) -> pa.RecordBatch:
+    rows = [pa.array([found[0]]), pa.array([found[1]], pa.list_(pa.float64())), pa.array([found[2].reshape(-1)], pa.list_(pa.float64()))]
+    return pa.RecordBatch.from_arrays(rows, ["n", "mean", "products"])
+
+
 def particle_covariance(df: DataFrame, m: int, theta: str = "theta", *, scaled: bool = True) -> DataFrame:
     """Sample covariance of all entries as rows (i, j, value) with i <= j.
 
-    Scaled by 2.38^2 / m as a proposal, unless asked otherwise. One pass: a row
-    becomes its m (m+1) / 2 pairs, which combine before the shuffle; m is the
-    length of a layout, not of the data.
+    Scaled by 2.38^2 / m as a proposal, unless asked otherwise. Every task multiplies its
+    own particles as one matrix and hands on a single row with its centred products; those
+    are added in two steps, so neither particles nor pairs are shuffled. Particles without
+    ``m`` entries, or with a missing one, are left out; below two the values are null.
     """
     factor = 2.38**2 / m if scaled else 1.0
-    pairs = df.select(theta, F.explode(F.sequence(F.lit(1), F.lit(m))).alias("i")).select(
-        theta, "i", F.explode(F.sequence(F.col("i"), F.lit(m))).alias("j")
-    )
-    return pairs.groupBy("i", "j").agg(
-        (factor * F.covar_samp(F.element_at(theta, F.col("i")), F.element_at(theta, F.col("j")))).alias("value")
-    )
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = None
+        for batch in batches:
+            vectors = batch.column(0)
+            vectors = vectors.filter(pc.equal(pc.fill_null(pc.list_value_length(vectors), -1), m))
+            x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
+            x = x[~np.isnan(x).any(axis=1)]
+            if len(x):
+                mean = x.mean(axis=0)
+                found = _add_moments(found, (len(x), mean, (x - mean).T @ (x - mean)))
+        if found is not None:
+            yield _moment_row(found, m)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Moments | None:
+        found = None
+        for batch in batches:
+            for n, mean, products in zip(*batch.columns):
+                part = n.as_py(), mean.values.to_numpy(zero_copy_only=False), products.values.to_numpy(zero_copy_only=False).reshape(m, m)
+                found = _add_moments(found, part)
+        return found
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = read(batches)
+        if found is not None:
+            yield _moment_row(found, m)
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = read(batches)
+        if found is None:
+            return
+        i, j = np.triu_indices(m)
+        value = factor * found[2][i, j] / (found[0] - 1) if found[0] > 1 else None
+        values = pa.array(value if value is not None else [None] * len(i), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(i + 1, pa.int32()), pa.array(j + 1, pa.int32()), values], ["i", "j", "value"])
+
+    rows = df.select(F.col(theta).cast("array<double>")).mapInArrow(multiplied, MOMENTS)
+    dealt = rows.withColumn("way", F.pmod(F.hash("mean"), F.lit(MERGE_WAYS))).repartition("way").drop("way")
+    few = dealt.mapInArrow(added, MOMENTS).coalesce(1)  # a small row for each of MERGE_WAYS tasks at most
+    return few.mapInArrow(finished, "i int, j int, value double")
 
 
 def proposal_factor(covariance: DataFrame, m: int) -> np.ndarray:

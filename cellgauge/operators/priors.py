@@ -7,6 +7,7 @@ particle is computed inside its row, so densities and guards need no shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -162,6 +163,89 @@ def dimension_table(spark: SparkSession, layout: Layout) -> DataFrame:
     return spark.createDataFrame(rows, "position int, param string, well int, dist string, a double, b double")
 
 
+# --- priors held in a table ------------------------------------------------
+
+#: F1 as rows: one for every entry of ``theta``. A ``well_mean`` is normal around two other entries.
+PRIOR_SCHEMA = (
+    "position int, param string, well int, dist string, a double, b double, mean_at int, spread_at int, nonnegative boolean"
+)
+SHARED_DISTS = ("uniform", "half_cauchy")
+WELL_MEAN = "well_mean"
+
+
+def prior_rows(spark: SparkSession, layout: Layout) -> DataFrame:
+    """A layout as a prior table, to be written, edited and read by anything that knows rows."""
+    rows = []
+    for g in layout.groups:
+        at = [layout.names.index(name) + 1 for name in (g.mean, g.spread)]
+        rows += [(len(rows) + w, g.name, w, WELL_MEAN, None, None, *at, True) for w in range(1, layout.wells + 1)]
+    for p in layout.shared:
+        rows.append((len(rows) + 1, p.name, None, p.dist, p.a, p.b, None, None, p.name in layout.nonnegative))
+    return spark.createDataFrame(rows, PRIOR_SCHEMA)
+
+
+def check_prior(prior: DataFrame) -> int:
+    """The length of ``theta``; an error names what a prior table lacks. The table has one row an entry, not a particle."""
+    rows = prior.select([c.split()[0] for c in PRIOR_SCHEMA.split(", ")]).collect()
+    at = {r["position"]: r for r in rows}
+    if sorted(at) != list(range(1, len(rows) + 1)):
+        raise ValueError("positions must run from 1 without gaps or repeats")
+    for r in rows:
+        if r["dist"] == WELL_MEAN:
+            around = [at.get(r["mean_at"]), at.get(r["spread_at"])]
+            if None in around or any(x["dist"] == WELL_MEAN for x in around):
+                raise ValueError(f"entry {r['position']} needs a mean and a spread that are shared entries")
+        elif r["dist"] not in SHARED_DISTS or r["b"] is None or (r["dist"] == "uniform" and r["a"] is None):
+            raise ValueError(f"entry {r['position']} has no distribution this engine can draw: {r['dist']!r}")
+    return len(rows)
+
+
+def log_prior_rows(
+    particles: DataFrame, prior: DataFrame, ids: Sequence[str] = ("particle_id",), *, theta: str = "theta", truncated: bool = False
+) -> DataFrame:
+    """A17 from a table: ``ids`` and ``log_prior``, one density a row of the prior, added up by particle.
+
+    The prior goes to the particles; the entries of one are rows of one task and are added
+    before anything moves. -inf outside the support; null where ``theta`` has another length.
+    """
+    entries = check_prior(prior)
+    long = particles.select(*ids, theta, F.posexplode(theta).alias("__at", "__value")).withColumn("position", F.col("__at") + 1)
+    rows = match(long, prior, ["position"], "inner", broadcast=True)  # one row an entry
+    value, mean, spread = F.col("__value"), F.get(theta, F.col("mean_at") - 1), F.get(theta, F.col("spread_at") - 1)
+    around = (densities.truncated_normal_log if truncated else densities.normal_log)(value, mean, spread)
+    density = F.when(F.col("dist") == WELL_MEAN, around).otherwise(densities.log_density_by_name(F.col("dist"), value, F.col("a"), F.col("b")))
+    inside = ~F.col("nonnegative") | (value >= 0)
+    sums = rows.groupBy(*ids).agg(
+        F.sum(F.when(inside, density).otherwise(F.lit(0.0))).alias("__sum"), F.bool_and(F.coalesce(inside, F.lit(False))).alias("__inside"),
+        F.count(density).alias("__found"), F.max(F.size(theta)).alias("__size"),
+    )
+    whole = (F.col("__found") == entries) & (F.col("__size") == entries)
+    return sums.select(*ids, F.when(whole, F.when(F.col("__inside"), F.col("__sum")).otherwise(densities.MINUS_INFINITY)).alias("log_prior"))
+
+
+def draw_prior_rows(df: DataFrame, prior: DataFrame, seed: int, *, key: str = "particle_id", method: str = "md5") -> DataFrame:
+    """R9 from a table: ``key``, ``theta`` and ``exhausted`` for every row of ``df``, the same numbers as :func:`draw_prior`.
+
+    The sampler of an entry is chosen by its row. Shared entries come first; well means are
+    drawn around those of their own particle.
+    """
+    entries = check_prior(prior)
+    slots = df.select(key, F.explode(F.sequence(F.lit(1), F.lit(entries))).alias("position"))
+    rows = match(slots, prior, ["position"], "inner", broadcast=True)  # one row an entry
+    a, b = F.col("a"), F.col("b")
+    (u,) = draws.uniforms(seed, F.col("param"), [key], 1, method)
+    shared = F.when(F.col("dist") == "uniform", a + (b - a) * u).when(F.col("dist") == "half_cauchy", b * F.tan(math.pi / 2.0 * u))
+    drawn = rows.select(key, F.struct("position", "param", "well", "dist", "mean_at", "spread_at", shared.alias("value")).alias("__e"))
+    vectors = drawn.groupBy(key).agg(F.array_sort(F.collect_list("__e")).alias("__e"))  # one layout's length a particle
+    at = lambda place: F.get("__e", F.col("__x")[place] - 1)["value"]
+    long = vectors.select(key, "__e", F.explode("__e").alias("__x"))
+    around = draws.truncated_normal(seed, F.col("__x")["param"], [F.col(key), F.col("__x")["well"]], at("mean_at"), at("spread_at"), method)
+    value = F.when(F.col("__x")["dist"] == WELL_MEAN, around).otherwise(F.col("__x")["value"])
+    filled = long.select(key, F.struct(F.col("__x")["position"].alias("position"), value.alias("value")).alias("__v"))
+    packed = filled.groupBy(key).agg(F.array_sort(F.collect_list("__v"))["value"].alias("theta"))
+    return packed.withColumn("exhausted", F.exists("theta", lambda x: x.isNull()))
+
+
 # --- vectors and named columns --------------------------------------------
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cellgauge.operators import cells as cell_ops
 from cellgauge.operators import discrepancy as disc
-from cellgauge.operators import ecdf
+from cellgauge.operators import ecdf, paired
 from cellgauge.plans.scale import settle
 from cellgauge.queries.registry import CELL_ORDER, CELLS, CHANNELS, WELL, cells, query, rounded, table
 
@@ -204,3 +204,34 @@ def custom_metric(spark, sf):
     observed = disc.observe(df, ["repeat"], ["signal_cy5"])
     out = disc.discrepancy(df, observed, ["l_suppkey"], metric=mean_gap)
     return rounded(out, rho=7)
+
+
+def pair_sql(part: str, finish: str) -> str:
+    """Both samples of a supplier and condition in one order of values, and the gap of their distributions after each."""
+    return f"""WITH {CELLS}, o AS (SELECT quenched, signal_cy5 AS x, count(*) AS c FROM cells GROUP BY ALL),
+m AS (SELECT quenched, count(*) AS m FROM cells GROUP BY ALL),
+k AS (SELECT l_suppkey, quenched, count(*) AS n FROM cells GROUP BY ALL),
+b AS (SELECT l_suppkey, quenched, signal_cy5 AS x, 1.0::DOUBLE / n AS d FROM cells JOIN k USING (l_suppkey, quenched)
+  UNION ALL SELECT l_suppkey, quenched, x, -c::DOUBLE / m FROM o JOIN k USING (quenched) JOIN m USING (quenched)),
+v AS (SELECT l_suppkey, quenched, x, sum(d) AS d FROM b GROUP BY ALL),
+g AS (SELECT *, sum(d) OVER w AS gap, lead(x) OVER w - x AS width FROM v WINDOW w AS (PARTITION BY l_suppkey, quenched ORDER BY x)),
+t AS (SELECT l_suppkey, quenched, {finish}(sum({part} * coalesce(width, 0))) AS term FROM g GROUP BY ALL)
+SELECT l_suppkey, CASE WHEN count(*) = (SELECT count(*) FROM m) THEN round(sum(term), 4) END AS rho,
+  CASE WHEN count(*) < (SELECT count(*) FROM m) THEN 'missing sample' END AS reason FROM t GROUP BY l_suppkey"""
+
+
+def _paired(spark, sf, metric):
+    df = cells(spark, sf)
+    return rounded(disc.discrepancy(df, disc.observe(df, ["quenched"], ["signal_cy5"]), ["l_suppkey"], metric=metric), rho=4)
+
+
+@query("earth_movers_distance", pair_sql("abs(gap)", ""))
+def earth_movers_distance(spark, sf):
+    """suppliers by the work that turns their cells into the observed ones."""
+    return _paired(spark, sf, paired.EARTH_MOVERS)
+
+
+@query("energy_distance", pair_sql("2 * gap * gap", "sqrt"))
+def energy_distance(spark, sf):
+    """suppliers by the energy distance of their cells to the observed ones."""
+    return _paired(spark, sf, paired.ENERGY)

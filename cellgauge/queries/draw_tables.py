@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cellgauge.functions import densities, draws
 from cellgauge.operators import particles as parts
 from cellgauge.operators import priors
+from cellgauge.plans.scale import scratch_path
 from cellgauge.queries.registry import (
     query,
     rounded,
@@ -184,6 +185,33 @@ def log_prior(spark, sf):
     return rounded(out, log_prior=4)
 
 
+def stored_prior(spark, layout):
+    """The prior as a file that is read like any other table."""
+    folder = scratch_path(spark, "prior")
+    priors.prior_rows(spark, layout).coalesce(1).write.csv(folder, header=True)
+    return spark.read.schema(priors.PRIOR_SCHEMA).csv(folder, header=True)
+
+
+@query("prior_from_table", f"WITH {sql_prior(ASSOC, 'customer', 'c_custkey', 9)} SELECT c_custkey, {SCALED} FROM th")
+def prior_from_table(spark, sf):
+    """The sampler of every entry is chosen by a row of a file."""
+    table_ = priors.draw_prior_rows(customers(spark, sf), stored_prior(spark, ASSOC), 9, key="c_custkey")
+    named = priors.slice_params(table_, ASSOC)
+    return named.select("c_custkey", *[F.round(F.col(n) * (1e7 if "_r" in n else 1), 5).alias(n) for n in ASSOC.names])
+
+
+@query(
+    "log_prior_from_table",
+    f"""WITH {sql_prior(INTERN, 'customer', 'c_custkey', 9)}
+SELECT c_custkey, round({sql_log_prior(INTERN)}, 4) AS log_prior FROM th""",
+)
+def log_prior_from_table(spark, sf):
+    """The density of every entry is chosen by a row of a file."""
+    drawn_table = priors.draw_prior(customers(spark, sf), INTERN, 9, key="c_custkey")
+    out = priors.log_prior_rows(drawn_table, stored_prior(spark, INTERN), ["c_custkey"])
+    return rounded(out, log_prior=4)
+
+
 PAIR = priors.Layout(
     shared=(priors.Param("x", "uniform", 0.0, 8000.0), priors.Param("s", "half_cauchy", 0.0, 10.0)), nonnegative=("s",)
 )

@@ -220,3 +220,34 @@ def test_priors_are_the_published_ones(name):
     else:
         layout = priors.association_pooled(scenario) if kind == "pooled" else priors.association_hierarchical(scenario, 3)
     assert [p.b if p.dist == "half_cauchy" else (p.a, p.b) for p in layout.shared] == PUBLISHED[name]
+
+
+@pytest.mark.parametrize("layout", [priors.internalisation_hierarchical(2), priors.association_pooled("corrupted")])
+def test_a_prior_held_in_a_table(spark, layout):
+    keys = spark.range(1, 40).withColumnRenamed("id", "particle_id")
+    table = priors.prior_rows(spark, layout)
+    for method in ("md5", "xxhash64"):
+        drawn = {r.particle_id: r for r in priors.draw_prior(keys, layout, 4, method=method).collect()}
+        again = priors.draw_prior_rows(keys.repartition(3), table, 4, method=method)
+        for r in again.collect():
+            assert r.theta == pytest.approx(drawn[r.particle_id].theta, rel=1e-12) and r.exhausted == drawn[r.particle_id].exhausted
+    odd = spark.createDataFrame(
+        [(100, [0.1] * len(layout.names)), (101, [-0.1] * len(layout.names)), (102, [0.1]), (103, None), (104, [None] * len(layout.names))],
+        "particle_id long, theta array<double>",
+    )
+    both = again.select("particle_id", "theta").unionByName(odd)
+    for truncated in (False, True):
+        want = {r.particle_id: r.p for r in both.select("particle_id", priors.log_prior(layout, truncated=truncated).alias("p")).filter("particle_id < 102").collect()}
+        got = {r.particle_id: r.log_prior for r in priors.log_prior_rows(both.repartition(4), table, truncated=truncated).collect()}
+        assert {k: v for k, v in got.items() if k < 102} == {k: pytest.approx(v, rel=1e-9) for k, v in want.items()}
+        assert got[101] == float("-inf") and got.get(102) is None and got.get(103) is None and got[104] == float("-inf")
+    assert priors.draw_prior_rows(keys.limit(0), table, 4).count() == 0
+
+
+@pytest.mark.parametrize("change", ["position = 2", "dist = 'gamma'", "b = null"])
+def test_a_wrong_prior_table_is_refused(spark, change):
+    column, _, value = change.partition(" = ")
+    table = priors.prior_rows(spark, priors.association_pooled("corrupted"))
+    wrong = table.withColumn(column, F.when(F.col("position") == 1, F.expr(value)).otherwise(F.col(column)))
+    with pytest.raises(ValueError):
+        priors.check_prior(wrong)
