@@ -28,13 +28,9 @@ def density_histogram(spark, sf):
 KDE = """q AS (SELECT event_type, count(*) AS n, min(value) AS lo, max(value) AS hi,
   0.9::DOUBLE * least(stddev_samp(value), (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34::DOUBLE)
     * pow(count(*)::DOUBLE, -0.2::DOUBLE) AS h FROM events GROUP BY event_type),
-b AS (SELECT event_type, (value - lo) / ((hi - lo) / 2048) AS pos FROM events JOIN q USING (event_type)),
-s AS (SELECT event_type, least(floor(pos), 2047)::INTEGER AS b, pos - least(floor(pos), 2047) AS share FROM b),
-m AS (SELECT event_type, b, sum(w) AS w FROM (SELECT event_type, b, 1 - share AS w FROM s
-  UNION ALL SELECT event_type, b + 1, share FROM s) GROUP BY ALL),
 curve AS (SELECT event_type, i AS point, i * (300.0::DOUBLE / 99) AS x,
-  sum(w * exp(-0.5 * pow((i * (300.0::DOUBLE / 99) - (lo + b * (hi - lo) / 2048)) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())) AS density
-  FROM m JOIN q USING (event_type), range(0, 100) t(i) GROUP BY ALL)"""
+  sum(exp(-0.5 * pow((i * (300.0::DOUBLE / 99) - value) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())) AS density
+  FROM events JOIN q USING (event_type), range(0, 100) t(i) GROUP BY ALL)"""
 
 
 def event_curve(spark, sf):
@@ -57,6 +53,24 @@ def curve_peak(spark, sf):
     return rounded(summaries.curve_peak(event_curve(spark, sf), ["event_type"]), peak=8, x=6)
 
 
+BY_HAND = """least(greatest(floor(v / 50.0::DOUBLE), 0), 19)::INTEGER"""
+
+
+@query(
+    "association_histogram",
+    f"""
+WITH v AS (SELECT event_type, value * 2.2::DOUBLE AS v FROM events), b AS (SELECT event_type, {BY_HAND} AS bin FROM v WHERE v BETWEEN 0 AND 1000),
+c AS (SELECT event_type, bin, count(*) AS count FROM b GROUP BY ALL)
+SELECT event_type, bin, round(bin * 50.0::DOUBLE, 6) AS left, count,
+  round(count / (50.0::DOUBLE * sum(count) OVER (PARTITION BY event_type)), 10) AS density FROM c
+""",
+)
+def association_histogram(spark, sf):
+    """A18 with the bins of the association model."""
+    scaled = table(spark, sf, "events").withColumn("v", F.col("value") * 2.2)
+    return rounded(summaries.density_histogram(scaled, ["event_type"], "v", *summaries.ASSOCIATION_BINS), left=6, density=10)
+
+
 @query(
     "bandwidths",
     f"WITH {KDE} SELECT event_type, n AS m, lo AS low, hi AS high, round(h, 8) AS h FROM q",
