@@ -56,6 +56,36 @@ def test_held_out_rows(spark):
     assert sum(clean) / len(clean) > 0.98
     assert 1 <= len(rules) <= 16 and all(not rule.verdict for rule in rules)
     assert sum(junk) / len(junk) < 0.5
+    passed = [r for r in held if not r.base_failed]  # what the learned list adds to the base rule
+    assert sum(r.quality == 0 and not r.kept for r in passed) > 0.8 * sum(r.quality == 0 for r in passed)
+    assert sum(r.quality == (1 if r.kept else 0) for r in passed) > sum(r.quality == 1 for r in passed)
+
+
+def test_rules_hold_no_idle_tests():
+    rng = random.Random(7)
+    rows = []
+    for _ in range(1200):
+        row = {n: rng.random() for n in quality.FEATURES}
+        row["target"] = int(0.3 < row["repeat_share"] < 0.5 and row["n_words"] > 0.6)
+        rows.append(row)
+    for rule in quality.learn_rules(rows):
+        sides = [(t.feature, t.above) for t in rule.tests]
+        assert len(sides) == len(set(sides))
+    t = quality.Test
+    assert quality._tightest([t("a", True, 1.0), t("a", True, 3.0), t("a", False, 9.0), t("a", False, 7.0)]) == (t("a", True, 3.0), t("a", False, 7.0))
+    first, idle = t("n_words", True, 0.6), t("dup_lines", True, 0.0)
+    assert quality._prune((idle, first), [{"n_words": i / 10, "dup_lines": 1.0, "target": int(i > 6)} for i in range(10)]) == (first,)
+
+
+def test_one_class_and_all_failed_tables(spark):
+    good = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(40)], "doc_id bigint, text string")
+    for quality_value in (0, 1):
+        labels = good.selectExpr("doc_id", f"{quality_value} as quality")
+        judged, rules = quality.judge(good, labels)
+        assert rules == [] and judged.filter("kept").count() == 40
+    short = good.withColumn("text", F.lit("a b"))
+    judged, rules = quality.judge(short, good.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"))
+    assert rules == [] and judged.filter("kept").count() == 0
 
 
 def test_sequential_covering_finds_the_planted_rules():
