@@ -217,15 +217,15 @@ class Association:
         return pool, pool.count()
 
     @cached_property
-    def _doses(self) -> tuple[DataFrame, list[float] | None]:
-        """The settled particle pool and, when small, its values."""
+    def _doses(self) -> tuple[DataFrame, int]:
+        """The settled particle pool and its size."""
         pool = settle(self.particle_pool.select("idx", "value"))
-        return pool, uptake.pool_values(pool)
+        return pool, pool.count()
 
     def __call__(self, particles: DataFrame, stream: str = "") -> DataFrame:
         """Predicted cells: particle_id, keys, cell, value."""
         pool, size = self._backgrounds
-        dose_pool, dose_values = self._doses
+        dose_pool, dose_size = self._doses
         wells = ["rep"] if self.layout.wells else []
         cells = explode_cells(self.exposures(particles, stream), ["particle_id", *self.keys], self.cells)
         key = ["particle_id", *wells, "step", "cell"]
@@ -238,7 +238,7 @@ class Association:
         seen = attach(drawn, pool, ["idx"], rows=size)
         summed = uptake.fractional_dose_sum(
             seen, ["particle_id", *wells, "step", "cell"], dose_pool, self.seed, stream + "dose",
-            form=self.form, method=self.method, values=dose_values,
+            form=self.form, method=self.method, size=dose_size,
         )
         return summed.select("particle_id", *self.keys, "cell", "value")
 

@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 
 from cellgauge.functions import draws
 from cellgauge.functions.response import Geometry, association_response
-from cellgauge.plans.scale import HOT_ROWS, Sliced, attach, previous_row, running_total, settle, slice_groups
-
-POOL_IN_ROW = 100_000  # pool values that may ride along as one array literal (2 MB as text)
-
+from cellgauge.plans.scale import HOT_ROWS, Sliced, attach, previous_row, running_total, settle, settle_observed, slice_groups
 
 def fine_grid(df: DataFrame, last_step: int, step_seconds: int = 1800) -> DataFrame:
     """Every row at every fine time from 0; ``step`` is an integer, ``t`` in seconds."""
@@ -74,49 +71,31 @@ def dose_weight(dose: Column, i: Column, form: str = "balanced") -> Column:
     raise ValueError(f"unknown form {form!r}")
 
 
-def pool_values(pool: DataFrame) -> list[float] | None:
-    """Pool values by index, or None for a pool of more than ``POOL_IN_ROW``."""
-    if pool.count() > POOL_IN_ROW:
-        return None
-    ordered = pool.agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("e"))
-    return ordered.select(F.col("e")["value"].alias("v")).first()["v"]
-
-
 def fractional_dose_sum(
     cells: DataFrame, ids: Sequence[str], pool: DataFrame, seed: int, stream: str, *,
     dose: str = "dose", background: str = "background", out: str = "value",
-    form: str = "balanced", method: str = "md5", draw_keys: Sequence[str] | None = None,
-    values: Sequence[float] | None = None,
+    form: str = "balanced", method: str = "md5", draw_keys: Sequence[str] | None = None, size: int | None = None,
 ) -> DataFrame:
     """P10: background plus ceil(dose) pool draws, the last one weighted.
 
-    ``pool`` has a dense one-based ``idx`` and ``value``. A pool of up to
-    ``POOL_IN_ROW`` values travels as one array and each cell sums its draws in its
-    own row: nothing is exploded or shuffled, and a large dose only costs its own
-    cell. Larger pools take the join of :func:`fractional_dose_join`. ``values`` is
-    the result of an earlier :func:`pool_values`.
+    ``pool`` has a dense one-based ``idx`` and ``value``; ``ids`` must identify a cell. One
+    plan at every size: draws are made beside their cell, meet the pool by index (sent to
+    them while it is small, shuffled evenly beyond that) and are added up before the
+    cell, once, moves. Only the pool's count reaches the driver, unless ``size`` gives it.
     """
-    if values is None:
-        pool = settle(pool.select("idx", "value"))
-        values = pool_values(pool)
-    if values is None:
-        return fractional_dose_join(
-            cells, ids, pool, pool.count(), seed, stream, dose=dose, background=background, out=out,
-            form=form, method=method, draw_keys=draw_keys,
-        )
-    size = len(values)
-    # One text literal, folded to an array by the optimizer: a literal per value is slow to build.
-    array = F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+    pool = pool.select(F.col("idx").alias("__idx"), F.col("value").cast("double").alias("__v"))
+    if size is None:
+        pool, seen = settle_observed(pool, n=F.count(F.lit(1)))
+        size = seen["n"]
     keys = [F.col(k) for k in (draw_keys or ids)]
-
-    def add(total: Column, i: Column) -> Column:
-        drawn = F.element_at(array, draws.pool_index(seed, stream, [*keys, i], float(size), method).cast("int"))
-        return total + dose_weight(F.col(dose), i, form) * drawn
-
-    taken = F.aggregate(F.sequence(F.lit(1), F.ceil(dose).cast("int")), F.lit(0.0), add)
-    return cells.withColumn(
-        out, F.col(background) + F.when(F.col(dose) > 0, taken).otherwise(F.lit(0.0))
-    )
+    some = F.when(F.col(dose) > 0, F.sequence(F.lit(1), F.ceil(dose).cast("int")))
+    draw = F.when(F.col("__i").isNotNull(), draws.pool_index(seed, stream, [*keys, F.col("__i")], float(size), method))
+    drawn = cells.withColumn("__i", F.explode_outer(some)).withColumn("__idx", draw)
+    met = attach(drawn, pool, ["__idx"], how="left", row_bytes=24, rows=size)
+    rest = [c for c in cells.columns if c not in ids]
+    taken = F.sum(dose_weight(F.col(dose), F.col("__i"), form) * F.col("__v")).alias("__taken")
+    whole = met.groupBy(*ids).agg(*[F.first(c).alias(c) for c in rest], taken)
+    return whole.select(*cells.columns, (F.col(background) + F.coalesce("__taken", F.lit(0.0))).alias(out))
 
 
 def fractional_dose_join(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellgauge.functions import densities, draws, response
+from cellgauge.plans import scale
 from cellgauge.operators import priors, uptake
 
 
@@ -149,8 +150,13 @@ def test_fractional_dose(spark, monkeypatch):
     varied = spark.createDataFrame([(i, float(i)) for i in range(1, 6)], "idx long, value double")
     rows = lambda: sorted(uptake.fractional_dose_sum(cells, ["cell"], varied, 1, "d").collect())
     one = rows()
-    monkeypatch.setattr(uptake, "POOL_IN_ROW", 1)
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 0)
     assert [list(r) for r in rows()] == [pytest.approx(list(r)) for r in one]
+    monkeypatch.undo()
+    clashing = cells.withColumn("idx", F.lit(3)).withColumn("n", F.lit("x"))
+    out = uptake.fractional_dose_sum(clashing, ["cell"], varied, 1, "d")
+    assert out.columns == ["cell", "dose", "background", "idx", "n", "value"]
+    assert sorted((r.cell, r.value) for r in out.collect()) == [(r[0], pytest.approx(r[3])) for r in one]
 
 
 def test_prior_table_and_log_prior(spark):
@@ -251,3 +257,15 @@ def test_a_wrong_prior_table_is_refused(spark, change):
     wrong = table.withColumn(column, F.when(F.col("position") == 1, F.expr(value)).otherwise(F.col(column)))
     with pytest.raises(ValueError):
         priors.check_prior(wrong)
+
+
+def test_gamma_draws_run_in_generated_code_and_are_never_null(spark):
+    df = spark.range(20_000).select("id", draws.gamma_by_moments(1, "g", ["id"], 0.5, 1.0, 2.0, "xxhash64").alias("g"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and "lambda" not in plan and "*(1) Project" in plan
+    found = df.select(F.count("g").alias("n"), F.avg("g").alias("m"), F.stddev("g").alias("s"), F.skewness("g").alias("w"),
+                      F.sum(draws.below_zero(F.col("g")).cast("int")).alias("low")).first()
+    assert found.n == 20_000 and found.m == pytest.approx(0.5, abs=0.03) and found.s == pytest.approx(1.0, abs=0.04)
+    assert found.w == pytest.approx(2.0, abs=0.25) and 0 < found.low < 20_000
+    none = spark.range(50).select(draws.gamma_by_moments(1, "g", ["id"], 0.5, 1.0, 0.9, tries=1).alias("g"))
+    assert none.filter("g is null").count() == 0
