@@ -132,8 +132,13 @@ def gamma_by_moments(seed, stream, keys, mean, sd, skew, method="md5", tries=GAM
         keep = (v > 0) & (F.log(u3) < z * z / 2.0 + d - d * v + d * F.log(v))
         return F.when(keep, d * v)
 
-    # one branch after the other in generated code: a later one is only evaluated if all before it failed
-    draw = F.coalesce(*[attempt(F.lit(i)) for i in range(1, tries + 1)], d)
+    # unrolled, the tries outgrow what the code generator can compile when their parameters are columns
+    found = F.aggregate(
+        F.sequence(F.lit(1), F.lit(tries)),
+        F.lit(None).cast("double"),
+        lambda found, i: F.coalesce(found, attempt(i)),
+    )
+    draw = F.coalesce(found, d)
     standard = F.when(flat, box_muller(*uniforms(seed, stream, [*keys, F.lit(0)], 2, method))).otherwise(
         F.signum(skew) * (draw - shape) / F.sqrt(shape)
     )
