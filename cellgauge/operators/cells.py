@@ -16,6 +16,7 @@ from cellgauge.plans.scale import (
     quantile,
     running_total,
     settle,
+    settle_observed,
     slice_groups,
 )
 
@@ -75,7 +76,9 @@ def clip_quantiles(
     All quantiles are taken before any row is cut. ``bounds`` is a settled
     :func:`clip_bounds` and ``rows`` its row count, where known.
     """
-    bounds = settle(clip_bounds(df, keys, columns, lo, hi)) if bounds is None else bounds
+    if bounds is None:
+        bounds, seen = settle_observed(clip_bounds(df, keys, columns, lo, hi), rows=F.count(F.lit(1)))
+        rows = seen["rows"]
     names = [f"{c}_{side}" for c in columns for side in ("lo", "hi")]
     renamed = bounds.select(*keys, F.col("n").alias("__n"), *[F.col(c).alias(f"__{c}") for c in names])
     kept = attach(df, renamed, keys, weight="__n", rows=rows)
@@ -114,8 +117,8 @@ def prepare_wells(
     that loses all its cells keeps its row.
     """
     positive = positive_signal(raw, columns)
-    bounds = settle(clip_bounds(positive, keys, columns, lo, hi))
-    rows = bounds.count()
+    bounds, seen = settle_observed(clip_bounds(positive, keys, columns, lo, hi), rows=F.count(F.lit(1)))
+    rows = seen["rows"]
     clean = clip_quantiles(positive, keys, columns, lo, hi, bounds=bounds, rows=rows)
     names = [f"{c}_{side}" for c in columns for side in ("lo", "hi")]
     renamed = bounds.select(*keys, F.col("n").alias("__n"), *[F.col(c).alias(f"__{c}") for c in names])

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellgauge.operators.cells import melt_channels
-from cellgauge.operators.ecdf import FLOOR, KNOTS, anderson_darling, ecdf_grid, lookup
+from cellgauge.operators.ecdf import FLOOR, KNOTS, anderson_darling, ecdf_grid, ecdf_grids, lookup
 from cellgauge.operators.paired import PairMetric, pair_distances
-from cellgauge.plans.scale import HOT_ROWS, attach, group_sizes, hot_groups, settle
+from cellgauge.plans.scale import HOT_ROWS, attach, measured_groups, settle, settle_observed
 
 #: A metric takes (predicted cells, grid, keys, sample, value) and gives a column ``ad``;
 #: a pair metric sees the observed cells instead of their grid.
@@ -54,23 +54,15 @@ def observe(
     keys, channels = list(keys), list(channels)
     df = df.filter(_valid(channels))
     if len(channels) == 1:
-        grid = settle(ecdf_grid(df, keys, channels[0]))
-        return Observed(keys, channels, grid, grid.count(), weights=weights, cells=df.select(*keys, *channels))
-    # One pass for the ranges and the correlation, then one per channel, which reads
-    # only that column; melting would double the rows.
+        grid, seen = settle_observed(ecdf_grid(df, keys, channels[0]), grids=F.count(F.lit(1)))
+        return Observed(keys, channels, grid, seen["grids"], weights=weights, cells=df.select(*keys, *channels))
+    # One pass for the ranges and the correlation, one for the grids of both channels.
     spread = F.stddev_pop(channels[0]) * F.stddev_pop(channels[1])
     ranges = [a for c in channels for a in (F.min(c).alias(f"__lo_{c}"), F.max(c).alias(f"__hi_{c}"))]
-    stats = settle(
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *ranges, F.try_divide(F.covar_pop(*channels), spread).alias("r_obs"))
-    )
-    samples = stats.count()
-    grids = []
-    for c in channels:
-        own = stats.select(*keys, F.col(f"__lo_{c}").alias("lo"), F.col(f"__hi_{c}").alias("hi"), "n")
-        grids.append(ecdf_grid(df, keys, c, ranges=own, rows=samples).withColumn("channel", F.lit(c)))
-    grid = grids[0]
-    for other in grids[1:]:
-        grid = grid.unionByName(other)
+    r_obs = F.try_divide(F.covar_pop(*channels), spread).alias("r_obs")
+    stats, seen = settle_observed(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *ranges, r_obs), samples=F.count(F.lit(1)))
+    samples = seen["samples"]
+    grid = ecdf_grids(df, keys, channels, stats, samples)
     correlations = stats.select(*keys, "r_obs")
     return Observed(keys, channels, settle(grid), samples * len(channels), correlations, samples, weights, df.select(*keys, *channels))
 
@@ -114,7 +106,7 @@ def _lopsided(predicted: DataFrame, groups: Sequence[str], max_rows: int | None,
     """Whether some predicted sample is too large for one task; a known bound saves the count."""
     if max_rows is not None and max_rows <= hot_rows:
         return False
-    return hot_groups(group_sizes(predicted, groups), hot_rows) is not None
+    return measured_groups(predicted, groups)[1] > hot_rows
 
 
 def _terms_in_one_pass(predicted: DataFrame, observed: Observed, sample: Sequence[str]) -> DataFrame:
@@ -130,7 +122,8 @@ def _terms_in_one_pass(predicted: DataFrame, observed: Observed, sample: Sequenc
     placed = predicted.select(*groups, *channels, valid.alias("__valid"))
     for c in channels:
         grid = observed.grid.filter(F.col("channel") == c) if two else observed.grid
-        named = grid.select(*keys, *[F.col(g).alias(f"__{g}") for g in ("lo", "step", "p", "n")])
+        also = ["r_obs"] if two and c == channels[0] else []
+        named = grid.select(*keys, *also, *[F.col(g).alias(f"__{g}") for g in ("lo", "step", "p", "n")])
         placed = attach(placed, named, keys, how="left", weight="__n", row_bytes=64 + 8 * KNOTS, rows=observed.grids)
         f = lookup(F.col(c), F.col("__lo"), F.col("__step"), F.col("__p"))
         f = F.when(F.col("__valid") & F.col("__p").isNotNull(), F.least(F.greatest(f, F.lit(FLOOR)), F.lit(1.0 - FLOOR)))
@@ -150,6 +143,7 @@ def _terms_in_one_pass(predicted: DataFrame, observed: Observed, sample: Sequenc
     if two:
         x, y = (F.when(F.col("__valid"), F.col(c)) for c in channels)
         aggregates.append(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("__r"))
+        aggregates.append(F.max("r_obs").alias("r_obs"))
     stats = ranked.groupBy(*groups).agg(*aggregates)
     weights = _channel_weights(observed)
     entries = [
@@ -161,7 +155,6 @@ def _terms_in_one_pass(predicted: DataFrame, observed: Observed, sample: Sequenc
     ]
     entries.append(F.struct(F.lit("left out").alias("kind"), F.col("__left_out").alias("term")))
     if two:
-        stats = attach(stats, observed.correlations, keys, how="left", rows=observed.pairs)
         gap = observed.weights[1] * F.abs(F.col("r_obs") - F.col("__r"))
         entries.append(F.struct(F.lit("correlation").alias("kind"), gap.alias("term")))
     return stats.select(*sample, F.explode(F.array(*entries)).alias("__e")).select(*sample, "__e.*")

@@ -61,11 +61,33 @@ def ecdf_grid(
         ranges = ranges.withColumn("step", step)
     placed = attach(valid, ranges, keys, rows=rows)
     k = grid_interval(F.col(value), F.col("lo"), F.col("step"), knots)
+    return _grid_of(placed.select(*keys, k.alias("k")), ranges, keys, knots)
+
+
+def ecdf_grids(df: DataFrame, keys: Sequence[str], channels: Sequence[str], stats: DataFrame, rows: int, knots: int = KNOTS) -> DataFrame:
+    """A6 for all channels of a cell in one aggregate: the grids with a column ``channel``.
+
+    ``stats`` is settled, with ``n`` and for every channel ``__lo_`` and ``__hi_``; its other
+    columns stay with the grids. Every channel of every cell has a value. A cell is read once and gives its interval in
+    each channel, counted before anything moves.
+    """
+    step = lambda c: (F.col(f"__hi_{c}") + WIDEN - F.col(f"__lo_{c}")) / (knots - 1)
+    placed = attach(df.select(*keys, *channels), stats, keys, rows=rows)
+    found = [F.struct(F.lit(c).alias("channel"), grid_interval(F.col(c), F.col(f"__lo_{c}"), step(c), knots).alias("k")) for c in channels]
+    spans = [
+        F.struct(F.lit(c).alias("channel"), F.col(f"__lo_{c}").alias("lo"), F.col(f"__hi_{c}").alias("hi"), step(c).alias("step")) for c in channels
+    ]
+    others = [c for c in stats.columns if c not in keys and not c.startswith("__")]  # n, and what goes along
+    ranges = stats.select(*keys, *others, F.explode(F.array(*spans)).alias("__s")).select(*keys, *others, "__s.*")
+    hits = placed.select(*keys, F.explode(F.array(*found)).alias("__f")).select(*keys, "__f.channel", "__f.k")
+    return _grid_of(hits, ranges, [*keys, "channel"], knots)
+
+
+def _grid_of(hits: DataFrame, ranges: DataFrame, keys: Sequence[str], knots: int) -> DataFrame:
+    """Grids from the interval ``k`` of every value and the ranges of the samples."""
     every = ranges.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(knots - 2))).alias("k"))
     # Empty intervals join the count with weight 0, so each sample has all of them.
-    weighted = placed.select(*keys, k.alias("k"), F.lit(1).alias("w")).unionByName(
-        every.withColumn("w", F.lit(0))
-    )
+    weighted = hits.withColumn("w", F.lit(1)).unionByName(every.withColumn("w", F.lit(0)))
     counts = weighted.groupBy(*keys, "k").agg(F.sum("w").alias("c"))
     along = Window.partitionBy(*keys).orderBy("k")  # knots - 1 rows per sample
     summed = counts.withColumn("upto", F.sum("c").over(along))
@@ -77,8 +99,9 @@ def ecdf_grid(
     else:
         joined = attach(arrays, ranges, keys)
     shares = F.transform(F.col("__e")["upto"], lambda s: s / F.col("n"))
+    others = [c for c in ranges.columns if c not in (*keys, "lo", "hi", "step", "n")]
     return joined.select(
-        *keys, "lo", "hi", "step", "n", F.concat(F.array(F.lit(0.0)), shares).alias("p")
+        *keys, "lo", "hi", "step", "n", *others, F.concat(F.array(F.lit(0.0)), shares).alias("p")
     )
 
 

@@ -127,14 +127,16 @@ def attach(
     return by_broadcast.unionByName(match(others, cold, keys, how, broadcast=False))
 
 
-def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Settled row count ``n`` of every group."""
-    return settle(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+def measured_groups(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
+    """Settled row count ``n`` of every group, and the largest."""
+    sizes, seen = settle_observed(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), largest=F.max("n"))
+    return sizes, seen["largest"] or 0
 
 
-def hot_groups(sizes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+def hot_groups(sizes: DataFrame, hot_rows: int = HOT_ROWS, *, largest: int | None = None) -> DataFrame | None:
     """The groups too large for one task, or None; at most one for every ``hot_rows`` rows."""
-    largest = sizes.agg(F.max("n")).first()[0] or 0
+    if largest is None:
+        largest = sizes.agg(F.max("n")).first()[0] or 0
     return sizes.filter(F.col("n") > hot_rows) if largest > hot_rows else None
 
 
@@ -178,8 +180,8 @@ def slice_groups(
     whole order and, among equal rows, a hash of all columns, so that neither ties nor
     missing values fill a slice; only rows equal in every column stay together.
     """
-    sizes = group_sizes(df, keys) if sizes is None else sizes
-    hot = hot_groups(sizes, hot_rows)
+    sizes, largest = measured_groups(df, keys) if sizes is None else (sizes, None)
+    hot = hot_groups(sizes, hot_rows, largest=largest)
     if hot is None:
         return Sliced(df, False)
     order = [order] if isinstance(order, str) else list(order)
@@ -448,8 +450,8 @@ def order_statistics(
     an error rather than give a wrong value.
     """
     columns = sorted({w.column for w in wanted})
-    stats = settle(_brackets(df, keys, columns, wanted, sketch))
-    groups, largest = stats.agg(F.count(F.lit(1)), F.max("n")).first()
+    stats, seen = settle_observed(_brackets(df, keys, columns, wanted, sketch), groups=F.count(F.lit(1)), largest=F.max("n"))
+    groups, largest = seen["groups"], seen["largest"]
 
     entries, anywhere = [], F.lit(False)
     for i, w in enumerate(wanted):
@@ -472,14 +474,6 @@ def order_statistics(
         .groupBy(*keys, "e.i", "e.y")
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    cell = [*keys, "i"]
-    if (largest or 0) <= hot_rows:
-        cut = Sliced(counted, False)
-    else:
-        counted = settle(counted)
-        cut = slice_groups(counted, cell, "y", hot_rows=hot_rows)
-    ranked = running_total(cut, cell, ["y"], {"upto": "c"}).done()  # what is outside has a null y: first
-
     # Positions wanted from each group, as one-based ranks on the counting side.
     places = []
     for i, w in enumerate(wanted):
@@ -492,28 +486,38 @@ def order_statistics(
     targets = stats.select(*keys, F.explode(F.array(*places)).alias("t")).select(
         *keys, F.col("t.i").alias("i"), "t.r1", "t.r2", "t.f"
     )
+    cell = [*keys, "i"]
+    if (largest or 0) <= hot_rows:
+        # the wanted ranks travel as rows of their group, first in its order and counting nothing
+        rows = counted.select(*cell, "y", "c", *[F.lit(None).cast(t).alias(r) for r, t in (("r1", "long"), ("r2", "long"), ("f", "double"))])
+        asked = targets.select(*cell, F.lit(None).cast("double").alias("y"), F.lit(0).cast("long").alias("c"), F.col("r1").cast("long").alias("r1"), F.col("r2").cast("long").alias("r2"), "f")
+        whole = Window.partitionBy(*cell)
+        upto = F.sum("c").over(whole.orderBy("y").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        placed = rows.unionByName(asked).select(*cell, "y", "c", upto.alias("upto"), *[F.max(r).over(whole).alias(r) for r in ("r1", "r2", "f")])
+    else:
+        counted = settle(counted)
+        cut = slice_groups(counted, cell, "y", hot_rows=hot_rows)
+        ranked = running_total(cut, cell, ["y"], {"upto": "c"}).done()  # what is outside has a null y: first
+        placed = attach(ranked, targets, cell, rows=groups * len(wanted))
 
     def held(rank: str) -> Column:
         return (F.col("upto") - F.col("c") < F.col(rank)) & (F.col(rank) <= F.col("upto"))
 
-    found = (
-        attach(ranked, targets, [*keys, "i"], rows=groups * len(wanted))
-        .groupBy(*keys, "i")
-        .agg(
-            F.max(F.when(held("r1"), F.col("y"))).alias("a"),
-            F.max(F.when(held("r2"), F.col("y"))).alias("b"),
-            F.max("f").alias("f"),
-        )
-    )
+    found = placed.groupBy(*cell).agg(
+        F.max(F.when(held("r1"), F.col("y"))).alias("a"),
+        F.max(F.when(held("r2"), F.col("y"))).alias("b"),
+        F.max("f").alias("f"),
+        F.sum("c").alias("__counted"),
+    ).filter("__counted > 0")
     sign = F.element_at(
         F.array(*[F.lit(1.0 if w.share <= 0.5 else -1.0) for w in wanted]), F.col("i") + 1
     )
     low = F.coalesce("a", F.raise_error(F.lit("order statistic outside its bracket")).cast("double"))
     value = sign * (low + F.col("f") * (F.coalesce("b", "a") - F.col("a")))
-    wide = found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("i") == i, value)).alias(w.name) for i, w in enumerate(wanted)]
+    # every group has a row of its statistics, so that one without a value keeps its count
+    none = F.lit(None)
+    values = found.select(*keys, "i", value.alias("__value"), none.cast("long").alias("n"))
+    counts = stats.select(*keys, F.lit(-1).alias("i"), none.cast("double").alias("__value"), "n")
+    return values.unionByName(counts).groupBy(*keys).agg(
+        F.max("n").alias("n"), *[F.max(F.when(F.col("i") == i, F.col("__value"))).alias(w.name) for i, w in enumerate(wanted)]
     )
-    sizes = stats.select(*keys, "n")
-    if not keys:
-        return attach(wide, sizes, keys)
-    return match(sizes, wide, keys, "left", broadcast=False)
