@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgauge.llm.common import SPACE, ascii_lower, fresh, query, table
+from cellgauge.plans.scale import BROADCAST_BYTES, settle_observed
 
 MIN_DOCS = 10
 MIN_CHARS = 1
+KEY_BYTES = 64  # of a frequent key where it is sent
+SALTS = 32  # tasks that share a frequent line when there are too many to send
 
 
 def line_keys(text: Column, min_chars: int = MIN_CHARS) -> Column:
@@ -38,9 +41,11 @@ def dedup_lines(
     document, repeated ids too. Null and empty texts have one empty line, which is
     kept when ``min_chars`` is 1 or more. An empty table gives an empty table.
 
-    Keys are counted with a map-side combine. Only (row, position, key) moves for the
-    lookup of frequent keys, a semi join whose hot side can be split; texts move once,
-    to meet their dropped positions.
+    Keys are counted with a map-side combine and the frequent ones settled. While their
+    counted size allows it they go to the lines, so that no line meets its like in one
+    task; beyond that only (row, position, key) moves for a semi join, salted by row so
+    that a line of a third of all rows is spread. Texts move once, to meet their dropped
+    positions.
     """
     rows = documents.drop("kept_text", "n_lines", "n_dropped")
     rid, tid, keys, pos, key, drop = fresh(rows, "row_id", "row_hash", "line_keys", "line_pos", "line_key", "line_drop")
@@ -53,12 +58,15 @@ def dedup_lines(
         .groupBy(key).agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= min_docs).select(key)
     )
-    hits = (
-        keyed.select(rid, tid, F.posexplode_outer(keys).alias(pos, key))
-        .filter(F.col(key).isNotNull())
-        .join(frequent, key, "left_semi")
-        .groupBy(rid, tid).agg(F.collect_set(pos).alias(drop))
-    )
+    frequent, seen = settle_observed(frequent, rows=F.count(F.lit(1)))
+    places = keyed.select(rid, tid, F.posexplode_outer(keys).alias(pos, key)).filter(F.col(key).isNotNull())
+    if seen["rows"] * KEY_BYTES <= BROADCAST_BYTES:
+        found = places.join(F.broadcast(frequent), key, "left_semi")
+    else:
+        salt, = fresh(rows, "line_salt")
+        salted = frequent.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = places.withColumn(salt, F.pmod(F.hash(rid, tid), F.lit(SALTS))).join(salted, [key, salt], "left_semi")
+    hits = found.groupBy(rid, tid).agg(F.collect_set(pos).alias(drop))
     same = F.col(id_column).eqNullSafe(F.col(rid)) & (F.xxhash64(text) == F.col(tid))
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
     joined = rows.join(hits, same, "left")

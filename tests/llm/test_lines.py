@@ -43,6 +43,14 @@ def test_shared_lines_keep_the_rest_in_place(spark):
     assert (one.kept_text, one.n_lines, one.n_dropped) == ("first 3\nlast 3\n", 6, 3)
 
 
+def test_many_frequent_lines_are_joined_with_salts(spark, awkward, monkeypatch):
+    monkeypatch.setattr(lines, "BROADCAST_BYTES", 0)
+    rows = [(r.doc_id, r.text) for r in awkward.collect()]
+    check(awkward, rows, min_docs=2)
+    texts = [f"own {i}\nshared\nShared \nlast {i % 3}" for i in range(200)]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5), list(enumerate(texts)))
+
+
 def test_query_digest(spark, sf):
     from cellgauge.llm.queries import QUERIES
 
