@@ -289,7 +289,8 @@ def mass(part: Part, counted) -> int:
 def choose(wrapper: Part, pages: int) -> tuple[set[int], set[int]]:
     """Numbers of the slots with the main text, and of those to fall back on for a page without any.
 
-    Elements marked as article hold it, or else as main. On hosts that mark neither, it is in
+    Elements marked as article hold it, with a first heading in the main part around them
+    if they have none, or else elements marked as main. On hosts that mark neither, it is in
     the element that holds most of the text that changes from page to page, looked for
     from the top, but never in one term of a repetition; there, text that never changes and lists of links are the template's.
     Parts named as something else never count, headers and forms only where they hold the
@@ -330,6 +331,11 @@ def choose(wrapper: Part, pages: int) -> tuple[set[int], set[int]]:
                 found += marked(e, names)
         return found
 
+    def firsts(part: Part, without: Sequence[Part]) -> list[Part]:
+        """The h1 elements below a part, but not below some others: titles stand before an article as well as in it."""
+        below = [e for e in inner(part, True) if not any(e is w for w in without)]
+        return [t for e in below for t in ([e] if e.key.split(".")[0] == "h1" else firsts(e, without))]
+
     every = lambda s: True
     rescue = False
     spare = collect(wrapper, False)
@@ -338,7 +344,9 @@ def choose(wrapper: Part, pages: int) -> tuple[set[int], set[int]]:
             found = marked(wrapper, names)
             if found:
                 largest = max(mass(e, every) for e in found)
-                return set().union(*(collect(e, True) for e in found if mass(e, every) >= MINOR * largest)), spare
+                chosen = [e for e in found if mass(e, every) >= MINOR * largest]
+                titles = [] if any(firsts(e, ()) for e in chosen) else [t for m in marked(wrapper, ("",)) for t in firsts(m, found)]
+                return set().union(*(collect(e, True) for e in [*chosen, *titles])), spare
     rescue = False
     at, titles = wrapper, set()
     while True:

@@ -69,6 +69,11 @@ def test_articles_keep_their_headers_and_constants(spark):
     assert texts(spark, pages) == [f"T{i}\nsame on all pages\nab&<i> c d{i} e" for i in range(4)]
 
 
+def test_a_title_before_the_article(spark):
+    pages = [f"<header><h1>Site</h1></header><main><div><h1>T{i}</h1></div><article><p>{words(i)}</article></main>" for i in range(3)]
+    assert texts(spark, pages) == [f"T{i}\n{words(i)}" for i in range(3)]
+
+
 def test_a_form_around_the_page(spark):
     pages = [f"<form action=/><nav>n</nav><div><h1>T{i}</h1><p>{words(i)}</p><button>go</button></div></form>" for i in range(3)]
     assert texts(spark, pages) == [f"T{i}\n{words(i)}" for i in range(3)]
