@@ -69,13 +69,18 @@ def truncated_normal(seed, stream, keys, mean, sd, method="md5", tries=TRIES) ->
     """
     mean, sd = _column(mean), _column(sd)
     keys = [F.col(k) if isinstance(k, str) else k for k in keys]
-    attempts = F.transform(
+
+    def attempt(i: Column) -> Column:
+        draw = mean + sd * box_muller(*uniforms(seed, stream, [*keys, i], 2, method))
+        return F.get(F.filter(F.array(draw), lambda x: x >= 0), F.lit(0))
+
+    # a try is only evaluated when those before it failed: under two on average for mean >= 0
+    found = F.aggregate(
         F.sequence(F.lit(1), F.lit(tries)),
-        lambda i: mean + sd * box_muller(*uniforms(seed, stream, [*keys, i], 2, method)),
-    )
-    return F.when(sd == 0, F.when(mean >= 0, mean)).otherwise(
-        F.get(F.filter(attempts, lambda x: x >= 0), F.lit(0))
+        F.lit(None).cast("double"),
+        lambda found, i: F.coalesce(found, attempt(i)),
     )
+    return F.when(sd == 0, F.when(mean >= 0, mean)).otherwise(found)
 
 
 def half_cauchy(seed, stream, keys, scale, method="md5") -> Column:
