@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgauge.functions import densities, draws
-from cellgauge.plans.scale import match
+from cellgauge.plans.scale import match, spread
 
 
 @dataclass(frozen=True)
@@ -209,7 +209,8 @@ def log_prior_rows(
     before anything moves. -inf outside the support; null where ``theta`` has another length.
     """
     entries = check_prior(prior)
-    long = particles.select(*ids, theta, F.posexplode(theta).alias("__at", "__value")).withColumn("position", F.col("__at") + 1)
+    # outer, as the filter on empty arrays that goes with the other would evaluate theta twice; its null positions meet nothing
+    long = particles.select(*ids, theta, F.posexplode_outer(theta).alias("__at", "__value")).withColumn("position", F.col("__at") + 1)
     rows = match(long, prior, ["position"], "inner", broadcast=True)  # one row an entry
     value, mean, spread = F.col("__value"), F.get(theta, F.col("mean_at") - 1), F.get(theta, F.col("spread_at") - 1)
     around = (densities.truncated_normal_log if truncated else densities.normal_log)(value, mean, spread)
@@ -230,7 +231,7 @@ def draw_prior_rows(df: DataFrame, prior: DataFrame, seed: int, *, key: str = "p
     drawn around those of their own particle.
     """
     entries = check_prior(prior)
-    slots = df.select(key, F.explode(F.sequence(F.lit(1), F.lit(entries))).alias("position"))
+    slots = spread(df.select(key)).select(key, F.explode(F.sequence(F.lit(1), F.lit(entries))).alias("position"))
     rows = match(slots, prior, ["position"], "inner", broadcast=True)  # one row an entry
     a, b = F.col("a"), F.col("b")
     (u,) = draws.uniforms(seed, F.col("param"), [key], 1, method)
@@ -323,7 +324,7 @@ def draw_prior(df: DataFrame, layout: Layout, seed: int, *, key: str = "particle
             shared[p.name] = draws.half_cauchy(seed, p.name, [key], p.b, method)
         else:
             raise ValueError(f"no sampler for {p.dist!r}")
-    drawn = df.select("*", *[column.alias(name) for name, column in shared.items()])
+    drawn = spread(df).select("*", *[column.alias(name) for name, column in shared.items()])
     for g in layout.groups:
         drawn = drawn.select(
             "*",
@@ -334,7 +335,9 @@ def draw_prior(df: DataFrame, layout: Layout, seed: int, *, key: str = "particle
                 for w in range(1, layout.wells + 1)
             ],
         )
-    packed = F.array(*[F.col(n) for n in layout.names])
+    # not one array of the draws: the optimizer would make them all anew for every entry read from it
+    blocks = [[n for n in layout.names if n not in shared], list(shared)]
+    packed = F.concat(*[F.array(*[F.col(n) for n in block]) for block in blocks if block])
     return drawn.select(*df.columns, packed.alias("theta")).withColumn(
         "exhausted", F.exists("theta", lambda x: x.isNull())
     )

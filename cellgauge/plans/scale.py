@@ -24,6 +24,7 @@ CUT_SAMPLES = 64  # rows drawn for each slice to place the cuts
 SALTS = 64  # unordered pieces used by two-stage top-n
 SKETCH = 10_000  # rank resolution of the quantile sketch
 MERGE_WAYS = 256  # tasks that share the merging of one group's sketches
+WAVES = 4  # tasks for every core where small rows mean much work
 
 
 # --------------------------------------------------------------------------
@@ -72,15 +73,25 @@ def settle_observed(df: DataFrame, **aggregates: Column) -> tuple[DataFrame, dic
     return done, seen.get
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly to all cores: the keys of a large job may be one small file, which is one task."""
+    return df.repartition(WAVES * df.sparkSession.sparkContext.defaultParallelism)
+
+
 # --------------------------------------------------------------------------
 # Joining small statistics onto large tables
 # --------------------------------------------------------------------------
 
 
 def match(
-    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str, *, broadcast: bool
+    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str, *, broadcast: bool, shuffle: bool = False
 ) -> DataFrame:
-    """Equi join that also pairs null keys, keeping the left side's key columns."""
+    """Equi join that also pairs null keys, keeping the left side's key columns.
+
+    With ``shuffle`` no side is sent whole, whatever the planner expects: it takes the size of
+    a table from its file, and cells made from a few rows for as small as those. With
+    neither the planner decides.
+    """
     names = {key: f"__key_{i}" for i, key in enumerate(keys)}
     right = small.select(
         *[F.col(key).alias(names[key]) for key in keys],

@@ -267,3 +267,16 @@ def test_gamma_draws_are_never_null_and_flagged_below_zero(spark):
     assert found.w == pytest.approx(2.0, abs=0.25) and 0 < found.low < 20_000
     none = spark.range(50).select(draws.gamma_by_moments(1, "g", ["id"], 0.5, 1.0, 0.9, tries=1).alias("g"))
     assert none.filter("g is null").count() == 0
+
+
+def test_a_vector_is_drawn_once(spark):
+    layout = priors.association_hierarchical("corrupted", 3)
+    drawn = priors.draw_prior(spark.range(0, 10, 1, 1).withColumnRenamed("id", "particle_id"), layout, 9)
+    assert drawn.rdd.getNumPartitions() >= 8  # also from a file that is one task
+    named = priors.slice_params(drawn, layout).drop("theta", "exhausted")
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("md5(") <= 6 + 2 * 6  # a draw an entry, of two uniforms for well means
+    assert "transform(sequence" not in plan  # tries of a well mean end with the first that succeeds
+    summed = priors.log_prior_rows(drawn, priors.prior_rows(spark, layout))
+    plan = summed._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("md5(" in line for line in plan.splitlines() if "Filter" in line)
