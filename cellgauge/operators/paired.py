@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,11 @@ class Side:
     before: int
     total: int
 
+    @cached_property
+    def area(self) -> _Area:
+        """Made once for all candidates that meet this side; it has a value."""
+        return _area(self)
+
 
 @dataclass(frozen=True)
 class PairMetric:
@@ -37,6 +43,45 @@ class PairMetric:
     finish: Callable = lambda total: total
 
 
+@dataclass(frozen=True)
+class _Area:
+    """Integrals of a side's distribution function over values, asked for at any of them by one search.
+
+    Up to a value are meant the values from the first edge; sums are kept long, as parts are
+    differences of them.
+    """
+
+    edges: np.ndarray
+    share: np.ndarray  # of the side, from each edge to the next; first, below all edges
+    first: np.ndarray  # integral of the share, up to each edge
+    second: np.ndarray  # of its square
+
+    def at(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both integrals up to ``x``."""
+        place = np.searchsorted(self.edges, x, "right")
+        known = np.maximum(place - 1, 0)
+        share, beyond = self.share[place], x - self.edges[known]
+        return self.first[known] + share * beyond, self.second[known] + share * share * beyond
+
+    def reaches(self, share: np.ndarray) -> np.ndarray:
+        """The value from which on the side's share is at least the given one; infinite where it never is."""
+        place = np.searchsorted(self.share, share, "left")
+        return np.concatenate([[-np.inf], self.edges, [np.inf]])[place]
+
+
+def _shares(side: Side) -> np.ndarray:
+    """The distribution function below all values of a side, and from each to the next."""
+    return (side.before + np.concatenate([[0], np.cumsum(side.counts)])) / np.longdouble(side.total)
+
+
+def _area(side: Side) -> _Area:
+    share, edges = _shares(side), side.values.astype(np.longdouble)
+    widths, start = np.diff(edges), np.zeros(1, np.longdouble)
+    first = np.concatenate([start, np.cumsum(share[1:-1] * widths)])
+    second = np.concatenate([start, np.cumsum(share[1:-1] * share[1:-1] * widths)])
+    return _Area(edges, share, first, second)
+
+
 def _gaps(predicted: Side, observed: Side, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
     """Between all values of a range: the difference of both distribution functions, and the widths."""
     x = np.union1d(predicted.values, observed.values)
@@ -49,14 +94,40 @@ def _gaps(predicted: Side, observed: Side, low: float, high: float) -> tuple[np.
     return share(predicted) - share(observed), np.diff(edges)
 
 
+def _endless(side: Side) -> bool:
+    """Whether a side holds an infinite value, to which no area reaches."""
+    return len(side.values) > 0 and not np.isfinite(side.values[[0, -1]]).all()
+
+
+def _steps(predicted: Side, observed: Side, low: float, high: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The stretches of a range on which the predicted share stays the same: that share, from, to."""
+    ends = [predicted.values[:1], observed.values[:1], predicted.values[-1:], observed.values[-1:]]
+    known = np.concatenate([*ends, [v for v in (low, high) if np.isfinite(v)]])
+    edges = np.concatenate([[known.min()], predicted.values, [known.max()]]).astype(np.longdouble)
+    return _shares(predicted), edges[:-1], edges[1:]
+
+
 def _earth_part(predicted: Side, observed: Side, low: float, high: float) -> float:
-    gap, width = _gaps(predicted, observed, low, high)
-    return float(np.sum(np.abs(gap) * width))
+    if not len(observed.values) or _endless(predicted) or _endless(observed):
+        gap, width = _gaps(predicted, observed, low, high)
+        return float(np.sum(np.abs(gap) * width))
+    share, start, end = _steps(predicted, observed, low, high)
+    area = observed.area
+    # the observed share rises: it is below the predicted one up to the turn, and above beyond it
+    turn = np.clip(area.reaches(share), start, end)
+    (a, _), (t, _), (b, _) = area.at(start), area.at(turn), area.at(end)
+    return float(np.sum(share * ((turn - start) - (end - turn)) - (t - a) + (b - t)))
 
 
 def _energy_part(predicted: Side, observed: Side, low: float, high: float) -> float:
-    gap, width = _gaps(predicted, observed, low, high)
-    return float(2 * np.sum(gap * gap * width))
+    if not len(observed.values) or _endless(predicted) or _endless(observed):
+        gap, width = _gaps(predicted, observed, low, high)
+        return float(2 * np.sum(gap * gap * width))
+    share, start, end = _steps(predicted, observed, low, high)
+    area = observed.area
+    (a, aa), (b, bb) = area.at(start), area.at(end)
+    squares = share * share * (end - start) - 2 * share * (b - a) + (bb - aa)
+    return max(0.0, float(2 * np.sum(squares)))
 
 
 #: The least work that turns one sample into the other: the first Wasserstein distance.
@@ -90,9 +161,10 @@ def pair_distances(
     """``ad`` and ``n`` of every predicted sample (``sample`` and ``keys``) against the observed one of its keys.
 
     Null and NaN values are left out; a key without an observed value has no row. Cells
-    move twice, counted by value and then to the tasks of their key: as many as its
-    distinct predicted values fill, times the ranges that its hot samples need. Observed
-    cells are copied to each of the former. Results do not depend on ``hot_rows``.
+    move twice, counted by value and then to the tasks of their key and range: the ranges
+    are those that its hot samples need, the tasks of a range as many as its distinct
+    predicted values fill. Observed cells of a range are copied to each of those.
+    Results do not depend on ``hot_rows``.
     """
     keys, sample = list(keys), list(sample)
     groups = [*sample, *keys]
@@ -101,8 +173,8 @@ def pair_distances(
     counts = [F.sum("__c").alias("__n"), F.count(F.lit(1)).alias("__rows")]
     p_sizes, o_sizes = settle(p.groupBy(*groups).agg(*counts)), settle(o.groupBy(*keys).agg(*counts))
     found = [c for c in (_cuts(p, p_sizes, groups, keys, hot_rows), _cuts(o, o_sizes, keys, keys, hot_rows)) if c is not None]
-    dealt = p_sizes.groupBy(*keys).agg(F.ceil(F.sum("__rows") / F.lit(hot_rows)).cast("int").alias("__deals"))
-    plan = match(o_sizes.select(*keys, F.col("__n").alias("__m")), dealt, keys, "inner", broadcast=False)
+    candidates = p_sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("__candidates"))
+    plan = match(o_sizes.select(*keys, F.col("__n").alias("__m")), candidates, keys, "inner", broadcast=False)
     if found:
         merged = found[0] if len(found) == 1 else found[0].unionByName(found[1])
         listed = merged.groupBy(*keys).agg(F.array_sort(F.collect_set("__cut")).alias("__cuts"))
@@ -129,9 +201,19 @@ def pair_distances(
         slots = match(owners, plan, keys, "inner", broadcast=small).withColumn("__range", F.explode(F.sequence(F.lit(0), F.size("__cuts"))))
         filled = match(slots, held, [*by, "__range"], "left", broadcast=False)
         earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-        return filled.withColumn("__before", F.coalesce(F.sum("__held").over(earlier), F.lit(0)))
+        return dealt(filled.withColumn("__before", F.coalesce(F.sum("__held").over(earlier), F.lit(0))))
+
+    # a range is dealt to as many tasks as its own predicted rows and marks fill, so copies of observed cells grow as the cells do
+    held = ranged(p).groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__held"))
+    ranges = plan.withColumn("__range", F.explode(F.sequence(F.lit(0), F.size("__cuts"))))
+    filled = match(ranges, held, [*keys, "__range"], "left", broadcast=False)
+    tasks = F.ceil((F.coalesce("__held", F.lit(0)) + F.col("__candidates")) / F.lit(hot_rows)).cast("int")
+    deals = settle(filled.select(*keys, "__range", tasks.alias("__deals")))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return match(rows, deals, [*keys, "__range"], "inner", broadcast=small)
 
-    p_rows, o_rows = ranged(p), ranged(o)
+    p_rows, o_rows = dealt(ranged(p)), dealt(ranged(o))
     deal = F.pmod(F.xxhash64(*sample), F.col("__deals")).cast("int") if sample else F.lit(0)
     low = F.coalesce(F.get("__cuts", F.col("__range") - 1), F.lit(float("-inf")))
     high = F.coalesce(F.get("__cuts", F.col("__range")), F.lit(float("inf")))
@@ -157,7 +239,6 @@ def pair_distances(
         return Side(x, c, table.column("__before")[mark].as_py(), table.column("__n")[mark].as_py())
 
     def parts(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        out = {c: [] for c in groups}
         found, totals = [], []
         if theirs.num_rows and mine.num_rows:
             theirs = theirs.sort_by([("__x", "ascending")])  # nulls last: the mark
@@ -167,14 +248,16 @@ def pair_distances(
             mine = mine.sort_by([*[(c, "ascending") for c in sample], ("__x", "ascending")])
             marks = np.flatnonzero(mine.column("__x").is_null().to_numpy())  # the last row of every candidate
             start = 0
-            for mark in marks.tolist():
-                own = side(mine, start, mark, mark)
+            x, c = (mine.column(name).to_numpy() for name in ("__x", "__c"))
+            before, n = (mine.column(name).take(marks).to_pylist() for name in ("__before", "__n"))
+            for k, mark in enumerate(marks.tolist()):
+                own = Side(x[start:mark], c[start:mark], before[k], n[k])
                 found.append(metric.part(own, other, *bounds))
                 totals.append(own.total)
-                for c in groups:
-                    out[c].append(mine.column(c)[mark])
                 start = mark + 1
-        arrays = [pa.array([v.as_py() for v in out[c]], mine.schema.field(c).type) for c in groups]
+        else:
+            marks = []
+        arrays = [mine.column(c).take(pa.array(marks, pa.int64())) for c in groups]
         return pa.Table.from_arrays([*arrays, pa.array(found, pa.float64()), pa.array(totals, pa.int64())], [*groups, "__part", "n"])
 
     right = right.toDF(*right.columns)  # both samples may come from one table

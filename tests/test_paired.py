@@ -78,3 +78,24 @@ def test_two_channels(spark):
         want = earth(part.x.values, obs.x.values)[0] + 0.5 * earth(part.y.values, obs.y.values)[0] + 0.5 * gap
         assert got[who] == pytest.approx(want, rel=1e-9)
     assert paired.pair_distances(df.limit(0), df, ["well"], ["who"], "x", paired.EARTH_MOVERS).count() == 0
+
+
+def test_a_candidate_costs_its_own_cells(spark):
+    """The observed side is summed up once and then only searched, so many candidates do not walk it again."""
+    rng = np.random.default_rng(5)
+    y = np.unique(rng.normal(5, 3, 200_000))
+    seen = paired.Side(y, np.ones(len(y), np.int64), 0, len(y))
+    plain = lambda x: paired.Side(*np.unique(x, return_counts=True), 0, len(x))
+    samples = [rng.normal(4, 2, 8), np.array([5.0, 5.0]), np.array([-99.0, 99.0]), y[:3], y[-1:]]
+    for x in samples:
+        work, energy = earth(x, y)
+        assert paired.EARTH_MOVERS.part(plain(x), seen, -np.inf, np.inf) == pytest.approx(work, rel=1e-9)
+        assert np.sqrt(paired.ENERGY.part(plain(x), seen, -np.inf, np.inf)) == pytest.approx(energy, rel=1e-9)
+    assert paired.ENERGY.part(seen, seen, -np.inf, np.inf) == pytest.approx(0, abs=1e-15)
+
+    area = paired._area(seen)
+    np.testing.assert_allclose(np.diff(area.first).astype(float), np.arange(1, len(y)) / len(y) * np.diff(y), rtol=1e-9)
+    assert seen.area is seen.area
+    endless = np.array([1.0, np.inf])
+    with np.errstate(invalid="ignore"):
+        assert paired.EARTH_MOVERS.part(plain(endless), seen, -np.inf, np.inf) == np.inf
