@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from cellgauge.functions import draws
 from cellgauge.functions.response import Geometry, association_response
-from cellgauge.plans.scale import HOT_ROWS, Sliced, attach, previous_row, running_total, settle, settle_observed, slice_groups
+from cellgauge.plans import scale
+from cellgauge.plans.scale import HOT_ROWS, Sliced, match, previous_row, running_total, settle, settle_observed, slice_groups
+
+DRAWS_PER_TASK = 1_000_000  # draws that meet their pool in one task
+
 
 def fine_grid(df: DataFrame, last_step: int, step_seconds: int = 1800) -> DataFrame:
     """Every row at every fine time from 0; ``step`` is an integer, ``t`` in seconds."""
@@ -78,47 +82,74 @@ def fractional_dose_sum(
 ) -> DataFrame:
     """P10: background plus ceil(dose) pool draws, the last one weighted.
 
-    ``pool`` has a dense one-based ``idx`` and ``value``; ``ids`` must identify a cell. One
-    plan at every size: draws are made beside their cell, meet the pool by index (sent to
-    them while it is small, shuffled evenly beyond that) and are added up before the
-    cell, once, moves. Only the pool's count reaches the driver, unless ``size`` gives it.
+    ``pool`` has a dense one-based ``idx`` and ``value``; ``ids`` must identify a cell. Draws
+    are made beside their cell, meet the pool by index (sent to them while it is small,
+    beyond that both dealt evenly to as many tasks as the draws fill) and are added up
+    before the cell moves on. Only counts reach the driver; ``size``, the pool's, if not given.
     """
     pool = pool.select(F.col("idx").alias("__idx"), F.col("value").cast("double").alias("__v"))
     if size is None:
         pool, seen = settle_observed(pool, n=F.count(F.lit(1)))
         size = seen["n"]
     keys = [F.col(k) for k in (draw_keys or ids)]
+    tasks = None
+    if not _small(size):
+        cells, tasks = _draw_tasks(cells, dose)
     some = F.when(F.col(dose) > 0, F.sequence(F.lit(1), F.ceil(dose).cast("int")))
     draw = F.when(F.col("__i").isNotNull(), draws.pool_index(seed, stream, [*keys, F.col("__i")], float(size), method))
     drawn = cells.withColumn("__i", F.explode_outer(some)).withColumn("__idx", draw)
-    met = attach(drawn, pool, ["__idx"], how="left", row_bytes=24, rows=size)
+    if tasks:  # a cell without draws meets nothing, anywhere
+        drawn = drawn.withColumn("__idx", F.coalesce("__idx", -1 - F.pmod(F.xxhash64(*ids), F.lit(1 << 31))))
+    met = _meet(drawn, pool, "left", tasks)
     rest = [c for c in cells.columns if c not in ids]
     taken = F.sum(dose_weight(F.col(dose), F.col("__i"), form) * F.col("__v")).alias("__taken")
     whole = met.groupBy(*ids).agg(*[F.first(c).alias(c) for c in rest], taken)
     return whole.select(*cells.columns, (F.col(background) + F.coalesce("__taken", F.lit(0.0))).alias(out))
 
 
+def _small(size: int) -> bool:
+    """Whether a pool is sent to its draws."""
+    return size <= scale.BROADCAST_BYTES // 64
+
+
+def _draw_tasks(cells: DataFrame, dose: str) -> tuple[DataFrame, int]:
+    """The settled cells, and as many tasks as their draws and they themselves fill."""
+    some = F.when(F.col(dose) > 0, F.ceil(dose)).otherwise(F.lit(1))
+    cells, seen = settle_observed(cells, draws=F.sum(some))
+    parallel = cells.sparkSession.sparkContext.defaultParallelism
+    return cells, max(parallel, -(-int(seen["draws"] or 0) // DRAWS_PER_TASK))
+
+
+def _meet(drawn: DataFrame, pool: DataFrame, how: str, tasks: int | None) -> DataFrame:
+    """Draws beside their value ``__v`` of the pool, by ``__idx``; without ``tasks`` the pool is sent to them."""
+    if tasks is None:
+        return match(drawn, pool, ["__idx"], how, broadcast=True)
+    return drawn.repartition(tasks, "__idx").join(pool.repartition(tasks, "__idx").hint("merge"), "__idx", how)
+
+
 def fractional_dose_join(
     cells: DataFrame, ids: Sequence[str], pool: DataFrame, size: int, seed: int, stream: str, *,
     dose: str = "dose", background: str = "background", out: str = "value",
     form: str = "balanced", method: str = "md5", draw_keys: Sequence[str] | None = None,
 ) -> DataFrame:
-    """P10 for pools too large for one array: one row per draw, joined to the pool by index.
+    """P10 with sums apart from the cells: one row per draw, joined to the pool by index.
 
-    Drawn indices are uniform, so the join is balanced; sums combine before their
-    shuffle. ``ids`` must identify a cell. Cells with dose 0 keep their background.
+    Drawn indices are uniform, so the join is balanced; draws and cells are dealt to as many
+    tasks as the draws fill, so that what a task holds does not grow with them. ``ids`` must
+    identify a cell. Cells with dose 0 keep their background.
     """
     keys = [F.col(k) for k in (draw_keys or ids)]
+    cells, tasks = _draw_tasks(scale.spread(cells), dose)
+    pool = settle(pool.select(F.col("idx").alias("__idx"), F.col("value").alias("__v")))
     drawn = (
         cells.filter(F.col(dose) > 0)
         .select(*ids, dose, F.explode(F.sequence(F.lit(1), F.ceil(dose).cast("int"))).alias("__i"))
-        .withColumn("idx", draws.pool_index(seed, stream, [*keys, F.col("__i")], float(size), method))
-    )
-    gathered = attach(drawn, settle(pool.select("idx", F.col("value").alias("__v"))), ["idx"])
-    sums = gathered.groupBy(*ids).agg(
-        F.sum(dose_weight(F.col(dose), F.col("__i"), form) * F.col("__v")).alias("__taken")
+        .withColumn("__idx", draws.pool_index(seed, stream, [*keys, F.col("__i")], float(size), method))
     )
-    joined = cells.join(sums, list(ids), "left")
+    gathered = _meet(drawn, pool, "inner", None if _small(size) else tasks)
+    weighted = gathered.select(*ids, (dose_weight(F.col(dose), F.col("__i"), form) * F.col("__v")).alias("__taken"))
+    sums = weighted.repartition(tasks, *ids).groupBy(*ids).agg(F.sum("__taken").alias("__taken"))
+    joined = cells.repartition(tasks, *ids).join(sums.hint("merge"), list(ids), "left")
     return joined.withColumn(
         out, F.col(background) + F.coalesce("__taken", F.lit(0.0))
     ).drop("__taken")

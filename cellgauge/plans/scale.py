@@ -100,7 +100,7 @@ def match(
     condition = F.lit(True)
     for key in keys:
         condition = condition & F.col(key).eqNullSafe(F.col(names[key]))
-    joined = big.join(F.broadcast(right) if broadcast else right, condition, how)
+    joined = big.join(F.broadcast(right) if broadcast else right.hint("merge") if shuffle else right, condition, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*names.values())
 
 
@@ -129,13 +129,13 @@ def attach(
     if (small.count() if rows is None else rows) <= BROADCAST_BYTES // row_bytes:
         return match(big, small, keys, how, broadcast=True)
     if weight not in small.columns:
-        return match(big, small, keys, how, broadcast=False)
+        return match(big, small, keys, how, broadcast=False, shuffle=True)
     total = small.agg(F.sum(weight)).first()[0]
     is_hot = F.col(weight) * HOT_SHARE > F.lit(total)
     hot, cold = small.filter(is_hot), small.filter(~is_hot)
     by_broadcast = match(big, hot, keys, "inner", broadcast=True)
     others = match(big, hot.select(*keys), keys, "left_anti", broadcast=True)
-    return by_broadcast.unionByName(match(others, cold, keys, how, broadcast=False))
+    return by_broadcast.unionByName(match(others, cold, keys, how, broadcast=False, shuffle=True))
 
 
 def measured_groups(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:

@@ -280,3 +280,23 @@ def test_a_vector_is_drawn_once(spark):
     summed = priors.log_prior_rows(drawn, priors.prior_rows(spark, layout))
     plan = summed._jdf.queryExecution().optimizedPlan().toString()
     assert not any("md5(" in line for line in plan.splitlines() if "Filter" in line)
+
+
+def test_doses_by_shuffle_are_dealt_by_number(spark, monkeypatch):
+    pool = spark.range(1, 301).select(F.col("id").alias("idx"), (F.col("id") * 1.5).alias("value"))
+    cells = spark.range(0, 400, 1, 1).select(F.col("id").alias("cell"), (F.col("id") % 5 / 2.0).alias("dose"), F.lit(7.0).alias("background"))
+    rows = lambda df: sorted((r.cell, r.dose, round(r.value, 9)) for r in df.collect())
+    want = rows(uptake.fractional_dose_sum(cells, ["cell"], pool, 1, "d"))
+    assert rows(uptake.fractional_dose_join(cells, ["cell"], pool, 300, 1, "d")) == want
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(uptake, "DRAWS_PER_TASK", 50)
+    joined = uptake.fractional_dose_join(cells, ["cell"], pool, 300, 1, "d")
+    assert joined.rdd.getNumPartitions() >= 10  # not few tasks that grow with the draws
+    assert rows(joined) == want and rows(uptake.fractional_dose_sum(cells, ["cell"], pool, 1, "d")) == want
+
+
+def test_a_pool_beyond_the_bound_and_its_draws_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 0)
+    few = spark.range(10).select("id", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("cell"))
+    both = scale.attach(few, spark.range(5).withColumn("v", F.lit(1)), ["id"])
+    assert "Broadcast" not in both._jdf.queryExecution().sparkPlan().toString() and both.count() == 250
