@@ -310,8 +310,8 @@ def log_prior(layout: Layout, theta: str = "theta", *, truncated: bool = False)
     return F.when(support_guard(layout, theta), total).otherwise(F.lit(densities.MINUS_INFINITY))
 
 
-def draw_prior(df: DataFrame, layout: Layout, seed: int, *, key: str = "particle_id", method: str = "md5") -> DataFrame:
-    """R9 on any table of keys: ``theta`` drawn from the prior for every row.
+def draw_prior(df: DataFrame, layout: Layout, seed: int, *, key: str = "particle_id", method: str = "md5", deal: bool = True) -> DataFrame:
+    """R9 on any table of keys: ``theta`` drawn from the prior for every row, dealt to all cores first unless they are.
 
     First the shared block, then the well block given it. ``exhausted`` is true where
     a truncated draw found no value; those particles have a null entry.
@@ -324,7 +324,7 @@ def draw_prior(df: DataFrame, layout: Layout, seed: int, *, key: str = "particle
             shared[p.name] = draws.half_cauchy(seed, p.name, [key], p.b, method)
         else:
             raise ValueError(f"no sampler for {p.dist!r}")
-    drawn = spread(df).select("*", *[column.alias(name) for name, column in shared.items()])
+    drawn = (spread(df) if deal else df).select("*", *[column.alias(name) for name, column in shared.items()])
     for g in layout.groups:
         drawn = drawn.select(
             "*",
@@ -346,7 +346,7 @@ def draw_prior(df: DataFrame, layout: Layout, seed: int, *, key: str = "particle
 def prior_table(spark: SparkSession, layout: Layout, n: int, seed: int, *, method: str = "md5") -> DataFrame:
     """``n`` particles drawn from the prior, numbered from 1."""
     ids = spark.range(1, n + 1).withColumnRenamed("id", "particle_id")
-    return draw_prior(ids, layout, seed, method=method)
+    return draw_prior(ids, layout, seed, method=method, deal=False)
 
 
 def override_parameter(truth: DataFrame, overrides: DataFrame) -> DataFrame:
