@@ -17,6 +17,7 @@ from cellgauge.plans.scale import (
     running_total,
     settle,
     settle_observed,
+    settle_pool,
     slice_groups,
 )
 
@@ -164,11 +165,11 @@ def index_pool(df: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def gather_pool(draws: DataFrame, pool: DataFrame, index: str) -> DataFrame:
-    """Pool values at drawn indices; the pool is broadcast while it is small.
+    """Pool values at drawn indices; the pool is broadcast, packed, while it is small.
 
     Drawn indices are uniform, so a shuffle join is balanced as well.
     """
-    return attach(draws, settle(pool.withColumnRenamed("idx", index)), [index])
+    return settle_pool(pool).look_up(draws, index)
 
 
 def distinct_times(df: DataFrame, column: str = "time") -> DataFrame:

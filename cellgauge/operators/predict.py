@@ -20,7 +20,7 @@ from cellgauge.operators import uptake
 from cellgauge.operators.discrepancy import Observed, discrepancy
 from cellgauge.operators.ecdf import anderson_darling
 from cellgauge.operators.priors import Layout, slice_params
-from cellgauge.plans.scale import attach, match, settle
+from cellgauge.plans.scale import Pool, match, settle, settle_pool
 
 CELLS_PER_TASK = 2_000_000
 
@@ -96,15 +96,13 @@ class Internalisation:
         return ["time", "quenched"] + (["rep"] if self.layout.wells else [])
 
     @cached_property
-    def _backgrounds(self) -> tuple[DataFrame, int]:
-        """The settled pool and its size, shared by all scoring passes."""
-        named = self.pool.select("idx", F.col("cy5").alias("back_cy5"), F.col("bdp").alias("back_bdp"))
-        pool = settle(named)
-        return pool, pool.count()
+    def _backgrounds(self) -> Pool:
+        """The settled pool, shared by all scoring passes."""
+        return settle_pool(self.pool.select("idx", F.col("cy5").alias("back_cy5"), F.col("bdp").alias("back_bdp")))
 
     def __call__(self, particles: DataFrame, stream: str = "") -> DataFrame:
         """Predicted cells: particle_id, keys, cell, cy5, bdp."""
-        pool, size = self._backgrounds
+        pool = self._backgrounds
         hier = self.layout.wells > 0
         dims = {"t_index": range(1, len(self.times) + 1), "quenched": [True, False]}
         if hier:
@@ -136,9 +134,9 @@ class Internalisation:
             draws.lognormal_with_scale(seed, tag + "R", key, 1.0, "mean_R", "sigma_R", method).alias("R"),
             (F.col("sigma_1") * draws.box_muller(z[0], z[1])).alias("noise_1"),
             (F.col("sigma_2") * draws.box_muller(z[2], z[3])).alias("noise_2"),
-            draws.pool_index(seed, tag + "pool", key, float(size), method).alias("idx"),
+            draws.pool_index(seed, tag + "pool", key, float(pool.size), method).alias("idx"),
         )
-        seen = attach(drawn, pool, ["idx"], rows=size)
+        seen = pool.look_up(drawn, "idx")
         surface, internal = compartment_response("time", "lambda", "beta", "p", self.form)
         responses = seen.withColumn("surface", surface).withColumn("internal", internal)
         signals = assemble_signal(responses.withColumn("eta", F.lit(float(self.eta))))
@@ -211,34 +209,33 @@ class Association:
         return aligned.select("particle_id", *wells, "step", "time", "exposure", *params)
 
     @cached_property
-    def _backgrounds(self) -> tuple[DataFrame, int]:
-        """The settled cell pool and its size, shared by all scoring passes."""
-        pool = settle(self.cell_pool.select("idx", F.col("value").alias("background")))
-        return pool, pool.count()
+    def _backgrounds(self) -> Pool:
+        """The settled cell pool, shared by all scoring passes."""
+        return settle_pool(self.cell_pool.select("idx", F.col("value").cast("double").alias("value")))
 
     @cached_property
-    def _doses(self) -> tuple[DataFrame, int]:
-        """The settled particle pool and its size."""
-        pool = settle(self.particle_pool.select("idx", "value"))
-        return pool, pool.count()
+    def _doses(self) -> Pool:
+        """The settled particle pool; one table that is both pools is settled, and sent, once."""
+        if self.particle_pool is self.cell_pool:
+            return self._backgrounds
+        return settle_pool(self.particle_pool.select("idx", F.col("value").cast("double").alias("value")))
 
     def __call__(self, particles: DataFrame, stream: str = "") -> DataFrame:
         """Predicted cells: particle_id, keys, cell, value."""
-        pool, size = self._backgrounds
-        dose_pool, dose_size = self._doses
+        pool = self._backgrounds
         wells = ["rep"] if self.layout.wells else []
         cells = explode_cells(self.exposures(particles, stream), ["particle_id", *self.keys], self.cells)
         key = ["particle_id", *wells, "step", "cell"]
         sized = self._cell_parameters(cells, key, stream)
         dosed = sized.withColumn("dose", saturating_uptake("r", "K", "exposure", self.geometry))
         drawn = dosed.withColumn(
-            "idx", draws.pool_index(self.seed, stream + "cell", key, float(size), self.method)
+            "idx", draws.pool_index(self.seed, stream + "cell", key, float(pool.size), self.method)
         )
         drawn = drawn.select("particle_id", *self.keys, "step", "cell", "dose", "idx")
-        seen = attach(drawn, pool, ["idx"], rows=size)
+        seen = pool.look_up(drawn, "idx", value="background")
         summed = uptake.fractional_dose_sum(
-            seen, ["particle_id", *wells, "step", "cell"], dose_pool, self.seed, stream + "dose",
-            form=self.form, method=self.method, size=dose_size,
+            seen, ["particle_id", *wells, "step", "cell"], self._doses, self.seed, stream + "dose",
+            form=self.form, method=self.method,
         )
         return summed.select("particle_id", *self.keys, "cell", "value")
 
@@ -253,6 +250,6 @@ def score_particles(
     predicted = model(particles, stream) if stream else model(particles)
     size = getattr(model, "cells", None)  # every predicted sample has this many cells
     scores = discrepancy(predicted, observed, ["particle_id"], metric=metric, max_rows=size)
-    scored = match(particles, scores, ["particle_id"], "left", broadcast=False)
+    scored = match(particles, scores, ["particle_id"], "left", broadcast=False, shuffle=True)
     empty = F.col("rho").isNull() & F.col("reason").isNull()
     return scored.withColumn("reason", F.when(empty, F.lit("nothing predicted")).otherwise(F.col("reason")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellgauge.functions import draws
 from cellgauge.functions.response import Geometry, association_response
 from cellgauge.plans import scale
-from cellgauge.plans.scale import HOT_ROWS, Sliced, match, previous_row, running_total, settle, settle_observed, slice_groups
+from cellgauge.plans.scale import HOT_ROWS, Pool, Sliced, previous_row, running_total, settle_observed, settle_pool, slice_groups
 
 DRAWS_PER_TASK = 1_000_000  # draws that meet their pool in one task
 
@@ -76,7 +76,7 @@ def dose_weight(dose: Column, i: Column, form: str = "balanced") -> Column:
 
 
 def fractional_dose_sum(
-    cells: DataFrame, ids: Sequence[str], pool: DataFrame, seed: int, stream: str, *,
+    cells: DataFrame, ids: Sequence[str], pool: DataFrame | Pool, seed: int, stream: str, *,
     dose: str = "dose", background: str = "background", out: str = "value",
     form: str = "balanced", method: str = "md5", draw_keys: Sequence[str] | None = None, size: int | None = None,
 ) -> DataFrame:
@@ -87,13 +87,12 @@ def fractional_dose_sum(
     beyond that both dealt evenly to as many tasks as the draws fill) and are added up
     before the cell moves on. Only counts reach the driver; ``size``, the pool's, if not given.
     """
-    pool = pool.select(F.col("idx").alias("__idx"), F.col("value").cast("double").alias("__v"))
-    if size is None:
-        pool, seen = settle_observed(pool, n=F.count(F.lit(1)))
-        size = seen["n"]
+    if not isinstance(pool, Pool):
+        pool = settle_pool(pool.select("idx", F.col("value").cast("double").alias("value")))
+    size = pool.size if size is None else size
     keys = [F.col(k) for k in (draw_keys or ids)]
     tasks = None
-    if not _small(size):
+    if not pool.sent:
         cells, tasks = _draw_tasks(cells, dose)
     some = F.when(F.col(dose) > 0, F.sequence(F.lit(1), F.ceil(dose).cast("int")))
     draw = F.when(F.col("__i").isNotNull(), draws.pool_index(seed, stream, [*keys, F.col("__i")], float(size), method))
@@ -107,11 +106,6 @@ def fractional_dose_sum(
     return whole.select(*cells.columns, (F.col(background) + F.coalesce("__taken", F.lit(0.0))).alias(out))
 
 
-def _small(size: int) -> bool:
-    """Whether a pool is sent to its draws."""
-    return size <= scale.BROADCAST_BYTES // 64
-
-
 def _draw_tasks(cells: DataFrame, dose: str) -> tuple[DataFrame, int]:
     """The settled cells, and as many tasks as their draws and they themselves fill."""
     some = F.when(F.col(dose) > 0, F.ceil(dose)).otherwise(F.lit(1))
@@ -120,11 +114,12 @@ def _draw_tasks(cells: DataFrame, dose: str) -> tuple[DataFrame, int]:
     return cells, max(parallel, -(-int(seen["draws"] or 0) // DRAWS_PER_TASK))
 
 
-def _meet(drawn: DataFrame, pool: DataFrame, how: str, tasks: int | None) -> DataFrame:
-    """Draws beside their value ``__v`` of the pool, by ``__idx``; without ``tasks`` the pool is sent to them."""
-    if tasks is None:
-        return match(drawn, pool, ["__idx"], how, broadcast=True)
-    return drawn.repartition(tasks, "__idx").join(pool.repartition(tasks, "__idx").hint("merge"), "__idx", how)
+def _meet(drawn: DataFrame, pool: Pool, how: str, tasks: int | None) -> DataFrame:
+    """Draws beside their value ``__v`` of the pool, by ``__idx``; a pool that is sent comes to them."""
+    if pool.sent:
+        return pool.look_up(drawn, "__idx", how, value="__v")
+    rows = pool.rows.select(F.col("idx").alias("__idx"), F.col("value").alias("__v"))
+    return drawn.repartition(tasks, "__idx").join(rows.repartition(tasks, "__idx").hint("merge"), "__idx", how)
 
 
 def fractional_dose_join(
@@ -140,13 +135,13 @@ def fractional_dose_join(
     """
     keys = [F.col(k) for k in (draw_keys or ids)]
     cells, tasks = _draw_tasks(scale.spread(cells), dose)
-    pool = settle(pool.select(F.col("idx").alias("__idx"), F.col("value").alias("__v")))
+    pool = settle_pool(pool.select("idx", "value"))
     drawn = (
         cells.filter(F.col(dose) > 0)
         .select(*ids, dose, F.explode(F.sequence(F.lit(1), F.ceil(dose).cast("int"))).alias("__i"))
         .withColumn("__idx", draws.pool_index(seed, stream, [*keys, F.col("__i")], float(size), method))
     )
-    gathered = _meet(drawn, pool, "inner", None if _small(size) else tasks)
+    gathered = _meet(drawn, pool, "inner", tasks)
     weighted = gathered.select(*ids, (dose_weight(F.col(dose), F.col("__i"), form) * F.col("__v")).alias("__taken"))
     sums = weighted.repartition(tasks, *ids).groupBy(*ids).agg(F.sum("__taken").alias("__taken"))
     joined = cells.repartition(tasks, *ids).join(sums.hint("merge"), list(ids), "left")

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, NumericType
 
 BROADCAST_BYTES = 64 << 20  # largest table sent to every executor
 HOT_SHARE = 1000  # statistics of groups with more than 1/HOT_SHARE of the rows go by broadcast
@@ -25,6 +26,7 @@ SALTS = 64  # unordered pieces used by two-stage top-n
 SKETCH = 10_000  # rank resolution of the quantile sketch
 MERGE_WAYS = 256  # tasks that share the merging of one group's sketches
 WAVES = 4  # tasks for every core where small rows mean much work
+POOL_BITS = 12  # a pool is sent in arrays of 2**POOL_BITS values
 
 
 # --------------------------------------------------------------------------
@@ -138,6 +140,64 @@ def attach(
     return by_broadcast.unionByName(match(others, cold, keys, how, broadcast=False, shuffle=True))
 
 
+@dataclass(frozen=True)
+class Pool:
+    """A settled table of ``size`` rows that drawn indices look up in their column ``idx``.
+
+    ``packed`` has the same values as one row for every 2**POOL_BITS indices, or is None where
+    these would be too large to send, are no numbers, or ``idx`` is not 1, 2, 3 ....
+    """
+
+    rows: DataFrame
+    size: int
+    packed: DataFrame | None
+
+    @property
+    def sent(self) -> bool:
+        """Whether the pool goes to its draws, which then stay where they are."""
+        return self.packed is not None or self.size <= BROADCAST_BYTES // 64
+
+    def look_up(self, big: DataFrame, index: str, how: str = "inner", **names: str) -> DataFrame:
+        """``big`` with the values at its column ``index``, under their own or the given names."""
+        values = [c for c in self.rows.columns if c != "idx"]
+        if self.packed is None:
+            named = self.rows.select(F.col("idx").alias(index), *[F.col(c).alias(names.get(c, c)) for c in values])
+            return attach(big, named, [index], how=how, weight="", rows=self.size)
+        place = F.col(index) - 1
+        block, at = F.shiftright(place, POOL_BITS), place.bitwiseAND(F.lit((1 << POOL_BITS) - 1)).cast("int")
+        joined = big.join(F.broadcast(self.packed), block == F.col("__block"), how)
+        if how == "inner":  # as any index without a row
+            joined = joined.filter(at < F.col("__n"))
+        return joined.select(*big.columns, *[F.get(f"__pool_{c}", at).alias(names.get(c, c)) for c in values])
+
+
+def settle_pool(df: DataFrame) -> Pool:
+    """Settle a table with an index ``idx`` for its draws, packed where that is small.
+
+    A row sent by itself takes some hundred bytes in the driver, beside its value in an array
+    it takes eight, so a pool of some million values is sent and draws need no shuffle. Blocks
+    are made by as many tasks as any grouping; an index with gaps, repeats or nulls is
+    noticed as they are written, and such a pool is met row by row.
+    """
+    rows, seen = settle_observed(df, n=F.count(F.lit(1)))
+    values = [f for f in rows.schema if f.name != "idx"]
+    width = sum(8 if isinstance(f.dataType, NumericType) and not isinstance(f.dataType, DecimalType) else BROADCAST_BYTES for f in values)
+    if not seen["n"] or seen["n"] * width > BROADCAST_BYTES // 2:
+        return Pool(rows, seen["n"], None)
+    place = F.col("idx").cast("long") - 1
+    entry = F.struct(place.bitwiseAND(F.lit((1 << POOL_BITS) - 1)).alias("at"), *[f.name for f in values])
+    listed = rows.groupBy(F.shiftright(place, POOL_BITS).alias("__block")).agg(F.array_sort(F.collect_list(entry)).alias("__e"))
+    n = F.size("__e")
+    even = F.col("__e")["at"] == F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
+    arrays = [F.col("__e")[f.name].alias(f"__pool_{f.name}") for f in values]
+    packed, found = settle_observed(
+        listed.select("__block", n.alias("__n"), *arrays, even.alias("__even")),
+        even=F.min("__even"), first=F.min("__block"), last=F.max(F.shiftleft("__block", POOL_BITS) + F.col("__n")),
+    )
+    dense = found["even"] and found["first"] == 0 and found["last"] == seen["n"]
+    return Pool(rows, seen["n"], packed.drop("__even") if dense else None)
+
+
 def measured_groups(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
     """Settled row count ``n`` of every group, and the largest."""
     sizes, seen = settle_observed(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), largest=F.max("n"))

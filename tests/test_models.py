@@ -300,3 +300,26 @@ def test_a_pool_beyond_the_bound_and_its_draws_are_shuffled(spark, monkeypatch):
     few = spark.range(10).select("id", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("cell"))
     both = scale.attach(few, spark.range(5).withColumn("v", F.lit(1)), ["id"])
     assert "Broadcast" not in both._jdf.queryExecution().sparkPlan().toString() and both.count() == 250
+
+
+def test_a_pool_is_sent_packed(spark):
+    values = [None if i == 5 else float("nan") if i == 4100 else i * 0.5 for i in range(1, 9001)]
+    pool = spark.createDataFrame([(i + 1, v, i) for i, v in enumerate(values)], "idx long, value double, other long").repartition(5)
+    drawn = spark.createDataFrame([(1, 1), (2, 5), (3, 4096), (4, 4097), (5, 4100), (6, 9000), (7, 9001), (8, 0), (9, None), (10, 5)], "cell int, idx long")
+    settled = scale.settle_pool(pool)
+    assert settled.size == 9000 and settled.packed.count() == 3  # not a row a value
+    want = [(c, i, values[i - 1], i - 1) for c, i in ((1, 1), (2, 5), (3, 4096), (4, 4097), (5, 4100), (6, 9000), (10, 5))]
+    rows = lambda df: sorted((str(tuple(r)) for r in df.collect()))
+    both = settled.look_up(drawn, "idx", other="place")
+    assert both.columns == ["cell", "idx", "value", "place"] and rows(both) == sorted(map(str, want))
+    none = [(c, i, None, None) for c, i in ((7, 9001), (8, 0), (9, None))]
+    assert rows(settled.look_up(drawn, "idx", "left")) == sorted(map(str, want + none))
+
+
+@pytest.mark.parametrize("change", ["idx + 1", "if(idx = 7, 8, idx)", "if(idx = 7, null, idx)", "idx - 3", "if(idx = 7, 5000, idx)"])
+def test_an_index_that_is_not_dense_is_met_row_by_row(spark, change):
+    pool = spark.range(1, 31).select(F.expr(change.replace("idx", "id")).alias("idx"), (F.col("id") * 2.0).alias("value"))
+    drawn = spark.range(-3, 40).select(F.col("id").alias("idx"))
+    settled = scale.settle_pool(pool)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert settled.packed is None and rows(settled.look_up(drawn, "idx")) == rows(drawn.join(pool, "idx"))
