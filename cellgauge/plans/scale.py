@@ -166,9 +166,11 @@ class Pool:
         place = F.col(index) - 1
         block, at = F.shiftright(place, POOL_BITS), place.bitwiseAND(F.lit((1 << POOL_BITS) - 1)).cast("int")
         joined = big.join(F.broadcast(self.packed), block == F.col("__block"), how)
-        if how == "inner":  # as any index without a row
-            joined = joined.filter(at < F.col("__n"))
-        return joined.select(*big.columns, *[F.get(f"__pool_{c}", at).alias(names.get(c, c)) for c in values])
+        inside = at < F.col("__n")  # read on both ways, so that both meet one broadcast
+        if how == "inner":
+            joined = joined.filter(inside)
+        found = [F.when(inside, F.get(f"__pool_{c}", at)).alias(names.get(c, c)) for c in values]
+        return joined.select(*big.columns, *found)
 
 
 def settle_pool(df: DataFrame) -> Pool:

@@ -314,6 +314,9 @@ def test_a_pool_is_sent_packed(spark):
     assert both.columns == ["cell", "idx", "value", "place"] and rows(both) == sorted(map(str, want))
     none = [(c, i, None, None) for c, i in ((7, 9001), (8, 0), (9, None))]
     assert rows(settled.look_up(drawn, "idx", "left")) == sorted(map(str, want + none))
+    twice = settled.look_up(settled.look_up(drawn, "idx"), "idx", "left", value="v", other="o")
+    twice.collect()
+    assert "ReusedExchange" in twice._jdf.queryExecution().executedPlan().toString()  # sent once
 
 
 @pytest.mark.parametrize("change", ["idx + 1", "if(idx = 7, 8, idx)", "if(idx = 7, null, idx)", "idx - 3", "if(idx = 7, 5000, idx)"])
